@@ -45,7 +45,8 @@ def map_slices(df: DataFrame, text_col: str, make: Callable[[], Callable[[dict],
         for batch in batches:
             for part in slices(batch, at):
                 out = f({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+                columns = [out[x.name] for x in arrow]
+                yield pa.RecordBatch.from_arrays([c.cast(x.type) if isinstance(c, pa.Array) else pa.array(c, x.type) for c, x in zip(columns, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, kind)
 

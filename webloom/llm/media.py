@@ -19,6 +19,7 @@ import wave
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,41 +60,52 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def band_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Strongest bin and its magnitude, frames x bands."""
-    x = (samples.astype(np.float32) - 128.0) / 128.0
-    if len(x) < WINDOW:
-        x = np.pad(x, (0, WINDOW - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
-    window = np.hanning(WINDOW).astype(np.float32)
-    bins, mags = [], []
-    for at in range(0, len(frames), BLOCK_FRAMES):
-        block = frames[at : at + BLOCK_FRAMES]
-        block = block - block.mean(axis=1, keepdims=True)
-        spectrum = np.abs(np.fft.rfft(block * window, axis=1))
-        best = [spectrum[:, lo:hi].argmax(axis=1) + lo for lo, hi in BANDS]
-        bins.append(np.stack(best, 1))
-        mags.append(np.stack([spectrum[np.arange(len(block)), b] for b in best], 1))
-    return np.concatenate(bins), np.concatenate(mags)
-
-
-def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frame numbers and pair codes, in time order."""
-    bins, mags = band_peaks(samples)
+HANN = np.hanning(WINDOW).astype(np.float32)
+
+
+def band_peaks(samples: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strongest bin and its magnitude, frames x bands, of the frames that start at the given samples."""
+    bins, mags = np.empty((len(starts), len(BANDS)), np.int64), np.empty((len(starts), len(BANDS)), np.float32)
+    span = np.arange(WINDOW)
+    for at in range(0, len(starts), BLOCK_FRAMES):
+        block = samples[starts[at : at + BLOCK_FRAMES, None] + span].astype(np.float32)
+        block -= block.mean(axis=1, keepdims=True)
+        block *= HANN / 128
+        spectrum = np.abs(np.fft.rfft(block, axis=1))
+        here = np.arange(len(block))
+        for k, (lo, hi) in enumerate(BANDS):
+            best = spectrum[:, lo:hi].argmax(axis=1) + lo
+            bins[at : at + BLOCK_FRAMES, k], mags[at : at + BLOCK_FRAMES, k] = best, spectrum[here, best]
+    return bins, mags
+
+
+def fingerprints(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all payloads at once: offsets into, frame numbers and pair codes, in time order within a payload."""
+    sizes = np.array([max(WINDOW, len(p)) for p in payloads], np.int64)
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    samples = np.frombuffer(b"".join(p.ljust(WINDOW, b"\x80") for p in payloads), np.uint8)
+    counts = 1 + (sizes - WINDOW) // HOP
+    firsts = np.concatenate(([0], np.cumsum(counts)))
+    owner = np.repeat(np.arange(len(payloads)), counts)
+    frame = np.arange(firsts[-1]) - firsts[owner]
+    bins, mags = band_peaks(samples, begins[owner] + frame * HOP)
     mags = np.round(mags, 3)
-    around = np.pad(mags, ((1, 1), (0, 0)))
-    is_peak = (mags > 0) & (mags >= around[:-2]) & (mags > around[2:])
-    t, band = np.nonzero(is_peak)
-    f = bins[t, band]
-    times, codes = [], []
+    beside = np.zeros((1, len(BANDS)), np.float32)
+    earlier, later = np.concatenate((beside, mags[:-1])), np.concatenate((mags[1:], beside))
+    earlier[frame == 0] = 0
+    later[frame == counts[owner] - 1] = 0
+    at, band = np.nonzero((mags > 0) & (mags >= earlier) & (mags > later))
+    f, doc = bins[at, band], owner[at]
+    places, codes = [], []
     for k in range(1, FAN_OUT + 1):
-        dt = t[k:] - t[:-k]
-        ok = dt <= MAX_DT
-        times.append(t[:-k][ok])
+        dt = at[k:] - at[:-k]
+        ok = (dt <= MAX_DT) & (doc[k:] == doc[:-k])
+        places.append(at[:-k][ok])
         codes.append(((f[:-k] << 12) | (f[k:] << 4) | dt)[ok])
-    t, c = np.concatenate(times), np.concatenate(codes)
-    order = np.lexsort((c, t))
-    return t[order].astype(np.int32), c[order].astype(np.int32)
+    place, code = np.concatenate(places), np.concatenate(codes)
+    order = np.lexsort((code, place))
+    place, code = place[order], code[order]
+    return np.searchsorted(place, firsts), frame[place].astype(np.int32), code.astype(np.int32)
 
 
 def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
@@ -101,18 +113,25 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
 
     def make():
         def f(cols):
-            out = {x.split()[0]: [] for x in SCHEMA.split(", ")}
+            names = [x.split()[0] for x in SCHEMA.split(", ")]
+            out = {x: [] for x in names}
+            payloads = []
             for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
                 n, payload = payload_of(text)
                 media = to_wav(payload)
                 back = from_wav(media)
-                t, c = fingerprint(np.frombuffer(back, np.uint8))
+                payloads.append(back)
                 row = (
                     doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media),
-                    hashlib.sha256(media).hexdigest(), t, c, media if keep_media else None,
+                    hashlib.sha256(media).hexdigest(),
                 )
-                for values, v in zip(out.values(), row, strict=True):
-                    values.append(v)
+                for name, v in zip(names, row, strict=False):
+                    out[name].append(v)
+                out["media"].append(media if keep_media else None)
+            offsets, times, codes = fingerprints(payloads)
+            offsets = pa.array(offsets, pa.int32())
+            out["fp_time"] = pa.ListArray.from_arrays(offsets, pa.array(times))
+            out["fp_code"] = pa.ListArray.from_arrays(offsets, pa.array(codes))
             return out
 
         return f
