@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from webloom.llm import decontaminate, media
+from webloom.llm import decontaminate, line_dedup, media, mixing
 
 QUERIES = {
+    "op3_source_mixing": mixing.query,
+    "op5_line_dedup": line_dedup.query,
     "op7_media_columns": media.query,
     "op9_decontamination": decontaminate.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": mixing.SQL,
+    "op5_line_dedup": line_dedup.SQL,
+}
