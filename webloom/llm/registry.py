@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from webloom.llm import decontaminate, jaccard_join, line_dedup, media, mixing
+from webloom.llm import decontaminate, jaccard_join, line_dedup, media, mixing, quality
 
 QUERIES = {
     "op3_source_mixing": mixing.query,
     "op4_jaccard_join": jaccard_join.query,
     "op5_line_dedup": line_dedup.query,
     "op7_media_columns": media.query,
+    "op8_quality": quality.query,
     "op9_decontamination": decontaminate.query,
 }
 
