@@ -18,15 +18,15 @@ doc_id and repeated rows with one doc_id become one.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import map_slices
+from webloom.llm.common import map_slices, slices
 
 N = 13
 SAMPLE = 16
@@ -248,6 +248,35 @@ def _hits_of_block(docs: DataFrame, spark, bench: DataFrame) -> DataFrame:
 CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that are not contaminated, all columns kept; with several blocks of phrases, those that no block
+    alone contaminates."""
+    spark = docs.sparkSession
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string"))
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for b in range(blocks):
+        part = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id", "text")
+        phrases = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in part.collect()]))
+        docs = _without_hits(docs, phrases)
+    return docs
+
+
+def _without_hits(docs: DataFrame, phrases) -> DataFrame:
+    def run(batches):
+        block = phrases.value
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            for part in slices(batch, at):
+                counts, marks, _ = search_shard(part.column(at).to_pylist(), block)
+                keep = np.ones(len(counts), bool)
+                for k, hit in marks.items():
+                    keep[k] = 20 * int(hit.sum()) < counts[k]
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: hit counts of every document and the digest of the items found."""
     out = hits(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -256,7 +285,3 @@ def query(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         F.expr(CONTAMINATED).alias("contaminated"),
     )
-
-
-def sha_of_items(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()

@@ -357,3 +357,15 @@ def near_duplicates(docs: DataFrame, runs: int = RUNS) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: class and links of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each class stays, the one with the smallest doc_id; all columns kept.
+
+    Documents without a doc_id stay; of repeated rows with one doc_id and text one stays."""
+    found = stored(near_duplicates(docs), "classes")
+    gone = stored(found.where("doc_id IS NOT NULL AND NOT (doc_id <=> class_id)").select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    left = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    again = found.where("doc_id IS NOT NULL AND doc_id <=> class_id").groupBy("doc_id").count().where("count > 1")
+    return left if again.isEmpty() else left.dropDuplicates(["doc_id", "text"])

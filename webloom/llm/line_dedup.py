@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from webloom.llm.common import map_slices, stored
 
@@ -249,9 +250,10 @@ class LineIndex:
 
         return self.postings.mapInArrow(run, self.postings.schema)
 
-    def dedup(self, docs: DataFrame) -> DataFrame:
-        """doc_id, text (kept lines), n_lines, n_dropped."""
-        docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    def dedup(self, docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+        """doc_id, text (kept lines), n_lines, n_dropped, and rest: the columns to carry along, as a struct (else null)."""
+        rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
+        docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), rest.alias("rest"))
         blocks = self._blocks()
         passing = [self._passing(b) for b in blocks] or [self.postings.limit(0)]
         found = passing[0]
@@ -264,7 +266,7 @@ class LineIndex:
         else:
             touched, out = _split(docs, blocks, True), _kept(_split(docs, blocks, False).withColumn("ks", F.array().cast("array<binary>")))
         lost = lost.withColumnRenamed("doc_id", "lost_id")
-        joined = touched.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", "text", F.coalesce("ks", F.array().cast("array<binary>")).alias("ks"))
+        joined = touched.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", "text", "rest", F.coalesce("ks", F.array().cast("array<binary>")).alias("ks"))
         joined = _kept(joined)
         return joined if out is None else out.unionByName(joined)
 
@@ -282,11 +284,11 @@ def _split(docs: DataFrame, blocks: list, touched: bool) -> DataFrame:
             if filters is not None and len(owner):
                 hit[owner[filters.contains([k for ks in keys for k in ks])]] = True
             keep = np.flatnonzero(hit == touched).tolist()
-            return {c: [cols[c][i] for i in keep] for c in ("doc_id", "text")}
+            return {c: [values[i] for i in keep] for c, values in cols.items()}
 
         return f
 
-    return map_slices(docs, "text", make, "doc_id bigint, text string")
+    return map_slices(docs, "text", make, docs.schema)
 
 
 def _kept(rows: DataFrame) -> DataFrame:
@@ -294,7 +296,7 @@ def _kept(rows: DataFrame) -> DataFrame:
 
     def make():
         def f(cols):
-            out = {"doc_id": cols["doc_id"], "text": [], "n_lines": [], "n_dropped": []}
+            out = {"doc_id": cols["doc_id"], "rest": cols["rest"], "text": [], "n_lines": [], "n_dropped": []}
             for text, ks in zip(cols["text"], cols["ks"], strict=True):
                 text, lost = text or "", set(ks)
                 lines = text.split("\n")
@@ -310,7 +312,8 @@ def _kept(rows: DataFrame) -> DataFrame:
 
         return f
 
-    return map_slices(rows, "text", make, "doc_id bigint, text string, n_lines bigint, n_dropped bigint")
+    schema = StructType(rows.select("doc_id", "text", "rest").schema.fields).add("n_lines", "long").add("n_dropped", "long")
+    return map_slices(rows, "text", make, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from webloom.llm import decontaminate, jaccard_join, line_dedup, media, mixing, quality
+from webloom.llm import decontaminate, jaccard_join, language, line_dedup, media, mixing, quality
 
 QUERIES = {
+    "op2_language_id": language.query,
     "op3_source_mixing": mixing.query,
     "op4_jaccard_join": jaccard_join.query,
     "op5_line_dedup": line_dedup.query,
