@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import decontaminate, jaccard_join, language, line_dedup, media, mixing, quality
+from webloom.llm import decontaminate, jaccard_join, language, line_dedup, media, mixing, pii, quality
 
 QUERIES = {
     "op2_language_id": language.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_media_columns": media.query,
     "op8_quality": quality.query,
     "op9_decontamination": decontaminate.query,
+    "op10_pii": pii.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
