@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from webloom.llm import decontaminate, jaccard_join, language, line_dedup, media, mixing, pii, quality
+from webloom.llm import decontaminate, html_text, jaccard_join, language, licenses, line_dedup, media, mixing, pii, quality
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
     "op2_language_id": language.query,
     "op3_source_mixing": mixing.query,
     "op4_jaccard_join": jaccard_join.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_html_extraction": html_text.query,
     "op7_media_columns": media.query,
     "op8_quality": quality.query,
     "op9_decontamination": decontaminate.query,
