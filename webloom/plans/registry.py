@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.plans import page_queries, url_queries
+
 FLAGSHIP = "discovery_stats_by_host"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (url_queries, page_queries):
+    QUERIES.update(_part.QUERIES)
+    ORACLE_SQL.update(_part.ORACLE)
