@@ -184,4 +184,4 @@ def escape_html(s: Column) -> Column:
 
 
 def text_lines(s: Column) -> Column:
-    return F.filter(F.transform(F.split(s, "\r?\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
