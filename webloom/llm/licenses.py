@@ -82,7 +82,7 @@ def templates() -> list[tuple[str, str]]:
     return out + [(name, f"{s} under {title}.") for name, title in short for s in SUBJECTS]
 
 
-HINTS = ("licen", "copyright", "permission", "redistribut", "public domain", "public license", "creative commons", "warrant")
+HINTS = ("licen", "released under", "distributed under", "available under", "copyright", "permission", "redistribut", "public domain", "public license", "creative commons", "warrant")
 WORD = re.compile(r"[\w.+/-]*\w")
 #: A difference in one of these is never a slip: numbers, versions, and words that change the terms.
 TELLING = re.compile(r"\d|^(?:not?|non\w*|without|except|by(?:-\w+)*|lesser|affero|mit|isc|bsd|apache|mozilla|boost|gnu)$")

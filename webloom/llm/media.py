@@ -3,7 +3,7 @@
 A text's UTF-8 bytes, padded with spaces to a positive multiple of FRAME_BYTES, become the 8-bit mono samples of a WAV
 file. The file is read back with the wave module, cut into overlapping windowed frames, and transformed (short-time
 Fourier transform). In each band of each frame the strongest bin that also beats the same band of both neighbour frames
-is a peak; a peak is paired with the next peaks in time, and each pair (first bin, second bin, frames between) is a code
+is a peak; a peak is paired with the next FAN_OUT peaks of its band, and each pair (first bin, second bin, frames between) is a code
 stored with the frame of its first peak.
 
 Edge cases: null text is empty text (192 spaces); silence (no bin above zero) has empty arrays; rows are independent, so
@@ -95,11 +95,13 @@ def fingerprints(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     earlier[frame == 0] = 0
     later[frame == counts[owner] - 1] = 0
     at, band = np.nonzero((mags > 0) & (mags >= earlier) & (mags > later))
+    order = np.lexsort((at, band, owner[at]))
+    at, band = at[order], band[order]
     f, doc = bins[at, band], owner[at]
     places, codes = [], []
     for k in range(1, FAN_OUT + 1):
         dt = at[k:] - at[:-k]
-        ok = (dt <= MAX_DT) & (doc[k:] == doc[:-k])
+        ok = (dt <= MAX_DT) & (doc[k:] == doc[:-k]) & (band[k:] == band[:-k])
         places.append(at[:-k][ok])
         codes.append(((f[:-k] << 12) | (f[k:] << 4) | dt)[ok])
     place, code = np.concatenate(places), np.concatenate(codes)
