@@ -128,3 +128,23 @@ def test_running_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen) == 1000
+
+
+def test_api(spark, monkeypatch):
+    from webloom import api
+    from webloom.functions.html import Field, Rule
+    from webloom.settings import Settings
+
+    monkeypatch.setenv("WEBLOOM_MAX_PAGES", "1")
+    store = pages(spark, [(SEED, '<h1>T</h1><a href="/a">a</a>', 200, None), (SEED + "a", "", 500, None)])
+    rule = Rule((("title", Field("h1", required=True)),))
+    r = api.scrape_page(spark, "HTTPS://example.com", store, rule, raw_html=True).first()
+    assert (r.ok, r.data.title, r.final_url, r.warnings) == (True, "T", SEED, []) and r.raw_html.startswith("<h1>")
+    r = api.scrape_page(spark, SEED + "a", store, rule).first()
+    assert r.data.title is None and r.warnings == ["status_code=500"]
+    c = api.create_crawl(store, Scope(SEED), Settings.from_environment())
+    assert [r.type for r in api.crawl_events(c).orderBy("ord").collect()] == ["stats", "page", "done"]
+    log = spark.createDataFrame([("j", 1, "queued", 4, 0), ("j", 2, "running", None, 1), ("k", 1, "done", 1, 1)], "job string, seq int, status string, total bigint, done bigint")
+    s = api.job_status(log, "j").first()
+    assert (s.status, s.total, s.done, s.pct, s.running, s.queued) == ("running", 4, 1, 25, 2, 1)
+    assert [r.job for r in api.cancel(log.where("seq = 1"), log.select("job").distinct()).collect()] == ["j"]

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import functions as F
 
-from webloom.functions import classify
+from webloom import api
+from webloom.functions import classify, urls
 from webloom.operators import geo, jobs, ordered, pool
+from webloom.operators.scrape import matched_results, merged_options
 from webloom.plans.page_queries import STATUS
 from webloom.session import table
+from webloom.sources import inventory
+from webloom.streaming import events as streams
 
 QUERIES, ORACLE = {}, {}
 
@@ -170,6 +176,86 @@ def attempt_loop(spark, sf):
     return pool.attempts_result(rows, "job", 5)
 
 
+THROTTLE_SQL = ORACLE["rate_limit_throttle"]
+
+
+@query("stream_throttle", THROTTLE_SQL)
+def stream_throttle(spark, sf):
+    e = streams.read_events(spark, f"{sf}/events.parquet").select((F.col("user_id") % 64).alias("pool"), "event_id", (F.unix_micros("ts") / 1e6).alias("t"), F.expr(f"coalesce({STATUS}, 500)").alias("status"))
+    rows = e.select("pool", "event_id", "t", F.expr(KIND).alias("kind"))
+    out = streams.run_once(streams.throttle(rows, 60000.0), "stream_throttle", "append", tempfile.mkdtemp(prefix="webloom-"))
+    return out.select("pool", "event_id", F.round("factor", 6).alias("factor"))
+
+
+@query("options_and_headers", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END AS device, 'false' AS screenshot, CASE WHEN event_id % 3 = 0 THEN 'fr' ELSE 'de' END AS lang, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS n FROM events""")
+def options_and_headers(spark, sf):
+    over = F.when(F.col("event_id") % 2 == 0, F.expr("map('device', 'mobile')")).otherwise(F.expr("cast(map() as map<string, string>)"))
+    user = F.when(F.col("event_id") % 3 == 0, F.expr("map('accept-language', 'fr')")).otherwise(F.expr("map('X-A', '1')"))
+    headers = classify.merged_headers(F.expr("map('Accept-Language', 'de')"), user)
+    rows = table(spark, sf, "events").select("event_id", merged_options(F.expr("map('device', 'desktop', 'screenshot', 'false')"), over).alias("o"), headers.alias("h"))
+    return rows.select("event_id", F.col("o")["device"].alias("device"), F.col("o")["screenshot"].alias("screenshot"), F.coalesce(F.col("h")["accept-language"], F.col("h")["Accept-Language"]).alias("lang"), F.size("h").alias("n"))
+
+
+@query("task_results", "SELECT o_orderkey AS job, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0 GROUP BY 1")
+def task_results(spark, sf):
+    tasks = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("job"))
+    results = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job"))
+    return matched_results(tasks, results, "job").groupBy("job").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("job_lookup", "SELECT o_orderkey AS job, o_orderstatus AS status FROM orders WHERE o_orderkey = 7")
+def job_lookup(spark, sf):
+    return api.get_job(table(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("status")), 7)
+
+
+@query("country_list", f"SELECT cc AS country FROM (VALUES {PROFILE_ROWS}) v(cc, a, b, c)")
+def country_list(spark, sf):
+    return api.list_countries(spark)
+
+
+@query("fetch_taxonomy", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN true WHEN event_id % 5 = 1 THEN status >= 500 OR status IN (408, 429) WHEN event_id % 5 = 2 THEN true ELSE false END AS retryable
+    FROM (SELECT event_id, """ + f"coalesce({STATUS}, 500)" + """ AS status FROM events)""")
+def fetch_taxonomy(spark, sf):
+    k = F.col("event_id") % 5
+    stage = F.when(k == 0, "connect").otherwise("answer")
+    status = F.when(k == 1, F.expr(f"coalesce({STATUS}, 500)"))
+    job = F.when(k == 2, "failed").when(k == 3, "cancelled")
+    return table(spark, sf, "events").select("event_id", classify.fetch_failure_retryable(stage, status, job).alias("retryable"))
+
+
+@query("inventory_ingest", "SELECT s_suppkey::VARCHAR AS id, 'active' AS status, s_suppkey % 2 = 0 AS expired, 'h' || s_suppkey AS url FROM supplier")
+def inventory_ingest(spark, sf):
+    item = F.to_json(F.struct(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("h"), F.col("s_suppkey")).alias("url"), F.lit("ACTIVE").alias("system_status"), F.when(F.col("s_suppkey") % 2 == 0, True).alias("expired")))
+    body = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('{"results": ['), item, F.lit("]}"))).otherwise(F.concat(F.lit("["), item, F.lit("]")))
+    return inventory.inventory(table(spark, sf, "supplier").select(body.alias("body")), "body").select("id", "status", "expired", "url")
+
+
+@query("request_ingest", "SELECT page_id, url, 'desktop' AS device, true AS render, CASE WHEN page_id % 2 = 0 THEN 5000 END::BIGINT AS timeout_ms FROM pages")
+def request_ingest(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", F.to_json(F.struct("url", F.when(F.col("page_id") % 2 == 0, 5000).alias("timeout_ms"), F.create_map(F.lit("p"), F.col("page_id").cast("string")).alias("headers"))).alias("body"))
+    return inventory.requests(pages, "body").select(F.col("headers")["p"].cast("bigint").alias("page_id"), "url", "device", "render", "timeout_ms")
+
+
+@query("cookie_defaults", "SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS domain, '/' AS path FROM pages")
+def cookie_defaults(spark, sf):
+    bare = F.expr("array(named_struct('name', 'n', 'value', 'v', 'domain', cast(null as string), 'path', cast(null as string)))")
+    rows = table(spark, sf, "pages").select("page_id", F.get(urls.cookies_with_defaults(bare, F.col("url")), F.lit(0)).alias("c"))
+    return rows.select("page_id", "c.domain", "c.path")
+
+
+@query(
+    "scrape_pages",
+    """SELECT p.page_id::VARCHAR AS request_id, p.page_id % 4 <> 0 AND p.page_id % 9 <> 0 AS ok, CASE WHEN p.page_id % 4 = 0 THEN NULL WHEN p.page_id % 5 = 0 THEN 404 ELSE 200 END AS status_code,
+    CASE WHEN p.page_id % 4 = 0 THEN 'page not in store' WHEN p.page_id % 9 = 0 AND p.page_id % 5 = 0 THEN 'Captcha/block detected by heuristic; status_code=404'
+      WHEN p.page_id % 9 = 0 THEN 'Captcha/block detected by heuristic' WHEN p.page_id % 5 = 0 THEN 'status_code=404' ELSE '' END AS warnings FROM pages p""",
+)
+def scrape_pages(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://h.example.com/"), F.col("page_id")).alias("url"), "html")
+    store = pages.where("page_id % 4 <> 0").select(F.concat("url", F.lit("#x")).alias("url"), F.when(F.col("page_id") % 9 == 0, "<p>Access denied").otherwise(F.col("html")).alias("html"), F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status_code"))
+    out = api.scrape_pages(pages.select(F.col("page_id").cast("string").alias("request_id"), "url"), store)
+    return out.select("request_id", "ok", "status_code", F.array_join("warnings", "; ").alias("warnings"))
+
+
 @query("limiter_snapshot")
 def limiter_snapshot(spark, sf):
     rows = _events(spark, sf).withColumn("kind", F.expr(KIND))

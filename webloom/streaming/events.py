@@ -48,6 +48,31 @@ def session_health(requests: DataFrame, max_error: float = 3.0, max_usage: int =
     return requests.groupBy("pool").applyInPandasWithState(step, HEALTH, kept, "append", GroupStateTimeout.NoTimeout)
 
 
+def throttle(log: DataFrame, cooldown: float = 60.0) -> DataFrame:
+    """The throttle fold of webloom.operators.ordered with its state in the state store: log (pool, event_id, t, kind)."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        factor, until = state.get if state.exists else (1.0, -1e18)
+        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        factors = []
+        for t, kind in zip(rows["t"], rows["kind"], strict=True):
+            if kind == "slow":
+                factor, until = max(0.1, factor * 0.5), t + cooldown
+            elif kind == "ok" and t >= until and factor < 1:
+                factor = min(1.0, factor * 1.5)
+            factors.append(factor)
+        state.update((factor, until))
+        yield pd.DataFrame({"pool": key[0], "event_id": rows["event_id"].to_numpy(), "factor": factors})
+
+    return log.groupBy("pool").applyInPandasWithState(step, "pool bigint, event_id bigint, factor double", "factor double, until double", "append", GroupStateTimeout.NoTimeout)
+
+
+def replay_then_follow(spark: SparkSession, log: DataFrame, stream: DataFrame, handle, checkpoint: str):
+    """What a late subscriber does: handle the stored log once, then each new batch; a finished log needs no stream."""
+    handle(log, -1)
+    return write_batches(stream, handle, checkpoint)
+
+
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Process all there is, then stop; the result as a table."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
