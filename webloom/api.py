@@ -45,7 +45,7 @@ def cancel(jobs_table: DataFrame, job_ids: DataFrame) -> DataFrame:
 def crawl_events(result: Crawl) -> DataFrame:
     """The event log of a finished crawl: its stats, a page or page_error event for every row, the end."""
     row = result.ledger.select(
-        F.struct(F.col("depth").cast("bigint"), "key").alias("ord"), F.when(F.col("error").isNull(), "page").otherwise("page_error").alias("type"),
+        F.struct(F.col("depth").cast("bigint").alias("depth"), "key").alias("ord"), F.when(F.col("error").isNull(), "page").otherwise("page_error").alias("type"),
         F.to_json(F.struct("url", "parent_url", "depth", "status_code", "error")).alias("payload"),
     )
     stats = result.stats().select(F.to_json(F.struct("*")).alias("payload"))

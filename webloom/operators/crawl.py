@@ -13,6 +13,7 @@ from webloom.functions import classify, html, urls
 from webloom.operators import frontier
 from webloom.operators.scope import Scope, reason
 
+FOLD_WAVES = 8
 LEDGER = "url string, parent_url string, depth int, key array<bigint>, status_code int, final_url string, ok boolean, error string"
 
 
@@ -70,7 +71,8 @@ def crawl(pages: DataFrame, scope: Scope, max_pages: int | None = 500, quick: bo
             rows = _capped(rows, max_pages - visited)
         rows = cut(rows)
         ledger = rows if ledger is None else ledger.unionByName(rows)
-        visited += rows.where("error IS NULL").count()
+        if max_pages is not None:
+            visited += rows.where("error IS NULL").count()
         found = rows.where("error IS NULL").select(F.col("url").alias("source"), F.col("key").alias("parent_key")).join(links, "source")
         found = found.select("url", F.col("source").alias("parent_url"), F.concat("parent_key", F.array("pos")).alias("key"))
         found = cut(found.withColumn("fp", urls.fingerprint(F.col("url"))))
@@ -80,11 +82,12 @@ def crawl(pages: DataFrame, scope: Scope, max_pages: int | None = 500, quick: bo
         repeats = found.agg(F.count(F.lit(1)).alias("all")).crossJoin(counts.select("n")).select(F.lit("seen").alias("reason"), (F.col("all") - F.col("n")).alias("n"))
         out = repeats.unionByName(fresh.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))).withColumn("depth", F.lit(depth))
         discarded = out if discarded is None else discarded.unionByName(out)
-        seen = cut(seen.unionByName(fresh.select("fp")))
-        wave = cut(fresh.where("reason IS NULL").select("url", "parent_url", "key"))
+        seen = seen.unionByName(fresh.select("fp"))  # a union of tables already cut; folded into one now and then
+        seen = cut(seen) if depth % FOLD_WAVES == FOLD_WAVES - 1 else seen
+        wave = fresh.where("reason IS NULL").select("url", "parent_url", "key")
         if wave.isEmpty() or (max_pages is not None and visited >= max_pages):
             break
-    return Crawl(cut(ledger), cut(discarded))
+    return Crawl(ledger, discarded)
 
 
 def _capped(rows: DataFrame, left: int) -> DataFrame:
