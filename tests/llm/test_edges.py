@@ -132,3 +132,14 @@ def test_decontamination(docs, none, bench):
 def test_pii(docs, none):
     assert pii.personal_data(docs).count() == len(ROWS) and pii.personal_data(none).count() == 0
     assert by_id(pii.personal_data(docs))[2].spans == []
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from webloom.llm import common
+
+    df = common.stored(spark.range(3).toDF("n"), "some")
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert df.count() == 3
+    common.drop_stored(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

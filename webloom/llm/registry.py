@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": mixing.SQL,
     "op5_line_dedup": line_dedup.SQL,
+    "op9_decontamination": decontaminate.SQL,
 }
