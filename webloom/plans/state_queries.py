@@ -110,7 +110,7 @@ def geo_match(spark, sf):
 
 
 INVENTORY = """inv AS (SELECT s_suppkey::VARCHAR AS id, ['lte', 'residential_static', 'datacenter', 'residential_rotating'][s_nationkey % 4 + 1] AS category, s_suppkey AS seq,
-    s_suppkey % 7 > 0 AND s_suppkey % 5 > 0 AND s_suppkey % 11 > 0 AS ok FROM supplier)"""
+    s_suppkey % 7 > 0 AND s_suppkey % 5 > 0 AND s_suppkey % 11 > 0 AS ok, s_acctbal < 0 AS tried FROM supplier)"""
 
 
 def _inventory(spark, sf):
@@ -119,6 +119,7 @@ def _inventory(spark, sf):
     return table(spark, sf, "supplier").select(
         k.cast("string").alias("id"), F.element_at(kinds, F.col("s_nationkey") % 4 + 1).alias("category"), k.alias("seq"),
         F.when(k % 7 > 0, F.concat(F.lit("h"), k)).otherwise("").alias("url"), F.when(k % 5 > 0, "active").otherwise("paused").alias("status"), (k % 11 == 0).alias("expired"),
+        (F.col("s_acctbal") < 0).alias("tried"),
     )
 
 
@@ -128,7 +129,7 @@ CATEGORY_SQL = "CASE WHEN t IN ('mobile', 'mobile_shared', 'lte') THEN 'lte' WHE
 
 @query(
     "pool_select",
-    f"""WITH {INVENTORY}, q AS (SELECT c_custkey AS request_id, {list(TYPES)}[c_custkey % 7 + 1] AS t, (c_custkey % 40 + 1)::VARCHAR AS pin FROM customer), a AS (SELECT * FROM inv WHERE ok AND seq % 13 > 0),
+    f"""WITH {INVENTORY}, q AS (SELECT c_custkey AS request_id, {list(TYPES)}[c_custkey % 7 + 1] AS t, (c_custkey % 40 + 1)::VARCHAR AS pin FROM customer), a AS (SELECT * FROM inv WHERE ok AND NOT tried),
     f AS (SELECT category, min_by(id, seq) AS first_id FROM a GROUP BY category)
     SELECT request_id, c.category, coalesce(a.id, f.first_id) AS id FROM (SELECT request_id, pin, {CATEGORY_SQL} AS category FROM q) c
     LEFT JOIN a ON a.category = c.category AND a.id = c.pin LEFT JOIN f ON f.category = c.category""",
@@ -137,7 +138,7 @@ def pool_select(spark, sf):
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("c_custkey") % 7 + 1).cast("int"))
     requests = table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), classify.category(kind).alias("category"), (F.col("c_custkey") % 40 + 1).cast("string").alias("pin"))
     inventory = _inventory(spark, sf)
-    return pool.select(requests, inventory, inventory.where("seq % 13 = 0"))
+    return pool.select(requests, inventory, inventory.where("tried"))
 
 
 @query(
@@ -151,10 +152,10 @@ def pool_category_access(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", kind.alias("type"), classify.category(kind).alias("category"), classify.access_allowed(kind, access).alias("allowed"))
 
 
-@query("pool_diagnostics", f"WITH {INVENTORY} SELECT category, count(*) AS total, count(*) FILTER (ok) AS ok, count(*) FILTER (seq % 13 = 0) AS excluded FROM inv GROUP BY category")
+@query("pool_diagnostics", f"WITH {INVENTORY} SELECT category, count(*) AS total, count(*) FILTER (ok) AS ok, count(*) FILTER (tried) AS excluded FROM inv GROUP BY category")
 def pool_diagnostics(spark, sf):
     inventory = _inventory(spark, sf)
-    return pool.diagnostics(inventory, inventory.where("seq % 13 = 0"))
+    return pool.diagnostics(inventory, inventory.where("tried"))
 
 
 ATTEMPTS = "SELECT o_orderkey AS job, l_linenumber - 1 AS attempt, l_linenumber % 4 = 0 OR l_quantity > 40 AS ok, l_discount < 0.08 AS failure, l_tax < 0.07 AS has_resource FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
@@ -196,9 +197,9 @@ def options_and_headers(spark, sf):
     return rows.select("event_id", F.col("o")["device"].alias("device"), F.col("o")["screenshot"].alias("screenshot"), F.coalesce(F.col("h")["accept-language"], F.col("h")["Accept-Language"]).alias("lang"), F.size("h").alias("n"))
 
 
-@query("task_results", "SELECT o_orderkey AS job, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0 GROUP BY 1")
+@query("task_results", "SELECT o_orderkey AS job, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
 def task_results(spark, sf):
-    tasks = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("job"))
+    tasks = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("job"))
     results = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job"))
     return matched_results(tasks, results, "job").groupBy("job").agg(F.count(F.lit(1)).alias("n"))
 
@@ -269,6 +270,6 @@ def resource_recovery(spark, sf):
         (F.col("user_id") % 97).cast("string").alias("job"), F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("user_id") % 7 + 1).cast("int")).alias("type"),
         F.col("event_id").alias("seq"), (F.col("event_id") % 3 == 0).alias("change_works"),
     )
-    return pool.recover(fails, _inventory(spark, sf)).select("job", "type", F.size("path").alias("n"), F.array_join(F.slice("path", 1, 20), ",").alias("path"))
+    return pool.recover(fails, _inventory(spark, sf)).select("job", "type", F.size("path").alias("n"), F.array_join("path", ",").alias("path"))
 
 

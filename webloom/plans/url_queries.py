@@ -259,6 +259,6 @@ def frontier_sizes(spark, sf):
     return frontier.sizes(table(spark, sf, "pages").select(urls.host(F.col("url")).alias("host")), "host")
 
 
-@query("html_escape", r"""SELECT page_id, replace(replace(replace(replace(replace(left(html, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS safe FROM pages""")
+@query("html_escape", r"""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS safe FROM pages""")
 def html_escape(spark, sf):
-    return table(spark, sf, "pages").select("page_id", classify.escape_html(F.left("html", F.lit(400))).alias("safe"))
+    return table(spark, sf, "pages").select("page_id", classify.escape_html(F.col("html")).alias("safe"))
