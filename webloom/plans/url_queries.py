@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from webloom.checkpointing import cut
 from webloom.functions import classify, html, urls
 from webloom.operators import frontier
 from webloom.operators.scope import Scope, reason
@@ -222,8 +223,10 @@ for _name, (_scope, _mode, _more) in SCOPES.items():
     SELECT host, count(*) AS found, count(*) FILTER (n > 1) AS dedup_skipped, count(*) FILTER (n = 1 AND target <> host) AS out_of_scope, count(*) FILTER (n = 1 AND target = host) AS queued FROM f GROUP BY host""",
 )
 def discovery_stats_by_host(spark, sf):
-    """Links -> resolved -> canonical -> first seen -> scope -> counts by host; counts are aggregated before hosts are shuffled."""
-    links = canonical_links(spark, sf).select("page_id", "pos", "url", urls.host(F.col("page_url")).alias("host"))
+    """Links -> resolved -> canonical -> first seen -> scope -> counts by host.
+
+    Links are cut, as two branches read them and pages should be parsed once; both branches aggregate before they shuffle."""
+    links = cut(canonical_links(spark, sf).select("page_id", "pos", "url", urls.host(F.col("page_url")).alias("host")))
     per_host = links.groupBy("host").agg(F.count(F.lit(1)).alias("found"))
     fresh = frontier.first_seen(links, "url", ["page_id", "pos"]).withColumn("same", urls.host(F.col("url")) == F.col("host"))
     kept = fresh.groupBy("host").agg(F.count_if(~F.col("same")).alias("out_of_scope"), F.count_if("same").alias("queued"))
