@@ -39,7 +39,7 @@ from webloom.llm.common import map_slices, stored
 SHINGLE, COORDS = 5, 64
 RECALL, RUNS, LIMIT, BRANCH, DEPTH, BLOCK = 0.9999, 8, 512, 2, 3, 1024
 SKETCH_MIN = 38
-CLUSTER_LIMIT = 4096
+CLUSTER_LIMIT = 256
 #: Candidates up to this many are broadcast to pick their texts; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 WORD_CACHE = 1 << 19
@@ -366,6 +366,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = stored(near_duplicates(docs), "classes")
     gone = stored(found.where("doc_id IS NOT NULL AND NOT (doc_id <=> class_id)").select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
     again = found.where("doc_id IS NOT NULL AND doc_id <=> class_id").groupBy("doc_id").count().where("count > 1")
     return left if again.isEmpty() else left.dropDuplicates(["doc_id", "text"])
