@@ -1,7 +1,8 @@
 """Language identification: script ranges narrow the candidates, Viterbi over word scores labels spans.
 
 Training counts, for each language, the letters of each script range and the character n-grams (1 to 4, words between
-marks) of a bounded sample of texts. A word's score in a language is the mean smoothed log probability of its n-grams; only
+marks, as 64-bit hashes) of a bounded sample of texts. A word's score in a language is the sum of the smoothed log
+probabilities of its n-grams over the root of their number; only
 languages that write at least SCRIPT_SHARE of their letters in the word's script are candidates (all of them, if none
 is), the others get the lowest score. Words of one text form a chain: staying in a language is free, switching costs
 SWITCH; Viterbi finds the best labels, and equal labels side by side are a span. The text's language is the one with
@@ -31,7 +32,7 @@ FOLDS, HELD_OUT = 5, 0
 TABLE = 30_000
 SWITCH, SCRIPT_SHARE, MAX_N = 4.0, 0.02, 4
 WORD_CACHE = 1 << 18
-STEP_ROWS = 1 << 14
+SEGMENT = 256
 
 #: Script ranges of Unicode blocks (first code point, name).
 SCRIPTS = (
@@ -40,7 +41,9 @@ SCRIPTS = (
     (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"),
     (0x3100, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"),
 )
-_STARTS = [a for a, _ in SCRIPTS]
+_STARTS = np.array([a for a, _ in SCRIPTS])
+SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
+SCRIPT_NUMBER = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS])
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -49,102 +52,158 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
-def script_of(word: str) -> str:
-    return SCRIPTS[int(np.searchsorted(_STARTS, ord(word[0]), side="right")) - 1][1]
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Number of the script of each word's first letter."""
+    first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+    return SCRIPT_NUMBER[np.searchsorted(_STARTS, first, side="right") - 1]
 
 
-def grams(word: str) -> list[str]:
-    w = f"<{word}>"
-    return [w[i : i + n] for n in range(1, MAX_N + 1) for i in range(len(w) - n + 1)] + [w]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of all words, and the word of each."""
+    text = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))  # letters to the end of the word
+    hashes, owners = [], []
+    h = np.zeros(len(text), np.uint64)
+    for n in range(1, MAX_N + 1):
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h[: len(text) - n + 1] += text[n - 1 :] + np.uint64(n)
+        ok = left >= n
+        hashes.append(h[ok] ^ (h[ok] >> np.uint64(29)))
+        owners.append(owner[ok])
+    return np.concatenate(hashes), np.concatenate(owners)
 
 
 class Model:
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
-        self.scripts: list[dict[str, float]] = []
-        counts: list[Counter] = []
-        for lang in self.langs:
-            words = Counter(w for t in texts[lang] for w in WORDS.findall(t.lower()) if has_letter(w))
-            found, by_script = Counter(), Counter()
-            for w, n in words.items():
-                by_script[script_of(w)] += n * len(w)
-                for g in grams(w):
-                    found[g] += n
-            total = max(1, sum(by_script.values()))
-            self.scripts.append({s: n / total for s, n in by_script.items()})
-            counts.append(Counter(dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:TABLE])))
-        vocabulary = set().union(*counts) if counts else set()
-        totals = [sum(c.values()) + len(vocabulary) + 1 for c in counts]
-        self.unseen = np.array([-np.log(t) for t in totals])
-        self.table = {g: np.array([np.log((c[g] + 1) / t) for c, t in zip(counts, totals, strict=True)]) for g in vocabulary}
+        n = len(self.langs)
+        self.scripts = np.zeros((len(SCRIPT_NAMES), max(n, 1)), bool)
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        totals = []
+        for k, lang in enumerate(self.langs):
+            counts = Counter(w for t in texts[lang] for w in WORDS.findall(t.lower()) if has_letter(w))
+            words, times = list(counts), np.array(list(counts.values()), np.int64)
+            if not words:
+                kept.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
+                totals.append(0)
+                continue
+            letters = np.bincount(scripts_of(words), weights=times * np.fromiter(map(len, words), np.int64, len(words)), minlength=len(SCRIPT_NAMES))
+            self.scripts[:, k] = letters / letters.sum() >= SCRIPT_SHARE
+            h, owner = grams(words)
+            found, place = np.unique(h, return_inverse=True)
+            number = np.bincount(place, weights=times[owner]).astype(np.int64)
+            best = np.lexsort((found, -number))[:TABLE]
+            kept.append((found[best], number[best]))
+            totals.append(int(number[best].sum()))
+        self.grams = np.unique(np.concatenate([g for g, _ in kept])) if kept else np.empty(0, np.uint64)
+        self.table = np.ones((len(self.grams) + 1, max(n, 1)))
+        for k, (g, number) in enumerate(kept):
+            self.table[np.searchsorted(self.grams, g), k] += number
+            self.table[:, k] /= totals[k] + len(self.grams) + 1
+        self.table = np.log(self.table).astype(np.float32)
+        self._forget()
+
+    def _forget(self):
         self.cache: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.matrix = np.empty((0, max(len(self.langs), 1)), np.float32)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "rows")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "matrix")}
 
     def __setstate__(self, state):
-        self.__dict__ |= state | {"cache": {}, "rows": []}
-
-    def word(self, w: str) -> np.ndarray:
-        """Scores in all languages, the best one 0."""
-        g = grams(w)
-        out = np.sum([self.table.get(x, self.unseen) for x in g], axis=0) / np.sqrt(len(g))
-        script = script_of(w)
-        can = np.array([s.get(script, 0) >= SCRIPT_SHARE for s in self.scripts])
-        if can.any():
-            out = np.where(can, out, out[can].min() - 20)
-        return out - out.max()
+        self.__dict__ |= state
+        self._forget()
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """words x languages, the best one 0."""
+        h, owner = grams(words)
+        at = np.searchsorted(self.grams, h)
+        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != h)] = len(self.grams)
+        n = np.bincount(owner, minlength=len(words))
+        out = np.stack([np.bincount(owner, weights=self.table[at, k], minlength=len(words)) for k in range(len(self.langs))], 1) / np.sqrt(n)[:, None]
+        can = self.scripts[scripts_of(words)]
+        can |= ~can.any(axis=1, keepdims=True)
+        out = np.where(can, out, np.where(can, out, np.inf).min(axis=1, keepdims=True) - 20)
+        return (out - out.max(axis=1, keepdims=True)).astype(np.float32)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """words x languages."""
+        """words x languages; words met before are looked up."""
         if len(self.cache) > WORD_CACHE:
-            self.cache, self.rows = {}, []
-        ids = np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
-            i = self.cache.get(w)
-            if i is None:
-                i = self.cache[w] = len(self.rows)
-                self.rows.append(self.word(w))
-            ids[k] = i
-        self.matrix = self.matrix if len(getattr(self, "matrix", ())) == len(self.rows) else np.array(self.rows)
-        return self.matrix[ids]
+            self._forget()
+        new = [w for w in dict.fromkeys(words) if w not in self.cache]
+        if new:
+            self.matrix = np.concatenate([self.matrix, self.word_scores(new)])
+            for w in new:
+                self.cache[w] = len(self.cache)
+        return self.matrix[np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))]
+
+
+def _advance(scores, first, lengths, start, penalty):
+    """Best scores at the end of each chain [first, first + length) that begins with the bonus start (chains x languages).
+
+    Chains are sorted longest first and advance together. Also gives for each step and chain: which states stay, and where
+    the others come from."""
+    steps, back = int(lengths[0]) if len(lengths) else 0, []
+    best = start + scores[first]
+    ends = best.copy()
+    active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="left")  # chains longer than t
+    for t in range(1, steps):
+        m = int(active[t - 1])
+        best = best[:m]
+        top = best.argmax(axis=1)
+        moved = best[np.arange(m), top] - penalty
+        stay = best >= moved[:, None]
+        back.append((stay, top.astype(np.int8)))
+        best = np.where(stay, best, moved[:, None]) + scores[first[:m] + t]
+        ends[:m] = best
+    return ends, back
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
-    """Labels of all words; the chains are [first, first + length). Chains advance together, one word a step."""
-    n, n_langs = scores.shape
-    stay = np.zeros((n, n_langs), bool)
-    came = np.zeros(n, np.int64)
-    labels = np.zeros(n, np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    first, lengths = first[order], lengths[order]
-    live = int((lengths > 0).sum())
-    best = scores[first[:live]].copy()
-    finals = np.zeros((live, n_langs))
-    longest = int(lengths[0]) if live else 0
-    active = np.searchsorted(-lengths[:live], -np.arange(longest + 1), side="left")  # chains longer than t
-    for t in range(1, longest + 1):
-        m = int(active[t])
-        finals[m : len(best)] = best[m:]
-        best = best[:m]
-        if not m:
-            break
-        top = best.argmax(axis=1)
-        switched = best[np.arange(m), top] - penalty
-        at = first[:m] + t
-        keep = best >= switched[:, None]
-        stay[at] = keep
-        came[at] = top
-        best = np.where(keep, best, switched[:, None]) + scores[at]
-    state = finals.argmax(axis=1)
-    for t in range(longest - 1, -1, -1):
-        m = int(active[t])
-        at = first[:m] + t
-        labels[at] = state[:m]
-        if t:
-            kept = stay[at, state[:m]]
-            state[:m] = np.where(kept, state[:m], came[at])
+    """Best labels of all words; the chains are [first, first + length).
+
+    Chains are cut into segments of SEGMENT words. All segments advance together from every possible state before them; then
+    the segments of a chain are joined, which fixes the state before and at the end of each, and one more advance from
+    those gives the labels. So a step costs the same whatever the longest text."""
+    labels, n_langs = np.zeros(len(scores), np.int64), scores.shape[1]
+    counts = -(-lengths // SEGMENT)
+    chain = np.repeat(np.arange(len(first)), counts)
+    if not len(chain):
+        return labels
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(counts) - counts, counts)
+    begin = first[chain] + number * SEGMENT
+    size = np.minimum(SEGMENT, lengths[chain] - number * SEGMENT)
+    order = np.argsort(-size, kind="stable")
+    enter = np.where(np.eye(n_langs, dtype=bool), 0, -penalty).astype(np.float32)  # before x first state
+    start = np.where((number == 0)[:, None, None], np.float32(0), enter)  # segments x before x first
+    through = np.empty((len(chain), n_langs, n_langs), np.float32)  # segments x before x last
+    for s in range(n_langs):
+        through[order, s] = _advance(scores, begin[order], size[order], start[order, s], penalty)[0]
+    last_of = np.cumsum(counts) - 1
+    before, best = np.zeros((len(chain), n_langs), np.int64), np.zeros((len(first), n_langs), np.float64)
+    for j in range(int(counts.max())):
+        c = np.flatnonzero(counts > j)
+        at = last_of[c] - counts[c] + 1 + j
+        total = best[c][:, :, None] + through[at] if j else through[at].astype(np.float64)
+        before[at] = total.argmax(axis=1)
+        best[c] = total.max(axis=1)
+    ends, entry = np.zeros(len(chain), np.int64), np.zeros(len(chain), np.int64)
+    state = best.argmax(axis=1)
+    for j in range(int(counts.max()) - 1, -1, -1):
+        c = np.flatnonzero(counts > j)
+        at = last_of[c] - counts[c] + 1 + j
+        ends[at], entry[at] = state[c], before[at, state[c]]
+        state[c] = entry[at]
+    _, back = _advance(scores, begin[order], size[order], start[order, entry[order]], penalty)
+    state, at = ends[order].copy(), begin[order] + size[order] - 1
+    labels[at] = state
+    for t in range(len(back), 0, -1):
+        stay, top = back[t - 1]
+        m = len(top)
+        state[:m] = np.where(stay[np.arange(m), state[:m]], state[:m], top)
+        labels[begin[order[:m]] + t - 1] = state[:m]
     return labels
 
 
