@@ -1,12 +1,14 @@
 """License scan by conditional compression.
 
-Candidate blocks are the lines that hold a license word, joined with neighbours at most GAP lines away; in lines of over
-WINDOW words only the words around the license words. A block is compressed by zstandard alone and with each template as
-raw dictionary; the relative reductions rank the templates. The TOP of them are confirmed by exact wording: the block's and
-the template's words are aligned, words of the template that are missing and block words inside the aligned part that the
-template doesn't have are counted; a template is confirmed if both are at most DIFF of its length and no missing or extra
-word is a number, a version or a word that changes the terms. Of confirmed templates the one with fewest differences wins
-(then the longest, then the first by name), and the words that it covers are taken out before the next.
+Candidate blocks are the words at most REACH words from a license word, however the lines are wrapped; REACH is more than
+any template's occurrence is long, so a block holds every occurrence whole. A run of over WINDOW + REACH words is cut into
+blocks that overlap by REACH words, and an occurrence belongs to the block in whose first WINDOW words it starts. A block
+is compressed by zstandard alone and with each template as raw dictionary; the relative reductions rank the templates. The
+TOP of them are confirmed by exact wording. A confirmed occurrence shares SEED consecutive words with its template (see
+there), so each such place is aligned: words of the template that are missing and block words inside the aligned part that
+the template doesn't have are counted; a template is confirmed if both are at most DIFF of its length and no missing or
+extra word is a number, a version or a word that changes the terms. Of confirmed templates the one with fewest differences
+wins (then the longest, then the first by name), and the words that it covers are taken out before the next.
 
 Edge cases: null and empty texts have no blocks; a block without confirmed template counts in n_blocks only; rows are
 independent, so repeated rows get equal results; an empty table gives an empty result; other columns are not read.
@@ -15,6 +17,8 @@ independent, so repeated rows get equal results; an empty table gives an empty r
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 
 import zstandard
@@ -23,7 +27,10 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import map_slices
 
-GAP, WINDOW, AROUND, TOP, DIFF = 3, 600, 260, 4, 0.1
+WINDOW, TOP, DIFF = 600, 4, 0.1
+#: With d = DIFF * n missing and d extra words, the other n - d words of a template of n words stand in at most 2 * d + 1 runs;
+#: the longest has at least three words.
+SEED = 3
 LEVEL = 6
 
 #: Wording of licenses and of the notices that refer to them.
@@ -83,6 +90,7 @@ def templates() -> list[tuple[str, str]]:
 
 
 HINTS = ("licen", "released under", "distributed under", "available under", "copyright", "permission", "redistribut", "public domain", "public license", "creative commons", "warrant")
+HINT = re.compile("|".join(r"\W+".join(h.split()) for h in HINTS), re.I)
 WORD = re.compile(r"[\w.+/-]*\w")
 #: A difference in one of these is never a slip: numbers, versions, and words that change the terms.
 TELLING = re.compile(r"\d|^(?:not?|non\w*|without|except|by(?:-\w+)*|lesser|affero|mit|isc|bsd|apache|mozilla|boost|gnu)$")
@@ -92,35 +100,41 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def candidate_blocks(text: str | None) -> list[tuple[int, int]]:
-    """Code points [start, end) of the blocks."""
+REACH = max(len(words_of(t)) + 2 * int(DIFF * len(words_of(t))) for _, t in templates())
+
+
+def candidate_blocks(text: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Code points of all words, and the blocks as words [start, end) with the end of the part in which occurrences start."""
     low = (text or "").lower()
-    if not text or not any(h in low for h in HINTS):
-        return []
-    spans, at = [], 0
-    for k, line in enumerate(text.split("\n")):
-        low = line.lower()
-        if any(h in low for h in HINTS):
-            if len(line) > 4 * WINDOW and len(places := [m.span() for m in WORD.finditer(line)]) > WINDOW:
-                hit = [i for i, (a, b) in enumerate(places) if any(h.split()[0] in low[a:b] for h in HINTS)]
-                for i in hit:
-                    a, b = at + places[max(0, i - AROUND)][0], at + places[min(len(places) - 1, i + AROUND)][1]
-                    if spans and spans[-1][2] == k and a <= spans[-1][1] and b - spans[-1][0] <= 8 * WINDOW:
-                        spans[-1][1] = b
-                    else:
-                        spans.append([a, b, k])
-            elif spans and k - spans[-1][2] <= GAP and at + len(line) - spans[-1][0] <= 8 * WINDOW:
-                spans[-1][1:] = [at + len(line), k]
-            else:
-                spans.append([at, at + len(line), k])
-        at += len(line) + 1
-    return [(a, b) for a, b, _ in spans]
+    if not text or not any(h.split()[0] in low for h in HINTS) or not HINT.search(text):
+        return [], []
+    places = [m.span() for m in WORD.finditer(text)]
+    starts, runs = [a for a, _ in places], []
+    for m in HINT.finditer(text):
+        k = bisect_right(starts, m.start()) - 1
+        a, b = max(0, k - REACH), min(len(places), k + REACH + 1)
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = b
+        else:
+            runs.append([a, b])
+    out = []
+    for a, b in runs:
+        while b - a > WINDOW + REACH:
+            out.append((a, a + WINDOW, a + WINDOW + REACH))
+            a += WINDOW
+        out.append((a, b, b))
+    return places, out
 
 
 class Scanner:
     def __init__(self):
         self.names = templates()
         self.words = [words_of(t) for _, t in self.names]
+        self.counts = [Counter(w) for w in self.words]
+        self.seeds: list[dict[tuple[str, ...], list[int]]] = [{} for _ in self.words]
+        for own, seeds in zip(self.words, self.seeds, strict=True):
+            for j in range(len(own) - SEED + 1):
+                seeds.setdefault(tuple(own[j : j + SEED]), []).append(j)
         kw = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = zstandard.ZstdCompressor(**kw)
         raw = [zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, t in self.names]
@@ -133,34 +147,61 @@ class Scanner:
         gains = [(1 - len(c.compress(data)) / alone, k) for k, c in enumerate(self.with_dict)]
         return sorted(gains, key=lambda x: (-x[0], x[1]))[:TOP]
 
-    def compare(self, words: list[str], k: int) -> tuple[int, int, int, int] | None:
-        """Missing and extra words, and the aligned part of the block; None if the wording isn't the template's."""
+    def compare(self, words: list[str], k: int) -> list[tuple[int, int, int, int]]:
+        """Missing and extra words, and the aligned part of the block, at each place where the wording is the template's."""
+        own, seeds = self.words[k], self.seeds[k]
+        grams = zip(*(words[i:] for i in range(SEED)), strict=False)
+        offsets = {i - j for i, gram in enumerate(grams) for j in seeds.get(gram, ())}
+        slack, out = int(DIFF * len(own)), set()
+        for offset in sorted(offsets):
+            at = max(0, offset - slack)
+            if c := self._aligned(words[at : max(0, offset + len(own) + slack)], k, slack):
+                out.add((c[0], c[1], at + c[2], at + c[3]))
+        return sorted(out)
+
+    def _aligned(self, words: list[str], k: int, slack: int) -> tuple[int, int, int, int] | None:
         own = self.words[k]
-        same = [b for b in SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks() if b.size]
-        if not same:
+        if (self.counts[k] & Counter(words)).total() < len(own) - slack:
             return None
+        same = [b for b in SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks() if b.size]
+        best, score, first = (0, 0, 0), 0, 0  # the neighbours in words with the most common words less those between
+        for i, x in enumerate(same):
+            score -= x.a - same[i - 1].a - same[i - 1].size if i else 0
+            if score < 0:
+                score, first = 0, i
+            score += x.size
+            if score >= best[0]:
+                best = score, first, i + 1
+        same = same[best[1] : best[2]]
         a, b = same[0].a, same[-1].a + same[-1].size
         inside, matched = {i for x in same for i in range(x.a, x.a + x.size)}, {i for x in same for i in range(x.b, x.b + x.size)}
         extra = [words[i] for i in range(a, b) if i not in inside]
         missing = [own[i] for i in range(len(own)) if i not in matched]
-        if max(len(extra), len(missing)) > DIFF * len(own) or any(TELLING.search(w) for w in extra + missing):
+        if max(len(extra), len(missing)) > slack or any(TELLING.search(w) for w in extra + missing):
             return None
         return len(missing), len(extra), a, b
 
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
-        blocks, found = candidate_blocks(text), []
-        for start, end in blocks:
-            block = text[start:end]
-            while True:
-                places = [m.span() for m in WORD.finditer(block)]
-                words = [block[a:b].lower() for a, b in places]
-                sure = [(c[0] + c[1], -len(self.words[k]), self.names[k][0], gain, c) for gain, k in self.ranked(block) if (c := self.compare(words, k))]
+        places, blocks = candidate_blocks(text)
+        lower, taken, found = [text[a:b].lower() for a, b in places], [False] * len(places), []
+        for first, core, last in blocks:
+            while live := [i for i in range(first, last) if not taken[i]]:
+                block, at = [], places[first][0]
+                for i in range(first, last):
+                    block += [" "] * (places[i][1] - at) if taken[i] else [text[at : places[i][1]]]
+                    at = places[i][1]
+                words = [lower[i] for i in live]
+                sure = [
+                    (c[0] + c[1], -len(self.words[k]), self.names[k][0], gain, c)
+                    for gain, k in self.ranked("".join(block)) for c in self.compare(words, k) if live[c[2]] < core
+                ]
                 if not sure:
                     break
                 _, _, name, gain, (missing, extra, a, b) = min(sure)
-                s, e = places[a][0], places[b - 1][1]
-                found.append({"license": name, "start": start + s, "end": start + e, "reduction": round(gain, 6), "missing": missing, "extra": extra})
-                block = block[:s] + " " * (e - s) + block[e:]
+                s, e = places[live[a]][0], places[live[b - 1]][1]
+                found.append({"license": name, "start": s, "end": e, "reduction": round(gain, 6), "missing": missing, "extra": extra})
+                for i in live[a:b]:
+                    taken[i] = True
         return len(blocks), sorted(found, key=lambda x: (x["start"], x["license"]))
 
 
