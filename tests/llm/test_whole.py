@@ -21,3 +21,14 @@ def test_licenses_across_block_boundaries():
         spans = s.scan(text)[1]
         assert [x["license"] for x in spans] == ["BSD-3-Clause", "MIT", "BSD-2-Clause"] * 6
         assert {text[x["start"] : x["end"]] for x in spans} == {t.rstrip(".") for t in (licenses.BSD_3, licenses.GRANT_MIT, licenses.BSD_2)}
+
+
+def test_licenses_beyond_the_best_ranks():
+    s = licenses.Scanner()
+    found = lambda t: [x["license"] for x in s.scan(t)[1]]
+    altered = licenses.BSD_3.replace("without", "with").replace("Neither", "Both")
+    old = licenses.GRANT_ISC.replace("without fee", "no fee")
+    assert found(altered) == [] and found(old) == []
+    for name, notice in licenses.templates():
+        if len(notice) < 120:
+            assert found(f"{altered}\n{notice}") == [name] == found(f"{old}\n\n{notice}"), notice

@@ -3,8 +3,8 @@
 Candidate blocks are the words at most REACH words from a license word, however the lines are wrapped; REACH is more than
 any template's occurrence is long, so a block holds every occurrence whole. A run of over WINDOW + REACH words is cut into
 blocks that overlap by REACH words, and an occurrence belongs to the block in whose first WINDOW words it starts. A block
-is compressed by zstandard alone and with each template as raw dictionary; the relative reductions rank the templates. The
-TOP of them are confirmed by exact wording. A confirmed occurrence shares SEED consecutive words with its template (see
+is compressed by zstandard alone and with each template as raw dictionary; the relative reductions rank the templates. All of
+them, down the ranking, are compared by exact wording. A confirmed occurrence shares SEED consecutive words with its template (see
 there), so each such place is aligned: words of the template that are missing and block words inside the aligned part that
 the template doesn't have are counted; a template is confirmed if both are at most DIFF of its length and no missing or
 extra word is a number, a version or a word that changes the terms. Of confirmed templates the one with fewest differences
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import map_slices
 
-WINDOW, TOP, DIFF = 600, 4, 0.1
+WINDOW, DIFF = 600, 0.1
 #: With d = DIFF * n missing and d extra words, the other n - d words of a template of n words stand in at most 2 * d + 1 runs;
 #: the longest has at least three words.
 SEED = 3
@@ -131,10 +131,10 @@ class Scanner:
         self.names = templates()
         self.words = [words_of(t) for _, t in self.names]
         self.counts = [Counter(w) for w in self.words]
-        self.seeds: list[dict[tuple[str, ...], list[int]]] = [{} for _ in self.words]
-        for own, seeds in zip(self.words, self.seeds, strict=True):
+        self.seeds: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        for k, own in enumerate(self.words):
             for j in range(len(own) - SEED + 1):
-                seeds.setdefault(tuple(own[j : j + SEED]), []).append(j)
+                self.seeds.setdefault(tuple(own[j : j + SEED]), []).append((k, j))
         kw = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = zstandard.ZstdCompressor(**kw)
         raw = [zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, t in self.names]
@@ -145,17 +145,23 @@ class Scanner:
         data = block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
         gains = [(1 - len(c.compress(data)) / alone, k) for k, c in enumerate(self.with_dict)]
-        return sorted(gains, key=lambda x: (-x[0], x[1]))[:TOP]
+        return sorted(gains, key=lambda x: (-x[0], x[1]))
 
-    def compare(self, words: list[str], k: int) -> list[tuple[int, int, int, int]]:
+    def offsets(self, words: list[str]) -> dict[int, set[int]]:
+        """Of every template that shares SEED words with the block: where its first word would stand."""
+        out: dict[int, set[int]] = {}
+        for i, gram in enumerate(zip(*(words[i:] for i in range(SEED)), strict=False)):
+            for k, j in self.seeds.get(gram, ()):
+                out.setdefault(k, set()).add(i - j)
+        return out
+
+    def compare(self, words: list[str], k: int, offsets: set[int]) -> list[tuple[int, int, int, int]]:
         """Missing and extra words, and the aligned part of the block, at each place where the wording is the template's."""
-        own, seeds = self.words[k], self.seeds[k]
-        grams = zip(*(words[i:] for i in range(SEED)), strict=False)
-        offsets = {i - j for i, gram in enumerate(grams) for j in seeds.get(gram, ())}
-        slack, out = int(DIFF * len(own)), set()
+        size = len(self.words[k])
+        slack, out = int(DIFF * size), set()
         for offset in sorted(offsets):
             at = max(0, offset - slack)
-            if c := self._aligned(words[at : max(0, offset + len(own) + slack)], k, slack):
+            if c := self._aligned(words[at : max(0, offset + size + slack)], k, slack):
                 out.add((c[0], c[1], at + c[2], at + c[3]))
         return sorted(out)
 
@@ -191,9 +197,10 @@ class Scanner:
                     block += [" "] * (places[i][1] - at) if taken[i] else [text[at : places[i][1]]]
                     at = places[i][1]
                 words = [lower[i] for i in live]
+                offsets = self.offsets(words)
                 sure = [
                     (c[0] + c[1], -len(self.words[k]), self.names[k][0], gain, c)
-                    for gain, k in self.ranked("".join(block)) for c in self.compare(words, k) if live[c[2]] < core
+                    for gain, k in self.ranked("".join(block)) for c in self.compare(words, k, offsets.get(k, set())) if live[c[2]] < core
                 ]
                 if not sure:
                     break
