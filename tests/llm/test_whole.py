@@ -2,7 +2,7 @@
 
 import textwrap
 
-from webloom.llm import licenses
+from webloom.llm import decontaminate, licenses
 
 
 def test_licenses_wrapped_lines():
@@ -32,3 +32,23 @@ def test_licenses_beyond_the_best_ranks():
     for name, notice in licenses.templates():
         if len(notice) < 120:
             assert found(f"{altered}\n{notice}") == [name] == found(f"{old}\n\n{notice}"), notice
+
+
+def test_decontamination_does_not_depend_on_blocks(spark):
+    word = lambda k: f"w{k}"
+    items = [(k, " ".join(word(100 * k + i) for i in range(15))) for k in range(8)]
+    filler = lambda n: " ".join(f"f{i}" for i in range(n))
+    texts = [" ".join(t for _, t in items) + " " + filler(120 * n) for n in (1, 10, 19, 21)]  # 120 hit words, each item alone is under 1 in 20
+    texts += [f"{items[k][1]} {filler(20)}" for k in range(4)] + [f"{items[0][1]} {filler(900)}", f"{filler(30)}, {items[5][1]}", None, ""]
+    ids = [None, None, 7, 7, None, 7, 8, 9, None, 7, None, 7]
+    docs = spark.createDataFrame(list(zip(ids, texts, range(len(ids)), strict=True)), "doc_id bigint, text string, n int")
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    show = lambda df: sorted(map(repr, df.collect()))
+    want = decontaminate.hits(docs, bench)
+    assert want.count() == len(ids)
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert {r.n for r in kept.collect()} == {3, 8, 10, 11}
+    for size in (150, 400):
+        assert show(decontaminate.hits(docs, bench, size)) == show(want)
+        several = decontaminate.drop_contaminated(docs, bench, size)
+        assert several.schema == kept.schema and show(several) == show(kept)

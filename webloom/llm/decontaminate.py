@@ -12,8 +12,8 @@ passes beyond it) go to the tasks.
 
 Edge cases: null or empty text has no words (n_words 0, nothing hit, not contaminated); an item without words gives no
 phrase; equal items are all reported; a null item_id counts as the empty string; an empty benchmark hits nothing; rows are
-independent, so repeated rows get equal results; other columns are not read. With several passes rows are merged by
-doc_id and repeated rows with one doc_id become one.
+independent, so repeated rows get equal results; other columns are not read. With several passes the documents are stored
+with row numbers, and what the passes hit is united per row, so results don't depend on the number of passes.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import map_slices, slices
+from webloom.llm.common import map_slices, slices, stored
 
 N = 13
 SAMPLE = 16
 BLOCK_BYTES = 32 << 20
-SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, item_ids array<string>, word_spans array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>"
+SCHEMA = "row bigint, doc_id bigint, n_words bigint, n_hit bigint, item_ids array<string>, word_spans array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>"
 
 #: Bytes of a word stay (A-Z as a-z), all others become a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -186,42 +186,59 @@ def text_spans(text: str, word_spans: list[tuple[int, int]]) -> list[dict]:
 
 def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: words, hit words, items with occurrences, and merged removal spans (words, code points)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    parts = _phrase_blocks(benchmark, block_bytes)
+    if len(parts) == 1:
+        return _hits_of_block(docs, parts[0]).drop("row")
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
+    return _united(rows, parts).drop("row")
+
+
+def _phrase_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    parts = [_hits_of_block(docs, spark, bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)) for b in range(blocks)]
-    if blocks == 1:
-        return parts[0]
-    out = parts[0]
+    return [bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id", "text") for b in range(blocks)]
+
+
+def _united(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """Of documents with row numbers: the union of what the blocks hit, by row."""
+    out = _hits_of_block(rows, parts[0])
     for p in parts[1:]:
-        out = out.unionByName(p.where("n_hit > 0"))
-    merged = out.groupBy("doc_id").agg(
+        out = out.unionByName(_hits_of_block(rows, p).where("n_hit > 0"))
+    both = F.transform(
+        F.arrays_zip("word_spans", "spans"),
+        lambda s: F.struct(s["word_spans"]["start"].alias("start"), s["word_spans"]["end"].alias("end"), s["spans"]["start"].alias("from"), s["spans"]["end"].alias("to")),
+    )
+    merged = out.withColumn("both", both).groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"),
-        _merged("word_spans").alias("word_spans"),
-        _merged("spans").alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        _merged("both").alias("both"),
     )
-    n_hit = F.aggregate("word_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
-    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "item_ids", "word_spans", "spans")
+    n_hit = F.aggregate("both", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    cut = lambda a, b: F.transform("both", lambda s: F.struct(s[a].alias("start"), s[b].alias("end")))
+    return merged.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), "item_ids", cut("start", "end").alias("word_spans"), cut("from", "to").alias("spans"))
 
 
 def _merged(name: str):
-    """Union of the spans of several passes, overlapping ones joined."""
+    """Union of the spans of several passes; those that overlap or touch by words are joined, as in one pass."""
     spans = F.array_sort(F.flatten(F.collect_list(name)))
-    empty = F.lit(None).cast("array<struct<start:int,end:int>>")
+    kind = "array<struct<start:int,end:int,from:int,to:int>>"
 
     def add(done, s):
         last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        whole = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["from"].alias("from"), F.greatest(last["to"], s["to"]).alias("to"))
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(whole))
         return F.when(F.size(done) == 0, F.array(s)).when(s["start"] <= last["end"], joined).otherwise(F.concat(done, F.array(s)))
 
-    return F.aggregate(spans, F.coalesce(empty, F.array().cast("array<struct<start:int,end:int>>")), add)
+    return F.aggregate(spans, F.array().cast(kind), add)
 
 
-def _hits_of_block(docs: DataFrame, spark, bench: DataFrame) -> DataFrame:
-    phrases = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in bench.orderBy("item_id", "text").collect()]))
+def _hits_of_block(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    phrases = docs.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in bench.collect()]))
+    if "row" not in docs.columns:
+        docs = docs.withColumn("row", F.lit(0).cast("bigint"))
 
     def make():
         block = phrases.value
@@ -229,7 +246,7 @@ def _hits_of_block(docs: DataFrame, spark, bench: DataFrame) -> DataFrame:
         def f(cols):
             counts, marks, items = search_shard(cols["text"], block)
             n = len(counts)
-            out = {"doc_id": cols["doc_id"], "n_words": counts, "n_hit": [0] * n, "item_ids": [[]] * n, "word_spans": [[]] * n, "spans": [[]] * n}
+            out = {"row": cols["row"], "doc_id": cols["doc_id"], "n_words": counts, "n_hit": [0] * n, "item_ids": [[]] * n, "word_spans": [[]] * n, "spans": [[]] * n}
             for k, hit in marks.items():
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0])).astype(np.int8))).tolist()
                 by_word = list(zip(edges[::2], edges[1::2], strict=True))
@@ -249,17 +266,15 @@ CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that are not contaminated, all columns kept; with several blocks of phrases, those that no block
-    alone contaminates."""
-    spark = docs.sparkSession
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string"))
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    for b in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id", "text")
-        phrases = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in part.collect()]))
-        docs = _without_hits(docs, phrases)
-    return docs
+    """The documents that are not contaminated by what all blocks of phrases hit together, all columns kept."""
+    parts = _phrase_blocks(benchmark, block_bytes)
+    if len(parts) == 1:
+        return _without_hits(docs, docs.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in parts[0].collect()])))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
+    rows = stored(numbered, "decontaminate-rows")
+    texts = rows.select("row", F.lit(None).cast("bigint").alias("doc_id"), F.col("rest")["text"].cast("string").alias("text"))
+    out = rows.join(_united(texts, parts).where(CONTAMINATED).select("row"), "row", "left_anti")
+    return out.select([F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def _without_hits(docs: DataFrame, phrases) -> DataFrame:
