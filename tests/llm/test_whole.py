@@ -2,7 +2,7 @@
 
 import textwrap
 
-from webloom.llm import decontaminate, licenses
+from webloom.llm import decontaminate, html_text, licenses
 
 
 def test_licenses_wrapped_lines():
@@ -52,3 +52,20 @@ def test_decontamination_does_not_depend_on_blocks(spark):
         assert show(decontaminate.hits(docs, bench, size)) == show(want)
         several = decontaminate.drop_contaminated(docs, bench, size)
         assert several.schema == kept.schema and show(several) == show(kept)
+
+
+def test_html_marks_are_whole_names():
+    text = lambda page: html_text.main_text(html_text.blocks_of(page))[0]
+    for wrap in ("content-sidebar-wrap", "no-sidebar", "has-nav", "comments-open", "sidebar", "sidebar-right", "ad-free", "with_sidebar"):
+        for key in ("class", "id"):
+            assert text(f"<body><div {key}='{wrap}'><div><article><h1>A</h1><p>b c</article></div></div><div class='sidebar'><p>s</div>") == "A\n\nb c", wrap
+            assert text(f"<body><div {key}='{wrap}'><main><p>b c</main></div>") == "b c", wrap
+    inside = (
+        "<article>{}<section id='legal-history'><h2 id='copyright'>B</h2><p>c</section><section id='search'><p>d</section><div id='search-results-analysis'><p>e</div>"
+        "<p title='a hidden gem' data-class='ad'>f<p alt=\"class='ad' hidden\">g</article>"
+    )
+    assert text(inside.format("")) == "B\n\nc\n\nd\n\ne\n\nf\n\ng"
+    dropped = ("class='ad'", "class='x ad-slot'", "id=main_nav", "class='related-posts'", "class=comments-area", "id='ad-1'", "role=navigation", "hidden", "hidden=''", "aria-hidden='true'", "style='color:red; display: none'")
+    for attrs in dropped:
+        assert text(inside.format(f"<div {attrs}><p>z</div>")) == text(inside.format("")), attrs
+    assert text("<article><p>a</article><div id='comments'><article class='comment-body'><p>n</article></div><div class='related-posts'><article><p>r</article></div>") == "a"
