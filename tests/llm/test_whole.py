@@ -54,6 +54,18 @@ def test_decontamination_does_not_depend_on_blocks(spark):
         assert several.schema == kept.schema and show(several) == show(kept)
 
 
+def test_host_boilerplate_does_not_depend_on_host_size(spark, monkeypatch):
+    words = lambda *x: " ".join("".join(f"{v}q" for v in (*x, i)) for i in range(12))
+    menu, twice = "one menu of a section", "this stands on two pages"
+    pages = [f"<div>{words(k, 1)}</div>" + f"<div>{menu}</div>" * (k in (3, 77, 120)) + f"<p>{twice}</p>" * (k in (5, 90)) for k in range(130)]
+    rows = [(k, "http://big.com/x", p) for k, p in enumerate(pages)] + [(1000 + k, "http://small.com/", pages[k]) for k in (3, 77, 120, 5)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {k: words(k % 1000, 1) + f"\n\n{twice}" * (k in (5, 90, 1005)) for k, _, _ in rows}
+    for size in (512, 8):
+        monkeypatch.setattr(html_text, "SHARD_PAGES", size)
+        assert {r.page_id: r.text for r in html_text.extract(df).collect()} == want
+
+
 def test_html_marks_are_whole_names():
     text = lambda page: html_text.main_text(html_text.blocks_of(page))[0]
     for wrap in ("content-sidebar-wrap", "no-sidebar", "has-nav", "comments-open", "sidebar", "sidebar-right", "ad-free", "with_sidebar"):
