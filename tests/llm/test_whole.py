@@ -2,7 +2,9 @@
 
 import textwrap
 
-from webloom.llm import decontaminate, html_text, licenses
+import numpy as np
+
+from webloom.llm import decontaminate, html_text, licenses, media
 
 
 def test_licenses_wrapped_lines():
@@ -81,3 +83,12 @@ def test_html_marks_are_whole_names():
     for attrs in dropped:
         assert text(inside.format(f"<div {attrs}><p>z</div>")) == text(inside.format("")), attrs
     assert text("<article><p>a</article><div id='comments'><article class='comment-body'><p>n</article></div><div class='related-posts'><article><p>r</article></div>") == "a"
+
+
+def test_fingerprint_hears_the_last_samples():
+    rng = np.random.default_rng(5)
+    for size in (576, 960, 1344):
+        head = rng.integers(0, 256, size - 64, np.uint8).tobytes()
+        offsets, times, codes = media.fingerprints([head + rng.integers(0, 256, 64, np.uint8).tobytes() for _ in range(20)])
+        features = {(times[a:b].tobytes(), codes[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)}
+        assert len(features) > 1, size

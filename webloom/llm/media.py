@@ -1,7 +1,7 @@
 """Media columns: texts as WAV payloads, read back and fingerprinted by pairs of spectral peaks.
 
 A text's UTF-8 bytes, padded with spaces to a positive multiple of FRAME_BYTES, become the 8-bit mono samples of a WAV
-file. The file is read back with the wave module, cut into overlapping windowed frames, and transformed (short-time
+file. The file is read back with the wave module, cut into overlapping windowed frames (silence fills the last), and transformed (short-time
 Fourier transform). In each band of each frame the strongest bin that also beats the same band of both neighbour frames
 is a peak; a peak is paired with the next FAN_OUT peaks of its band, and each pair (first bin, second bin, frames between) is a code
 stored with the frame of its first peak.
@@ -81,10 +81,10 @@ def band_peaks(samples: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 
 def fingerprints(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all payloads at once: offsets into, frame numbers and pair codes, in time order within a payload."""
-    sizes = np.array([max(WINDOW, len(p)) for p in payloads], np.int64)
+    counts = np.array([1 + max(0, -(-(len(p) - WINDOW) // HOP)) for p in payloads], np.int64)
+    sizes = WINDOW + (counts - 1) * HOP
     begins = np.concatenate(([0], np.cumsum(sizes)))
-    samples = np.frombuffer(b"".join(p.ljust(WINDOW, b"\x80") for p in payloads), np.uint8)
-    counts = 1 + (sizes - WINDOW) // HOP
+    samples = np.frombuffer(b"".join(p.ljust(n, b"\x80") for p, n in zip(payloads, sizes.tolist(), strict=True)), np.uint8)
     firsts = np.concatenate(([0], np.cumsum(counts)))
     owner = np.repeat(np.arange(len(payloads)), counts)
     frame = np.arange(firsts[-1]) - firsts[owner]
