@@ -1,7 +1,7 @@
 """The whole job: cases in which an operator once did a part of it."""
 
 from webloom import api
-from webloom.operators import geo
+from webloom.operators import geo, sitemap
 
 
 def test_geo_has_all_countries_and_cities(spark):
@@ -16,3 +16,11 @@ def test_geo_has_all_countries_and_cities(spark):
         ("en-US", "America/New_York", "en-US,en;q=0.9"), ("en-AU", "Australia/Perth", "en-AU,en;q=0.9"), ("en-AQ", "Antarctica/McMurdo", "en-AQ,en;q=0.9"),
         (None, None, None), (None, None, None),
     ]
+
+
+def test_site_map_has_every_level(spark):
+    rows = [(f"u{k}", f"u{k - 1}" if k else None, k, k, 200, None, 0) for k in range(24)]
+    df = spark.createDataFrame(rows, "url string, parent_url string, ord bigint, depth int, status_code int, error string, took_ms int")
+    lines = [r.line.strip("│├└─ ").split(" ")[0] for r in sitemap.text_lines(df).orderBy("path").collect()]
+    assert lines == [f"u{k}" for k in range(24)]
+    assert sitemap.text_lines(df, 3).count() == 4

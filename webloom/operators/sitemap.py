@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,10 +24,11 @@ def children(pages: DataFrame) -> DataFrame:
     return pages.where("parent_url IS NOT NULL").groupBy("parent_url").agg(F.transform(own, lambda x: x["url"]).alias("children"))
 
 
-def text_lines(pages: DataFrame, max_depth: int = 16) -> DataFrame:
+def text_lines(pages: DataFrame, max_depth: int | None = None) -> DataFrame:
     """path (sort key) and line of every page (url, parent_url, ord, depth, status_code, error, took_ms), as a drawn tree.
 
-    Levels are joined one by one on the parent's url; path holds the places from the root on, so sorting by it gives the order."""
+    Levels are joined one by one on the parent's url until one is empty, or down to max_depth below the roots if it is given;
+    path holds the places from the root on, so sorting by it gives the order. Urls must be unique."""
     tag = classify.display_state(F.col("error"), F.col("status_code"))
     label = F.concat(F.col("url"), F.lit("  [d="), F.col("depth").cast("string"), F.lit(", "), tag, F.lit(", "), F.col("took_ms").cast("string"), F.lit("ms]"))
     nodes = pages.select("url", "parent_url", "ord", label.alias("label"))
@@ -35,7 +38,7 @@ def text_lines(pages: DataFrame, max_depth: int = 16) -> DataFrame:
     own = Window.partitionBy("parent_url")
     ranked = cut(nodes.withColumn("last", F.lead("ord").over(own.orderBy("ord")).isNull()))
     out = level
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         up = level.select(F.col("url").alias("parent_url"), "path", "below")
         level = ranked.join(up, "parent_url").select(
             "url", "label", F.concat("path", F.array("ord")).alias("path"),
