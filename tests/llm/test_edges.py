@@ -76,10 +76,20 @@ def test_jaccard(docs, none):
     assert got[2].class_id == got[3].class_id == got[6].class_id == 2 and got[2].n_links == 0
     assert got[4].class_id == 4 and got[5].n_copies == 2
     kept = [r.doc_id for r in jaccard_join.keep_one(docs).collect()]
-    assert sorted(x for x in kept if x) == [1, 2, 4, 5, 7] and kept.count(None) == 2
+    assert sorted(x for x in kept if x) == [1, 2, 4, 5, 7] and kept.count(None) == 1  # the null text without id is a copy of 2
     assert jaccard_join.near_duplicates(none).count() == 0 and jaccard_join.keep_one(none).count() == 0
 
 
+def test_jaccard_keeps_one_of_each_class(spark):
+    v, w, near = LONG[:300], " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(60))
+    rows = [(5, w), (7, w), (5, v), (2, v), (9, near), (9, near + " x"), (None, near), (None, w + " y"), (None, "alone here"), (None, "alone here"), (8, "twice"), (8, "twice")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, key_id int").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(df).collect()), key=str)
+    assert len(kept) == 5 and sum(k[0] == 9 for k in kept) == 1
+    assert [k for k in kept if k[0] != 9] == [(2, v), (5, w), (8, "twice"), (None, "alone here")]
+    assert jaccard_join.near_duplicates(df).count() == len(rows)
+
+
 def test_line_dedup(docs, none):
     index = line_dedup.LineIndex.build(docs)
     rows = index.dedup(docs, ("lang", "score")).collect()

@@ -167,6 +167,30 @@ def test_jaccard_against_brute_force(spark, monkeypatch, small):
     assert got == brute_links(texts)
 
 
+def test_jaccard_of_one_large_cluster(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CLUSTER_LIMIT", 16)
+    monkeypatch.setattr(jaccard_join, "DELTA_ROWS", 4)
+    rng = random.Random(9)
+    base, texts = [f"b{i}" for i in range(120)], {}
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice((0, 1, 2, 3, 4))):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+        texts[i] = " ".join(w[rng.choice((0, 0, 5)) :])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.class_id, r.text_id, r.n_links) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == brute_links(texts) and max(n for _, _, n in got.values()) > 60
+
+
+def test_runs_reach_the_target_recall(spark):
+    assert [jaccard_join.runs_for(r) for r in (0.5, 0.9, 0.9999)] == [1, 2, 8]
+    texts = {i: t for i, t in near_texts(400, 3).items() if t}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = sum(n for _, _, n in brute_links(texts).values())
+    found = [sum(r.n_links for r in jaccard_join.near_duplicates(docs, recall).collect()) for recall in (0.5, 0.9999)]
+    assert want // 2 <= found[0] <= found[1] == want
+
+
 # 5
 def test_cuckoo_filter():
     rng = random.Random(2)

@@ -3,29 +3,33 @@
 1. Copies. Documents with equal word sequences (lower case) are one node, a 64-bit hash of the words. (Two of N texts
    share a hash with a chance of N * N / 2**65.) A node keeps a MinHash of COORDS values of its shingle set; the pairs
    (coordinate, value) are the tokens that similar sets share, about a similarity's part of them.
-2. Chosen paths. Each of RUNS runs samples a token of every set and puts the set in that token's bucket. A bucket of one
-   set is dropped; a bucket of over LIMIT sets is split again: BRANCH coordinates are sampled by a hash of the path, and
-   each set goes to the buckets of its tokens there, up to DEPTH times. A pair of similarity 0.8 misses a root bucket in
-   all runs with a chance of 0.2 ** RUNS (3e-6), so RUNS meets RECALL; splits keep a pair with 1 - 0.2 ** BRANCH each.
+2. Chosen paths. Each run samples a token of every set and puts the set in that token's bucket. A bucket of one set is
+   dropped; a bucket of over LIMIT sets is split again: BRANCH coordinates are sampled by a hash of the path, and each set
+   goes to the buckets of its tokens there, up to DEPTH times. One run keeps a pair of similarity SIMILARITY together with
+   a chance of at least SIMILARITY * (1 - (1 - SIMILARITY) ** BRANCH) ** DEPTH; runs_for() repeats runs until no more than
+   1 - recall of such pairs are expected to miss all of them.
 3. Buckets are brute-forced on byte sketches of the MinHash (agreement of at least SKETCH_MIN, over four standard
    deviations below 0.8); sets found alike are joined to their bucket's smallest, so a bucket gives fewer rows than sets.
    What DEPTH splits leave above LIMIT is dealt out as pairs of blocks, so no bucket is capped.
 4. Clusters. Connected components of these links, by alternating large-star and small-star steps.
-5. Exact check. Every shingle set of a cluster (64-bit hashes) meets in one task, or in pairs of blocks if there are over
-   CLUSTER_LIMIT; all intersections are counted, 5 * |A and B| >= 4 * |A or B| makes a link. Links are counted per node,
-   never listed. A pair that missed all common buckets is still counted if a chain of others joins it.
+5. Exact check. The shingle sets of a cluster (64-bit hashes) meet in one task; all intersections are counted,
+   5 * |A and B| >= 4 * |A or B| makes a link. A cluster of over CLUSTER_LIMIT sets is first written as differences from its
+   smallest node's set (a few shingles a near copy), and pairs of blocks of these differences, dealt out by ranges, give the
+   same intersections. Links are counted per node, never listed. A pair that missed all common buckets is still counted if a
+   chain of others joins it.
 
 Result: doc_id, text_id (smallest doc_id with the same words), n_copies, n_links (other texts at 0.8 or more), class_id
 (smallest doc_id of the connected component), n_shingles.
 
 Edge cases: a text of one to four words is one shingle of all its words; null and empty texts and texts of only white space
 have none: they are copies of each other (one class) and link to nothing else; a null doc_id is ignored in minima, and a
-class with no other id has class_id null; repeated rows are copies; an empty table gives an empty result; other columns
-are not read.
+class with no other id has class_id null; rows are told apart by doc_id and a hash of the text, so ids that repeat or are
+null don't meet each other; repeated rows are copies; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,11 +40,11 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import map_slices, stored
 
-SHINGLE, COORDS = 5, 64
-RECALL, RUNS, LIMIT, BRANCH, DEPTH, BLOCK = 0.9999, 8, 512, 2, 3, 1024
+SHINGLE, COORDS, SIMILARITY = 5, 64, 0.8
+RECALL, LIMIT, BRANCH, DEPTH, BLOCK = 0.9999, 512, 2, 3, 512
 SKETCH_MIN = 38
-CLUSTER_LIMIT = 256
-#: Candidates up to this many are broadcast to pick their texts; beyond it they are joined by shuffle.
+CLUSTER_LIMIT, DELTA_ROWS = 256, 64
+#: Tables of up to this many rows (of two to five numbers) are broadcast to pick rows of large tables; beyond it both are shuffled.
 BROADCAST_ROWS = 2_000_000
 WORD_CACHE = 1 << 19
 EMPTY = np.uint64(0)
@@ -51,6 +55,16 @@ ADD = _RNG.integers(0, 2**63, COORDS, dtype=np.uint64)
 POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 2**64) for i in range(SHINGLE)], np.uint64)
 
 
+def runs_for(recall: float) -> int:
+    """Runs after which a pair of similarity SIMILARITY shared a bucket of some run with a chance of recall, at the deepest split."""
+    kept = SIMILARITY * (1 - (1 - SIMILARITY) ** BRANCH) ** DEPTH
+    return min(COORDS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - kept))))
+
+
+def _small(df: DataFrame, n_rows: int) -> DataFrame:
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+
+
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= WORD_CACHE:
@@ -97,7 +111,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         hashes = WordHashes()
 
         def f(cols):
-            out = {"doc_id": cols["doc_id"], "node": [], "n_shingles": [], "sig": []}
+            out = {"doc_id": cols["doc_id"], "thash": cols["thash"], "node": [], "n_shingles": [], "sig": []}
             for text in cols["text"]:
                 node, s = shingles(text, hashes)
                 out["node"].append(as_long(node))
@@ -107,7 +121,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         return f
 
-    return map_slices(docs, "text", make, "doc_id bigint, node bigint, n_shingles int, sig binary")
+    return map_slices(docs, "text", make, "doc_id bigint, thash bigint, node bigint, n_shingles int, sig binary")
 
 
 def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
@@ -146,10 +160,12 @@ def _split_paths(members: DataFrame, branch: int) -> DataFrame:
     return members.mapInArrow(run, "path bigint, node bigint")
 
 
-def in_groups(rows: DataFrame, keys: list[str], f: Callable[[list[pa.RecordBatch]], dict | None], schema: str) -> DataFrame:
-    """f(batches of one group) for each group of keys: rows are dealt out and sorted by keys, one group in memory at a time."""
+def in_groups(rows: DataFrame, keys: list[str], f: Callable[[list[pa.RecordBatch]], dict | None], schema: str, by_range: bool = False) -> DataFrame:
+    """f(batches of one group) for each group of keys: rows are dealt out and sorted by keys, one group in memory at a time.
+
+    by_range is for few large groups, which then don't share a task while there are tasks enough."""
     names = [x.split()[0] for x in schema.split(", ")]
-    types = {"bigint": pa.int64(), "int": pa.int32()}
+    types = {"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}
     kinds = [types[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,15 +175,15 @@ def in_groups(rows: DataFrame, keys: list[str], f: Callable[[list[pa.RecordBatch
             nonlocal size
             got = f(held) if held else None
             if got:
-                for n in names:
-                    out[n].append(np.asarray(got[n]))
+                for n, t in zip(names, kinds, strict=True):
+                    out[n].append(pa.array(got[n], t))
                 size += len(got[names[0]])
 
         def emit():
             nonlocal out, size
-            columns = [np.concatenate(out[n]) if out[n] else np.empty(0, np.int64) for n in names]
+            columns = [pa.concat_arrays(out[n]) if out[n] else pa.array([], t) for n, t in zip(names, kinds, strict=True)]
             out, size = {n: [] for n in names}, 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for b in batches:
             if not b.num_rows:
@@ -185,7 +201,8 @@ def in_groups(rows: DataFrame, keys: list[str], f: Callable[[list[pa.RecordBatch
         flush()
         yield emit()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    dealt = rows.repartitionByRange(*keys) if by_range else rows.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _stars(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -220,30 +237,37 @@ def _alike(batches: list[pa.RecordBatch]) -> dict | None:
     return {"a": node[moved], "b": node[root[moved]]} if len(moved) else None
 
 
-def candidate_links(nodes: DataFrame, runs: int = RUNS) -> DataFrame:
+def candidate_links(nodes: DataFrame, runs: int) -> DataFrame:
     """a, b: links between nodes that share a bucket of the chosen paths and agree in their sketches."""
     members, leaves = stored(_root_paths(nodes, runs), "paths"), []
     for depth in range(DEPTH + 1):
         counts = stored(members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-        largest = counts.agg(F.max("n")).first()[0] or 0
+        n_big, all_rows, n_rows = counts.agg(F.count_if(F.col("n") > LIMIT), F.sum("n"), F.sum(F.when(F.col("n") > LIMIT, F.col("n")))).first()
         kept = members.join(counts, "path")
-        if largest <= LIMIT or depth == DEPTH:
-            leaves.append(kept)
+        if not n_big or depth == DEPTH:
+            leaves.append((kept, n_big))
             break
-        leaves.append(kept.where(F.col("n") <= LIMIT))
-        big = kept.where(F.col("n") > LIMIT).select("path", "node").join(nodes.select("node", "sig"), "node")
+        leaves.append((kept.where(F.col("n") <= LIMIT), 0))
+        big = _small(kept.where(F.col("n") > LIMIT).select("path", "node"), n_rows).join(nodes.select("node", "sig"), "node")
         members = stored(_split_paths(big, BRANCH).distinct(), "paths")
-    leaf = leaves[0]
-    for x in leaves[1:]:
-        leaf = leaf.unionByName(x)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    small = F.col("n") <= LIMIT
-    leaf = leaf.withColumn("blocks", F.when(small, F.lit(1)).otherwise(blocks)).withColumn("own", own)
-    leaf = leaf.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    leaf = leaf.select("path", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
-    rows = leaf.join(nodes.select("node", "sketch"), "node")
-    return in_groups(rows, ["path", "i", "j"], _alike, "a bigint, b bigint").distinct()
+    found = None
+    for leaf, n_big in leaves:
+        small = leaf.where(F.col("n") <= LIMIT).select("path", "node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+        parts = [in_groups(small.join(nodes.select("node", "sketch"), "node"), ["path", "i", "j"], _alike, "a bigint, b bigint")]
+        if n_big:
+            large = leaf.where(F.col("n") > LIMIT).select("path", "node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+            large = stored(large.join(nodes.select("node", "sketch"), "node"), "large-buckets")
+            parts.append(in_groups(_pairs_of_blocks(large), ["path", "i", "j"], _alike, "a bigint, b bigint", by_range=True))
+        for p in parts:
+            found = p if found is None else found.unionByName(p)
+    return found.distinct()
+
+
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of groups of so many blocks, once for each pair i, j of blocks that theirs (side) belongs to."""
+    side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,15 +289,37 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _verified(batches: list[pa.RecordBatch]) -> dict | None:
-    """Exact links of a cluster, or between two of its blocks: counts per node, and the smallest node linked by a chain."""
-    node = np.concatenate([b.column("node").to_numpy(zero_copy_only=False) for b in batches])
-    side = np.concatenate([b.column("side").to_numpy(zero_copy_only=False) for b in batches])
+def _set_rows(batches: list[pa.RecordBatch], columns: tuple[str, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The columns and the sets of a group's rows, one a node, sorted by node."""
+    got = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in columns]
     sets = [np.asarray(x.values) for b in batches for x in b.column("s")]
-    _, first = np.unique(node, return_index=True)
-    node, side, sets = node[first], side[first], [sets[k] for k in first]
-    n, sizes = len(node), np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(n), sizes)
+    _, first = np.unique(got[0], return_index=True)
+    return [c[first] for c in got], [sets[k] for k in first]
+
+
+def _differences(batches: list[pa.RecordBatch]) -> dict | None:
+    """Sets of a cluster written as differences from its center's: what it lacks and what it has besides (never in both)."""
+    center = next(np.asarray(x.values) for b in batches for x, is_center in zip(b.column("s"), b.column("center").to_pylist(), strict=True) if is_center)
+    batches = [b.filter(pa.array([not x for x in b.column("center").to_pylist()])) for b in batches]
+    if not sum(b.num_rows for b in batches):
+        return None
+    (node, cluster, blocks), sets = _set_rows(batches, ("node", "cluster", "blocks"))
+    lacks = [np.setdiff1d(center, s, assume_unique=True) for s in sets]
+    extra = [np.setdiff1d(s, center, assume_unique=True) for s in sets]
+    return {
+        "cluster": cluster, "blocks": blocks, "node": node, "size": [len(s) for s in sets], "inside": [len(center) - len(x) for x in lacks],
+        "center_size": np.full(len(node), len(center)), "s": [np.concatenate(x) for x in zip(lacks, extra, strict=True)],
+    }
+
+
+def _verified(batches: list[pa.RecordBatch]) -> dict | None:
+    """Exact links of a cluster, or between two of its blocks: counts per node, and the smallest node linked by a chain.
+
+    Rows hold sets, or differences from a center: |A and B| = |center| - lacks(A) - lacks(B) + |differences of A and of B|;
+    inside is |center| - lacks, and 0 for sets (their center is the empty set)."""
+    (node, side, sizes, inside, most), sets = _set_rows(batches, ("node", "side", "size", "inside", "center_size"))
+    n, lengths = len(node), np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(n), lengths)
     _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[token] > 1
     owner, token = owner[shared], (np.cumsum(times > 1) - 1)[token[shared]]
@@ -288,7 +334,8 @@ def _verified(batches: list[pa.RecordBatch]) -> dict | None:
         both += x @ x.T
     linked = np.empty((n, n), bool)
     for i in range(n):
-        linked[i] = 5 * both[i] >= 4 * (sizes + sizes[i] - both[i])
+        common = both[i] + inside[i] + inside - most
+        linked[i] = 5 * common >= 4 * (sizes + sizes[i] - common)
     linked &= ~np.eye(n, dtype=bool)
     if side.min() != side.max():
         linked &= side[:, None] != side[None, :]
@@ -297,61 +344,98 @@ def _verified(batches: list[pa.RecordBatch]) -> dict | None:
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """Shingle sets of the rows whose words are the node's."""
+    """Shingle sets of the rows whose words are the node's; a node once a task."""
 
     def make():
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
 
         def f(cols):
-            out = {k: [] for k in ("cluster", "blocks", "own", "node", "s")}
+            out = {k: [] for k in ("cluster", "blocks", "node", "size", "s")}
             for k, text in enumerate(cols["text"]):
+                if cols["node"][k] in seen:
+                    continue
                 node, s = shingles(text, hashes)
                 if as_long(node) == cols["node"][k]:
-                    for c in ("cluster", "blocks", "own", "node"):
+                    seen.add(cols["node"][k])
+                    for c in ("cluster", "blocks", "node"):
                         out[c].append(cols[c][k])
+                    out["size"].append(len(s))
                     out["s"].append(s.view(np.int64))
             return out
 
         return f
 
-    return map_slices(texts, "text", make, "cluster bigint, blocks int, own int, node bigint, s array<bigint>")
+    return map_slices(texts, "text", make, "cluster bigint, blocks int, node bigint, size int, s array<bigint>")
 
 
-def near_duplicates(docs: DataFrame, runs: int = RUNS) -> DataFrame:
-    """One row per document with its classes and number of links."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+LINKS = "node bigint, links bigint, root bigint"
+
+
+def _links_of_clusters(docs: DataFrame, picked: DataFrame) -> tuple[DataFrame, bool]:
+    """Exact links per node, and whether a cluster was dealt out in blocks; picked: cluster, blocks, node, key_id, key_hash."""
+    n_rows, n_large = picked.agg(F.count(F.lit(1)), F.count_if(F.col("blocks") > 1)).first()
+    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("thash") == F.col("key_hash"))
+    fetch = lambda keys, n: docs.join(_small(keys, n), same).select("cluster", "blocks", "node", "text")
+    zero = lambda name: F.lit(0).alias(name)
+    whole = _shingle_sets(fetch(picked.where("blocks = 1"), n_rows - n_large))
+    whole = whole.select("cluster", "node", zero("side"), "size", zero("inside"), zero("center_size"), "s")
+    links = in_groups(whole, ["cluster"], _verified, LINKS)
+    if not n_large:
+        return links, False
+    sets = stored(_shingle_sets(fetch(picked.where("blocks > 1"), n_large)), "sets")
+    parts = F.col("blocks") * -(-CLUSTER_LIMIT // DELTA_ROWS)
+    rows = sets.select("cluster", "blocks", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "s", F.lit(False).alias("center"))
+    centers = sets.where("node = cluster").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.unionByName(centers.select("cluster", "blocks", "part", "node", "s", F.lit(True).alias("center")))
+    found = in_groups(rows, ["cluster", "part"], _differences, "cluster bigint, blocks int, node bigint, size int, inside int, center_size int, s array<bigint>")
+    dealt = _pairs_of_blocks(stored(found, "differences"))
+    return links.unionByName(in_groups(dealt, ["cluster", "i", "j"], _verified, LINKS, by_range=True)), True
+
+
+def classified(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, thash of every row with its node, classes and links; first: the least (no id, doc_id, thash) of the class."""
     keyed = stored(signatures(docs), "signatures")
     nodes = keyed.groupBy("node").agg(
-        F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
-    )
+        F.min("doc_id").alias("text_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash")).alias("first"),
+        F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
+    )
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sketch = [None if x is None else np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in b.column("sig").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sketch, pa.binary())], names=[*b.schema.names, "sketch"])
 
-    nodes = stored(nodes.mapInArrow(sketched, "node bigint, text_id bigint, n_copies bigint, n_shingles int, sig binary, sketch binary"), "nodes")
-    clusters = stored(components(candidate_links(nodes.where("sig IS NOT NULL"), runs)), "clusters")
+    kinds = "node bigint, text_id bigint, first struct<none:boolean,doc_id:bigint,thash:bigint>, n_copies bigint, n_shingles int, sig binary, sketch binary"
+    nodes = stored(nodes.mapInArrow(sketched, kinds), "nodes")
+    clusters = stored(components(candidate_links(nodes.where("sig IS NOT NULL"), runs_for(recall))), "clusters")
 
     sizes = stored(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
     blocks = F.ceil(F.col("n") / CLUSTER_LIMIT).cast("int")
-    picked = clusters.join(sizes, "root").join(nodes.select("node", "text_id"), "node")
-    picked = picked.select(F.col("root").alias("cluster"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), "node", "text_id")
-    picked = stored(picked, "candidates")
-    chosen = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
-    texts = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("text_id"))).select("cluster", "blocks", "own", "node", "text")
-    rows = _shingle_sets(texts).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", F.col("own").alias("side"), "s")
-    links = stored(in_groups(rows, ["cluster", "i", "j"], _verified, "node bigint, links bigint, root bigint"), "links")
+    picked = clusters.join(sizes, "root").join(nodes.select("node", "first"), "node")
+    picked = picked.select(F.col("root").alias("cluster"), blocks.alias("blocks"), "node", F.col("first.doc_id").alias("key_id"), F.col("first.thash").alias("key_hash"))
+    links, in_blocks = _links_of_clusters(docs, stored(picked, "candidates"))
+    links = stored(links, "links")
     found = links.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
-    if (sizes.agg(F.max("n")).first()[0] or 0) > CLUSTER_LIMIT:  # chains may run through several pairs of blocks
+    if in_blocks:  # chains may run through several pairs of blocks
         chains = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
         found = found.drop("root").join(chains, "node", "left")
-    known = nodes.join(found, "node", "left").select("node", "text_id", "n_copies", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    known = nodes.join(found, "node", "left").select(
+        "node", "text_id", "first", "n_copies", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("root")
+    )
     known = stored(known, "known")
-    classes = stored(known.groupBy("root").agg(F.min("text_id").alias("class_id")), "classes")
-    known = stored(known.join(classes, "root").drop("root"), "known")
-    return keyed.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "text_id", "n_copies", "n_links", "n_shingles")
+    classes = stored(known.groupBy("root").agg(F.min("text_id").alias("class_id"), F.min("first").alias("first")), "classes")
+    known = stored(known.drop("first").join(classes, "root").drop("root"), "known")
+    return keyed.select("doc_id", "thash", "node").join(known, "node")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("thash"))
+
+
+def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """One row per document with its classes and number of links."""
+    return classified(_plain(docs), recall).select("doc_id", "class_id", "text_id", "n_copies", "n_links", "n_shingles")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -360,12 +444,18 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class stays, the one with the smallest doc_id; all columns kept.
-
-    Documents without a doc_id stay; of repeated rows with one doc_id and text one stays."""
-    found = stored(near_duplicates(docs), "classes")
-    gone = stored(found.where("doc_id IS NOT NULL AND NOT (doc_id <=> class_id)").select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    again = found.where("doc_id IS NOT NULL AND doc_id <=> class_id").groupBy("doc_id").count().where("count > 1")
-    return left if again.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    """One document of each class stays, all columns kept: the one with the smallest doc_id (rows without one come last), of
+    several texts with that id the one with the smallest text hash; of repeated rows with one doc_id and text any one."""
+    found = stored(classified(_plain(docs)), "classes")
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.thash") == F.col("thash"))
+    keys = [F.col("doc_id").alias("key_id"), F.col("thash").alias("key_hash")]
+    gone = stored(found.where(~stays).select(*keys).distinct(), "dropped")
+    again = stored(found.where(stays).groupBy(*keys).count().where("count > 1").drop("count"), "repeated")
+    n_again = again.count()
+    same = lambda k: docs["doc_id"].cast("bigint").eqNullSafe(k["key_id"]) & (F.xxhash64(docs["text"].cast("string")) == k["key_hash"])
+    gone, again = _small(gone, gone.count()), _small(again, n_again)
+    left = docs.join(gone, same(gone), "left_anti")
+    if not n_again:
+        return left
+    twice = left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same(again), "left_anti").unionByName(twice)
