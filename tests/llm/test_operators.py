@@ -386,7 +386,7 @@ def test_base_spans_against_brute_force(spark):
 
 
 def test_boosting_learns_patterns():
-    rows = [((1, s, 0, 0, c, 1, 1), 1000, 990 if s == 0 or c == 1 else 100) for s in range(3) for c in range(3)]
+    rows = [((1, s, 0, 0, c, 1, 1, 0), 1000, 990 if s == 0 or c == 1 else 100) for s in range(3) for c in range(3)]
     model = pii.Boosted(rows)
     score = lambda r: model.bias + sum(model._at(t, r) for t in model.trees)
     chosen = [score(r) >= model.thresholds[1] - 1e-6 for r, _, _ in rows]
@@ -397,3 +397,46 @@ def test_no_python_in_native_plans(spark, sf):
     for name in ("op3_source_mixing", "op10_pii"):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_added_spans_are_right(spark):
+    """Planted spans that the base patterns miss, by their places; numbers that only look alike stay out."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(prefix="4", n=16, good=True):
+        d = prefix + digits(n - 1 - len(prefix))
+        sums = [sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed([int(c) for c in d]))) % 10]
+        last = (10 - sums[0]) % 10
+        return d + str(last if good else (last + 1 + rng.randrange(9)) % 10)
+
+    texts, truth = {}, set()
+    for i in range(400):
+        parts = []
+        kind = i % 8
+        hit = {
+            0: ("card", card(), "and ", " 27.65 words"), 1: ("card", card(), f"{card()} ", " end"), 2: ("phone", f"+1 ({digits(3)}) 555-{digits(4)}", "to ", f" {digits(6)} x"),
+            3: ("email", f"a{digits(2)}[at]host{digits(1)}[dot]com", "mail ", " now"), 4: ("secret", "".join(rng.choice("0123456789abcdef") for _ in range(40)), 'token = "', '" x'),
+        }.get(kind)
+        if hit:
+            parts = [hit[2], hit[1], hit[3]]
+            truth.add((i, hit[0], len(parts[0]), len(parts[0]) + len(parts[1])))
+            if kind == 1:
+                truth.add((i, "card", 0, 16))
+        else:
+            parts = [rng.choice([f"no {card('9', good=False)} here", f"version 1.{digits(3)}.300.{digits(3)} of", "plain words only", "supercalifragilisticexpialidocious-words"])]
+            if kind == 5:
+                parts = [f"a{digits(2)}@host.com writes, card {card()}, call (212) 555-{digits(4)}"]
+        texts[i] = "".join(parts)
+    rows = pii.personal_data(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    added = {(r.doc_id, *x) for r in rows for x in map(tuple, r.spans) if x not in set(map(tuple, r.base))}
+    assert all(set(map(tuple, r.base)) <= set(map(tuple, r.spans)) and [tuple(x) for x in r.base] == brute_spans(texts[r.doc_id]) for r in rows)
+    planted = {x for x in added if x[0] % 8 <= 4}
+    assert len(planted & truth) >= 0.9 * len(truth) and len(planted & truth) >= 0.9 * len(planted)
+    assert not [x for x in added if x[0] % 8 in (6, 7)]
+
+
+def test_spans_of_very_many_matches(spark):
+    n = 100_000
+    r = pii.personal_data(spark.createDataFrame([(1, "1.2.3.4 " * n)], "doc_id bigint, text string")).first()
+    assert len(r.base) == len(r.spans) == n and tuple(r.base[-1]) == ("ip", 8 * (n - 1), 8 * (n - 1) + 7)

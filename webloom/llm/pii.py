@@ -1,19 +1,27 @@
 """Personal data by candidate gradient boosting, in DataFrame operations only.
 
 Base spans come from four patterns with their checks (email; ip with parts to 255; card with 13 to 19 digits passing Luhn;
-phone with + and 9 to 15 digits), leftmost and not overlapping per kind. High-recall generators propose further spans, which
-may overlap each other and the base ones: national phone numbers, groups of sixteen digits, dotted quads, mail addresses
-with spelled-out signs. A candidate gets format and context features of few values each (never the base checks
-themselves), so the distinct feature patterns are at most MAX_PATTERNS whatever the corpus; they are counted over all
-documents, with how many overlap a base span of their kind. Gradient-boosted trees are fitted to these counts and compiled
-to a SQL expression; per kind the threshold is the lowest score at which the lower confidence bound of precision
-reaches PRECISION. Candidates above it that overlap no base span are added.
-
-Positions need no Python: the pattern's matches are put between markers, the text is split there, and prefix sums of the
-pieces' lengths (in blocks, so long texts stay linear) give code points. Patterns start only where a run starts and never
-backtrack into it, so long runs of one character class stay linear too.
-
-Edge cases: null and empty texts have no spans; the control characters 1 to 3 are read as 0 (no pattern has any of them);
+phone with + and 9 to 15 digits), leftmost and not overlapping per kind. High-recall generators propose further spans on the
+text with the base spans of their kind blanked out: mail addresses with spelled-out signs, dotted quads and colon groups,
+13 to 19 digits in any usual grouping (also inside longer runs of digits, where the base pattern swallows them), phone
+numbers with or without country code, and long tokens (kind secret, which has no base pattern). Spans of different kinds
+may overlap.
+
+Every match, of a base pattern or a generator, is described by format and context features of few values each, so the
+distinct feature patterns are at most MAX_PATTERNS whatever the corpus, and gets a weak label from a check of its own that is
+none of the features: a known top-level domain; parts to 255 or a whole colon form; Luhn for every length; a phone word, a
+country code or brackets against too many digits or a word that speaks against it; a word for secrets before a token. A match
+that no check speaks about is not labelled. Labelled patterns are counted over all documents, gradient-boosted trees are
+fitted to the counts and compiled to a SQL expression, and per kind the threshold is the lowest score at which the lower
+confidence bound of precision reaches PRECISION. Generated spans above it are added.
+
+Positions need no Python: the pattern's matches are put between markers and the text is split there; the pieces before and
+after a match are its context, and running sums of the pieces' lengths (in blocks of BLOCK, then over the blocks) give code
+points. Overlaps need no comparison, as base spans are blanked out. So the work per document is in proportion to its text and
+its matches (the sum over blocks costs matches ** 2 / 8192 array moves, which is nothing below millions of matches).
+Patterns start only where a run starts and never backtrack into it, so long runs of one character class stay linear too.
+
+Edge cases: null and empty texts have no spans; the control characters 1 to 4 are read as 0 (no pattern has any of them);
 rows are independent, so repeated rows get equal results; an empty table gives an empty result and no added spans; other
 columns are not read.
 """
@@ -28,9 +36,10 @@ from pyspark.sql import functions as F
 from webloom.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-PRECISION, ROUNDS, SHRINK = 0.95, 24, 0.4
-BLOCK = 64
-MARK, DOT, JOIN = "\x03", "\x02", "\x01"
+ALL_KINDS = (*KINDS, "secret")
+PRECISION, ROUNDS, SHRINK = 0.9, 24, 0.4
+BLOCK, NEAR = 64, 32
+JOIN, DOT, MARK, MASK = "\x01", "\x02", "\x03", "\x04"
 
 #: Each runs on the text column named with it: text, or the one with separators marked.
 BASE = {
@@ -39,18 +48,26 @@ BASE = {
     "card": ("t_card", rf"(?<![0-9{JOIN}])[0-9][0-9{JOIN}]++"),
     "phone": ("t", r"\+[0-9][ ().0-9-]+[0-9]"),
 }
+#: On the text with the base spans of the kind blanked out; of cards, single spaces and hyphens between digits are JOIN.
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@| ?[\[(](?:at|AT)[\])] ?)[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]{1,63}+){1,6}+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+\.[0-9]{1,3}+\.[0-9]{1,3}+\.[0-9]{1,3}+(?![0-9.])",
-    "card": r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@| ?[\[({](?:at|AT)[\])}] ?)[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[\[({](?:dot|DOT)[\])}] ?)[A-Za-z0-9-]{1,63}+){1,6}+",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}|[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{0,4}+){2,7}+)(?![0-9A-Za-z:])",
+    "card": rf"(?<![0-9])(?:[0-9]{{4}}{JOIN}?[0-9]{{4}}{JOIN}?[0-9]{{4}}{JOIN}?[0-9]{{4}}|3[0-9]{{3}}{JOIN}?[0-9]{{6}}{JOIN}?[0-9]{{4,5}}|[0-9]{{13,19}})(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+",
 }
 #: Context words, by kind, and words that speak against all kinds.
-CONTEXT = {"email": "mail|contact|write to", "ip": r"\bip\b|host|server|addr", "card": r"card|visa|credit|\bcc\b", "phone": r"phone|tel\b|call|fax|mobile"}
+CONTEXT = {"email": "mail|contact|write to", "ip": r"\bip\b|host|server|addr", "card": r"card|visa|credit|\bcc\b", "phone": r"phone|tel\b|call|fax|mobile", "secret": "never"}
 AGAINST = r"version|isbn|invoice|order|serial"
+SECRET_WORDS = r"token|secret|passw|pwd|api.?key|access.?key|private|bearer|auth|credential"
+#: Top-level domains that speak for a mail address.
+DOMAINS = (
+    "com org net edu gov mil int info biz name io dev app ai co me tv us uk ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg se no dk fi is ee lv lt "
+    "ru ua by tr il in cn jp kr tw hk sg my th vn id ph br ar mx cl pe za eg ma ng ke ae sa eu"
+).replace(" ", "|")
 
 #: Feature names and numbers of values.
-FEATURES = (("kind", 4), ("seps", 3), ("left", 3), ("right", 4), ("context", 3), ("form", 2), ("spread", 2))
+FEATURES = (("kind", 5), ("form", 4), ("shape", 4), ("seps", 4), ("left", 4), ("right", 4), ("context", 3), ("spread", 2))
 MAX_PATTERNS = math.prod(n for _, n in FEATURES)
 
 
@@ -59,78 +76,109 @@ def _hidden(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(df: DataFrame, sources: dict[str, tuple[str, str]]) -> DataFrame:
-    """For each name and (text column, pattern): array<struct<s, e, m>> of the matches."""
-    keep = df.columns
-    pieces = {n: F.split(F.regexp_replace(c, p, f"{MARK}$0{MARK}"), MARK) for n, (c, p) in sources.items()}
-    df = df.select(*keep, *[F.when(F.col(c).rlike(p), pieces[n]).alias(f"p_{n}") for n, (c, p) in sources.items()])
-    df = df.select(*keep, *[f"p_{n}" for n in sources], *[F.expr(f"transform(p_{n}, x -> char_length(x))").alias(f"l_{n}") for n in sources])
-    sums = f"transform(sequence(0, int((size(l_{{0}}) - 1) div {BLOCK})), b -> aggregate(slice(l_{{0}}, b * {BLOCK} + 1, {BLOCK}), 0, (a, x) -> a + x))"
-    df = df.select("*", *[F.expr(f"CASE WHEN l_{n} IS NOT NULL THEN {sums.format(n)} END").alias(f"b_{n}") for n in sources])
-    begin = (
-        f"aggregate(slice(b_{{0}}, 1, int((2 * i - 1) div {BLOCK})), 0, (a, x) -> a + x)"
-        f" + aggregate(slice(l_{{0}}, int((2 * i - 1) div {BLOCK}) * {BLOCK} + 1, (2 * i - 1) % {BLOCK}), 0, (a, x) -> a + x)"
-    )
-    spans = (
-        "CASE WHEN size(p_{0}) > 1 THEN transform(sequence(1, int(size(p_{0}) div 2)), i -> named_struct('s', " + begin + ", 'n', l_{0}[2 * i - 1], 'm', p_{0}[2 * i - 1]))"
-        " ELSE array() END"
-    )
-    df = df.select(*keep, *[F.expr(spans.format(n)).alias(f"s_{n}") for n in sources])
-    return df.select(*keep, *[F.expr(f"transform(s_{n}, x -> named_struct('s', x.s, 'e', x.s + x.n, 'm', x.m))").alias(n) for n in sources])
-
-
 DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
 LUHN = (
     "aggregate(sequence(1, length({d})), 0, (a, i) -> a + CASE WHEN i % 2 = 1 THEN int(substr({d}, -i, 1))"
     " ELSE int((2 * int(substr({d}, -i, 1))) div 10) + (2 * int(substr({d}, -i, 1))) % 10 END) % 10 = 0"
 )
 PART = "0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-VALID = {
-    "email": "true",
-    "ip": f"x.m rlike '^{PART}[.]{PART}[.]{PART}[.]{PART}$'",
-    "card": f"length({DIGITS}) BETWEEN 13 AND 19 AND {LUHN.format(d=DIGITS)}",
-    "phone": f"length({DIGITS}) BETWEEN 9 AND 15",
+QUAD = f"x.m rlike '^{PART}[.]{PART}[.]{PART}[.]{PART}$'"
+CARD = f"length({DIGITS}) BETWEEN 13 AND 19 AND {LUHN.format(d=DIGITS)}"
+VALID = {"email": "true", "ip": QUAD, "card": CARD, "phone": f"length({DIGITS}) BETWEEN 9 AND 15"}
+
+_NEAR = "lower(x.near)"
+_SPEAKS_AGAINST = f"{_NEAR} rlike {_hidden(AGAINST)}"
+#: Weak labels of a match x: 1, 0, or NULL.
+LABEL = {
+    "email": f"int(lower(x.m) rlike '[.\x02 )}}\\\\]]({DOMAINS})$')",
+    "ip": f"int(({QUAD} OR x.m rlike '^([0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}$' OR (x.m rlike '::' AND x.m rlike '[A-Fa-f0-9]{{2}}')) AND NOT {_SPEAKS_AGAINST})",
+    "card": f"int({CARD})",
+    "phone": (
+        f"CASE WHEN {_SPEAKS_AGAINST} OR length({DIGITS}) NOT BETWEEN 9 AND 15 THEN 0"
+        f" WHEN x.m rlike '^[+]|[(]' OR {_NEAR} rlike {_hidden(CONTEXT['phone'])} THEN 1 END"
+    ),
+    "secret": f"int({_NEAR} rlike {_hidden(SECRET_WORDS)})",
+}
+_N_DIGITS = f"length({DIGITS})"
+FORM = {
+    "email": "CASE WHEN x.m NOT rlike '[\\\\[({]' THEN 0 WHEN x.m rlike '(?i)dot' AND x.m rlike '(?i)at[\\\\])}]' THEN 1 WHEN x.m rlike '(?i)at[\\\\])}]' THEN 2 ELSE 3 END",
+    "ip": "CASE WHEN x.m NOT rlike ':' THEN 0 WHEN x.m rlike '::' THEN 1 WHEN length(regexp_replace(x.m, '[^:]', '')) = 7 THEN 2 ELSE 3 END",
+    "card": "CASE WHEN x.m rlike '^4' THEN 0 WHEN x.m rlike '^[25]' THEN 1 WHEN x.m rlike '^[36]' THEN 2 ELSE 3 END",
+    "phone": "CASE WHEN x.m rlike '^[+]' THEN int(x.m rlike '[(]') ELSE 2 + int(x.m rlike '[(]') END",
+    "secret": "CASE WHEN x.m rlike '^([0-9a-f]+|[0-9A-F]+)$' THEN 0 WHEN x.m rlike '[+/=]' THEN 1 WHEN x.m rlike '[_-]' THEN 2 ELSE 3 END",
+}
+SHAPE = {
+    "email": "CASE WHEN x.m rlike '[0-9]$' THEN 3 WHEN x.m rlike '[^A-Za-z][A-Za-z]{2}$' THEN 0 WHEN x.m rlike '[^A-Za-z][A-Za-z]{3}$' THEN 1 ELSE 2 END",
+    "ip": f"CASE WHEN {_N_DIGITS} <= 6 THEN 0 WHEN {_N_DIGITS} <= 9 THEN 1 WHEN {_N_DIGITS} <= 12 THEN 2 ELSE 3 END",
+    "card": f"CASE {_N_DIGITS} WHEN 16 THEN 0 WHEN 15 THEN 1 WHEN 13 THEN 2 WHEN 14 THEN 2 ELSE 3 END",
+    "phone": f"CASE {_N_DIGITS} WHEN 10 THEN 0 WHEN 11 THEN 1 WHEN 12 THEN 2 WHEN 13 THEN 2 ELSE 3 END",
+    "secret": "CASE length(x.m) WHEN 32 THEN 0 WHEN 40 THEN 1 WHEN 64 THEN 2 ELSE 3 END",
 }
 
 
-def _features() -> str:
-    """SQL of the feature struct of candidate x of kind {k}, {kind}; text is t."""
-    before, after = "substring(t, x.s, 1)", "substring(t, x.e + 1, 1)"
-    form = {
-        "email": "x.m rlike '[A-Za-z]{{2,6}}$'",
-        "ip": f"x.m rlike '^{PART.replace('{', '{{').replace('}', '}}')}[.]' AND NOT x.m rlike '(^|[.])0[0-9]'",
-        "card": "x.m rlike '^[3-6]'",
-        "phone": "regexp_replace(x.m, '[^0-9]', '') rlike '^[2-9]'",
-    }
-    seps = "size(array_distinct(split(regexp_replace(x.m, '[0-9A-Za-z]', ''), '')))"
-    near = f"lower(substring(t, greatest(1, x.s - 31), least(32, x.s)))"  # noqa: F541
-    shown = "regexp_replace(x.m, '[^0-9A-Za-z]', '')"
-    return lambda k, kind: (
-        f"named_struct('kind', {k}, 'seps', least({seps}, 3) - 1,"
-        f" 'left', CASE WHEN x.s = 0 OR {before} rlike '[ \\\\t-\\\\r]' THEN 0 WHEN {before} rlike '[\\\\p{{L}}0-9]' THEN 1 ELSE 2 END,"
-        f" 'right', CASE WHEN {after} = '' OR {after} rlike '[ \\\\t-\\\\r]' THEN 0 WHEN {after} rlike '[\\\\p{{L}}0-9]' THEN 1 WHEN {after} rlike '[.,;:!?]' THEN 2 ELSE 3 END,"
-        f" 'context', CASE WHEN {near} rlike {_hidden(AGAINST)} THEN 2 WHEN {near} rlike {_hidden(CONTEXT[kind])} THEN 1 ELSE 0 END,"
-        f" 'form', int({form[kind].format()}), 'spread', int(size(array_distinct(split({shown}, ''))) > 3))"
+def _described(kind: str) -> str:
+    """SQL of struct y (label), f (features) of a match x of the kind."""
+    before, shown = "right(x.near, 1)", "regexp_replace(x.m, '[^0-9A-Za-z]', '')"
+    side = lambda c: f"CASE WHEN {c} = '' OR {c} rlike '[\\\\s\\\\x01]' THEN 0 WHEN {c} rlike '[\\\\p{{L}}0-9]' THEN 1 WHEN {c} rlike '[.,;:!?]' THEN 2 ELSE 3 END"
+    return (
+        f"named_struct('y', {LABEL[kind]}, 'f', named_struct('kind', {ALL_KINDS.index(kind)}, 'form', {FORM[kind]}, 'shape', {SHAPE[kind]},"
+        f" 'seps', least(size(array_distinct(split(regexp_replace(x.m, '[0-9A-Za-z]', ''), ''))), 4) - 1, 'left', {side(before)}, 'right', {side('x.after')},"
+        f" 'context', CASE WHEN {_SPEAKS_AGAINST} THEN 2 WHEN {_NEAR} rlike {_hidden(CONTEXT[kind])} THEN 1 ELSE 0 END,"
+        f" 'spread', int(size(array_distinct(split({shown}, ''))) > 3)))"
+    )
+
+
+def _pieces(df: DataFrame, sources: dict[str, tuple[str, str]]) -> DataFrame:
+    """For each name and (text column, pattern): p_name, the text cut at the ends of the matches (NULL without one)."""
+    cut = {n: F.split(F.regexp_replace(c, p, f"{MARK}$0{MARK}"), MARK) for n, (c, p) in sources.items()}
+    return df.select("*", *[F.when(F.col(c).rlike(p), cut[n]).alias(f"p_{n}") for n, (c, p) in sources.items()])
+
+
+def _matches(df: DataFrame, names: list[str]) -> DataFrame:
+    """For each p_name: name, array<struct<s, e, m, near, after>> of its matches, in time linear in the pieces."""
+    cols = df.columns
+    df = df.select(*cols, *[F.expr(f"transform(p_{n}, x -> char_length(x))").alias(f"l_{n}") for n in names])
+    inner = (
+        f"transform(sequence(0, int((size(l_{{0}}) - 1) div {BLOCK})), b ->"
+        f" aggregate(slice(l_{{0}}, b * {BLOCK} + 1, {BLOCK}), array(0), (a, x) -> array_append(a, element_at(a, -1) + x)))"
+    )
+    df = df.select(*cols, *[F.col(f"l_{n}") for n in names], *[F.expr(f"CASE WHEN l_{n} IS NOT NULL THEN {inner.format(n)} END").alias(f"b_{n}") for n in names])
+    tops = "aggregate(b_{0}, array(0), (a, w) -> array_append(a, element_at(a, -1) + element_at(w, -1)))"
+    df = df.select(*cols, *[F.col(f"{x}_{n}") for n in names for x in "lb"], *[F.expr(tops.format(n)).alias(f"u_{n}") for n in names])
+    # u is named twice, as an expression named once is put into the lambda and computed for each of its elements
+    begins = "CASE WHEN size(u_{0}) > 0 THEN flatten(transform(b_{0}, (w, k) -> transform(slice(w, 1, size(w) - 1), v -> v + u_{0}[k]))) END"
+    df = df.select(*cols, *[F.col(f"l_{n}") for n in names], *[F.expr(begins.format(n)).alias(f"o_{n}") for n in names])
+    one = (
+        f"named_struct('s', o_{{0}}[2 * i - 1], 'e', o_{{0}}[2 * i - 1] + l_{{0}}[2 * i - 1], 'm', p_{{0}}[2 * i - 1],"
+        f" 'near', right(p_{{0}}[2 * i - 2], {NEAR}), 'after', left(p_{{0}}[2 * i], 1))"
     )
+    rows = "CASE WHEN size(p_{0}) > 1 THEN transform(sequence(1, int(size(p_{0}) div 2)), i -> " + one + ") END"
+    return df.select(*cols, *[F.expr(rows.format(n)).alias(n) for n in names])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base (kind number, s, e), found (s, e, hit, features): hit if a base span of the kind overlaps."""
+    """doc_id, base (kind number, s, e), seen (labels and features of base matches), found (s, e, label, features)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    odd = F.contains(text, F.lit(JOIN)) | F.contains(text, F.lit(DOT)) | F.contains(text, F.lit(MARK))
-    df = docs.select(F.col("doc_id").cast("bigint"), F.when(odd, F.regexp_replace(text, "[\x01-\x03]", "\x00")).otherwise(text).alias("t"))
+    odd = F.contains(text, F.lit(JOIN)) | F.contains(text, F.lit(DOT)) | F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(MASK))
+    df = docs.select(F.col("doc_id").cast("bigint"), F.when(odd, F.regexp_replace(text, "[\x01-\x04]", "\x00")).otherwise(text).alias("t"))
     mail = F.when(F.contains("t", F.lit("@")), F.regexp_replace("t", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT)).otherwise("")
     card = F.when(F.col("t").rlike("[0-9]{2}|[0-9][ -][0-9]"), F.regexp_replace("t", "(?<=[0-9])[ -](?=[0-9])", JOIN)).otherwise("")
-    df = df.select("doc_id", "t", mail.alias("t_mail"), card.alias("t_card"))
-    df = _spans(df, BASE | {f"g_{k}": ("t", p) for k, p in GENERATORS.items()})
-    df = df.select("doc_id", "t", *[f"g_{k}" for k in KINDS], *[F.expr(f"filter({k}, x -> {VALID[k]})").alias(k) for k in KINDS])
-    features = _features()
-    base = [f"transform({k}, x -> named_struct('k', {i}, 's', x.s, 'e', x.e))" for i, k in enumerate(KINDS)]
-    found = [
-        f"transform(g_{k}, x -> named_struct('s', x.s, 'e', x.e, 'hit', exists({k}, y -> y.s < x.e AND x.s < y.e), 'f', {features(i, k)}))"
-        for i, k in enumerate(KINDS)
-    ]
-    return df.select("doc_id", F.expr(f"concat({', '.join(base)})").alias("base"), F.expr(f"concat({', '.join(found)})").alias("found"))
+    df = _pieces(df.select("doc_id", "t", mail.alias("t_mail"), card.alias("t_card")), BASE)
+    df = _matches(df, list(KINDS))
+    checked = "transform({0}, x -> struct(x.s AS s, x.e AS e, {1} AS ok, {2} AS d))"
+    df = df.select("doc_id", "t", "t_mail", "t_card", *[f"p_{k}" for k in KINDS], *[F.expr(checked.format(k, VALID[k], _described(k))).alias(k) for k in KINDS])
+    blank = f"CASE WHEN exists({{0}}, x -> x.ok) THEN array_join(transform(p_{{0}}, (x, i) -> CASE WHEN i % 2 = 1 AND {{0}}[int((i - 1) div 2)].ok THEN repeat('{MASK}', char_length(x)) ELSE x END), '') ELSE {{1}} END"
+    left = {k: F.expr(blank.format(k, BASE[k][0])) for k in KINDS}
+    left["email"] = F.when(F.col("email").isNull(), F.col("t")).otherwise(F.translate(left["email"], DOT, "."))
+    df = df.select("doc_id", "t", *KINDS, *[left[k].alias(f"m_{k}") for k in KINDS])
+    df = _matches(_pieces(df, {f"g_{k}": (f"m_{k}" if k in KINDS else "t", p) for k, p in GENERATORS.items()}), [f"g_{k}" for k in ALL_KINDS])
+    mixed = "filter(g_secret, x -> x.m rlike '[0-9]' AND x.m rlike '[A-Za-z]')"
+    of = lambda k: mixed if k == "secret" else f"g_{k}"
+    none = lambda e: f"coalesce({e}, array())"
+    base = [none(f"transform(filter({k}, x -> x.ok), x -> named_struct('k', {i}, 's', x.s, 'e', x.e))") for i, k in enumerate(KINDS)]
+    seen = [none(f"transform({k}, x -> x.d)") for k in KINDS]
+    found = [none(f"transform({of(k)}, x -> struct(x.s AS s, x.e AS e, {_described(k)} AS d))") for k in ALL_KINDS]
+    return df.select("doc_id", *[F.expr(f"concat({', '.join(x)})").alias(n) for n, x in (("base", base), ("seen", seen), ("found", found))])
 
 
 class Boosted:
@@ -174,7 +222,7 @@ class Boosted:
             tree = grow(list(range(len(rows))), 2)
             self.trees.append(tree)
             margin = [m + self._at(tree, r[0]) for m, r in zip(margin, rows, strict=True)]
-        self.thresholds = [self._threshold([(m, n, h) for m, (r, n, h) in zip(margin, rows, strict=True) if r[0] == k]) for k in range(len(KINDS))]
+        self.thresholds = [self._threshold([(m, n, h) for m, (r, n, h) in zip(margin, rows, strict=True) if r[0] == k]) for k in range(len(ALL_KINDS))]
 
     def _at(self, tree, pattern):
         while isinstance(tree, tuple):
@@ -201,30 +249,30 @@ class Boosted:
             if not isinstance(tree, tuple):
                 return repr(float(tree)) + "D"
             (j, v), yes, no = tree
-            return f"CASE WHEN x.f.{FEATURES[j][0]} = {v} THEN {show(yes)} ELSE {show(no)} END"
+            return f"CASE WHEN x.d.f.{FEATURES[j][0]} = {v} THEN {show(yes)} ELSE {show(no)} END"
 
         return " + ".join([repr(float(self.bias)) + "D", *map(show, self.trees)])
 
     def chosen(self) -> str:
         limit = " ".join(f"WHEN {k} THEN {t - 1e-6!r}D" for k, t in enumerate(self.thresholds) if t < math.inf)
-        return f"coalesce({self.sql()} >= CASE x.f.kind {limit} END, false)" if limit else "false"
+        return f"coalesce({self.sql()} >= CASE x.d.f.kind {limit} END, false)" if limit else "false"
 
 
 def fit(found: DataFrame) -> Boosted:
-    """Count the patterns of all candidates (at most MAX_PATTERNS rows) and fit the trees."""
-    x = found.select(F.explode("found").alias("x"))
-    counts = x.groupBy("x.f").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.hit").cast("bigint")).alias("hits"))
-    return Boosted(sorted((tuple(r["f"]), r["n"], r["hits"]) for r in counts.limit(MAX_PATTERNS).collect()))
+    """Count the labelled patterns of all matches (at most MAX_PATTERNS rows) and fit the trees."""
+    x = found.select(F.explode(F.expr("concat(seen, transform(found, x -> x.d))")).alias("x")).where("x.y IS NOT NULL")
+    counts = x.groupBy("x.f").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.y").cast("bigint")).alias("hits"))
+    return Boosted(sorted((tuple(r["f"]), r["n"], r["hits"]) for r in counts.collect()))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, base and added spans: arrays of struct<kind, start, end>."""
+    """doc_id, base and all spans: arrays of struct<kind, start, end>, by kind (in order of ALL_KINDS), then start."""
     found = stored(candidates(docs), "pii-candidates")
     model = fit(found)
-    names = ", ".join(_hidden(k) for k in KINDS)
+    names = ", ".join(_hidden(k) for k in ALL_KINDS)
     named = "transform({0}, x -> named_struct('kind', element_at(array(" + names + "), x.k + 1), 'start', x.s, 'end', x.e))"
-    added = f"filter(found, x -> NOT exists(base, y -> y.s < x.e AND x.s < y.e) AND {model.chosen()})"
-    out = found.select("doc_id", "base", F.expr(f"transform({added}, x -> named_struct('k', x.f.kind, 's', x.s, 'e', x.e))").alias("added"))
+    added = f"transform(filter(found, x -> {model.chosen()}), x -> named_struct('k', x.d.f.kind, 's', x.s, 'e', x.e))"
+    out = found.select("doc_id", "base", F.expr(added).alias("added"))
     return out.select("doc_id", F.expr(named.format("base")).alias("base"), F.expr(named.format("array_sort(concat(base, added))")).alias("spans"))
 
 
@@ -235,4 +283,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", *[F.expr(f"bigint(size(filter(base, x -> x.kind = '{k}')))").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.expr(joined.format("base")), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"),
+        F.size("spans").cast("bigint").alias("n_spans"),
     )
