@@ -97,8 +97,42 @@ def test_line_dedup(docs, none):
     got = {r.doc_id: r for r in rows}
     assert (got[2].n_lines, got[2].n_dropped, got[6].n_lines) == (1, 0, 2) and got[5].rest.lang == "fr"
     assert line_dedup.LineIndex.build(none).dedup(none).count() == 0
-    thrice = docs.where("doc_id = 1").unionByName(docs.where("doc_id = 8")).unionByName(docs.where("doc_id = 8"))
-    assert sorted(r.text for r in line_dedup.LineIndex.build(thrice).dedup(thrice).collect()) == ["", ROWS[0][1], ROWS[0][1]]
+
+
+def test_line_dedup_counts_documents(spark, monkeypatch):
+    """Repeated rows are one holder, and rows without doc_id are none; the same as the SQL, with one block of filters or many."""
+    import duckdb
+
+    line = lambda k: f"this line is long enough {k}"
+    rows = [(1, line(0)), (8, line(0)), (8, line(0)), (None, line(0)), (1, line(1)), (2, line(1) + "\n" + line(2)), (3, line(1)), (3, line(1)), (None, line(1) + "\nx"), (4, None), (4, "")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, k int, ks int").repartition(3)
+    result = lambda index, d: sorted(((r.doc_id, r.text) for r in index.dedup(d).collect()), key=str)
+    want = sorted([(1, line(0)), (8, line(0)), (8, line(0)), (None, line(0)), (1, ""), (2, line(2)), (3, line(1)), (3, line(1)), (None, "x"), (4, ""), (4, "")], key=str)
+    documents = df.toPandas()[["doc_id", "text"]]  # noqa: F841
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    digest = sorted((str(None if d != d or d is None else int(d)), n, h) for d, n, h in duckdb.sql(line_dedup.SQL).project("doc_id, n_dropped, kept_sha256").fetchall())
+    for block in (32 << 20, 1):
+        monkeypatch.setattr(line_dedup, "FILTER_BLOCK_BYTES", block)
+        monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 1 if block == 1 else 1 << 15)
+        index = line_dedup.LineIndex.build(df)
+        assert result(index, df) == want
+        got = index.dedup(df).select("doc_id", "n_dropped", F.sha2(F.col("text").cast("binary"), 256)).collect()
+        assert sorted((str(r[0]), r[1], r[2]) for r in got) == digest
+        again = index.insert(df.where("doc_id = 3"))  # it is there already
+        assert result(again, df) == want and result(index.insert(df.limit(0)), df) == want
+
+
+def test_line_filters_grow(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 64)
+    text = lambda a, b: "\n".join(f"a line that many documents hold {k}" for k in range(a, b))
+    few = spark.createDataFrame([(i, text(0, 10)) for i in range(3)], "doc_id bigint, text string")
+    many = spark.createDataFrame([(i, text(0, 500)) for i in range(3, 6)], "doc_id bigint, text string")
+    index = line_dedup.LineIndex.build(few).insert(many)
+    filters = [line_dedup.CuckooFilter(data=bytes(r[0])) for r in index.filters.select("filter").collect()]
+    assert index.n_shards >= 5 and not any(f.stash for f in filters)
+    everything = few.unionByName(many)
+    result = lambda index: sorted(map(tuple, index.dedup(everything).collect()))
+    assert result(index) == result(line_dedup.LineIndex.build(everything))
 
 
 def test_html(spark):

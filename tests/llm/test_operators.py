@@ -85,6 +85,39 @@ def test_viterbi_is_optimal():
                 assert value(labels[a : a + k]) == pytest.approx(max(map(value, itertools.product(range(3), repeat=int(k)))))
 
 
+def test_viterbi_of_many_languages():
+    rng = np.random.default_rng(2)
+    scores = rng.normal(0, 1, (40, 200))
+    scores[:20, 150] += 50
+    scores[20:, 199] += 50
+    assert language.viterbi(scores, np.array([0]), np.array([40])).tolist() == [150] * 20 + [199] * 20
+
+
+def test_word_scores_against_plain_sums():
+    """Scores of words from counts of their n-grams, added up one by one."""
+    import collections
+    import math
+
+    texts = {"aa": ["the house and the water"], "bb": ["une maison avec les eaux"]}
+    model = language.Model(texts)
+    grams = lambda w: [f"<{w}>"[i : i + n] for n in range(1, 5) for i in range(len(w) + 3 - n)]
+    counts = {k: collections.Counter(g for w in t[0].split() for g in grams(w)) for k, t in texts.items()}
+    known = set().union(*counts.values())
+    for word in ("the", "eaux", "wat", "zzz"):
+        raw = [sum(math.log((counts[k][g] + 1) / (counts[k].total() + len(known) + 1)) for g in grams(word)) / math.sqrt(len(grams(word))) for k in sorted(texts)]
+        assert model.word_scores([word])[0] == pytest.approx([x - max(raw) for x in raw], abs=1e-4)
+
+
+def test_samples_do_not_depend_on_order(spark):
+    rows = [(i % 40 + 1, f"the house {i}" if i % 2 else f"une maison {i}", "en" if i % 2 else "fr") for i in range(200)]
+    make = lambda r: spark.createDataFrame(r, "doc_id bigint, text string, lang string").repartition(4)
+    a, b = language.fit(make(rows), 10), language.fit(make(rows[::-1]), 10)
+    assert (a.table == b.table).all() and (a.grams == b.grams).all()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id bigint, quality int")
+    a, b = quality.fit(make(rows), labels, 12), quality.fit(make(rows[::-1]), labels, 12)
+    assert all(np.array_equal(x, y) for x, y in zip(a.w, b.w, strict=True)) and (a.a, a.b) == (b.a, b.b)
+
+
 # 3
 def test_mixing_takes_its_targets(spark, sf):
     rows = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet").withColumn("s", F.col("source"))).collect()
@@ -294,7 +327,45 @@ def test_fingerprint_hears_tones():
     assert (c[o[0] : o[1]] == c[o[2] : o[3]]).all() and c[o[0] : o[1]].tolist() != c[o[1] : o[2]].tolist()
 
 
+def test_fingerprints_against_plain_transform():
+    """Peaks and pairs from a discrete Fourier transform written out, frame by frame."""
+    rng = np.random.default_rng(12)
+    payloads = [rng.integers(32, 127, 192 * n, np.uint8).tobytes() for n in (1, 3, 9)]
+    offsets, times, codes = media.fingerprints(payloads)
+    k, t = np.arange(media.WINDOW // 2 + 1)[:, None], np.arange(media.WINDOW)[None, :]
+    waves = np.exp(-2j * np.pi * k * t / media.WINDOW)
+    for i, p in enumerate(payloads):
+        n = 1 + max(0, -(-(len(p) - media.WINDOW) // media.HOP))
+        x = np.frombuffer(p.ljust(media.WINDOW + (n - 1) * media.HOP, b"\x80"), np.uint8).astype(float)
+        peaks = []
+        for f in range(n):
+            part = x[f * media.HOP : f * media.HOP + media.WINDOW]
+            peaks.append(np.abs(waves @ ((part - part.mean()) * np.hanning(media.WINDOW) / 128)))
+        want = []
+        for lo, hi in media.BANDS:
+            best = [(lo + int(m[lo:hi].argmax()), round(float(m[lo:hi].max()), 3)) for m in peaks]
+            kept = [f for f in range(n) if best[f][1] > 0 and (f == 0 or best[f][1] >= best[f - 1][1]) and (f == n - 1 or best[f][1] > best[f + 1][1])]
+            for a in range(len(kept)):
+                for b in kept[a + 1 : a + 1 + media.FAN_OUT]:
+                    if b - kept[a] <= media.MAX_DT:
+                        want.append((kept[a], best[kept[a]][0] << 12 | best[b][0] << 4 | (b - kept[a])))
+        own = slice(offsets[i], offsets[i + 1])
+        assert list(zip(times[own].tolist(), codes[own].tolist(), strict=True)) == sorted(want)
+
+
 # 8
+def test_quality_risk_against_plain_sums():
+    """The trained network has a lower non-negative risk than chance, computed term by term; the positive part is never below 0."""
+    rng = np.random.default_rng(3)
+    p, n = rng.normal(1.5, 1, (600, 4)), rng.normal(-1.5, 1, (600, 4))
+    u = np.concatenate([p[:300], n[:300]])
+    model, prior = quality.train(p[300:], u, n[300:400])
+    loss = lambda g, y: 1 / (1 + np.exp(y * g))
+    risk = lambda gp, gu: prior * np.mean([loss(g, 1) for g in gp]) + max(0.0, np.mean([loss(g, -1) for g in gu]) - prior * np.mean([loss(g, -1) for g in gp]))
+    assert risk(model.margin(p[300:]), model.margin(u)) < 0.15 < risk(np.zeros(300), np.zeros(600)) and 0.3 <= prior <= 0.7
+    assert np.mean(model.score(p[:300]) >= 0.7) > 0.9 and np.mean(model.score(n[400:]) >= 0.7) < 0.05
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in quality.query(spark, sf).collect()}
@@ -355,12 +426,24 @@ def test_fm_index_locates():
     stream = np.concatenate([np.append(r, 0) for r in runs])
     index = decontaminate.FMIndex(stream, 3)
     phrases = rng.integers(1, 4, (40, 3))
-    lo, hi = index.search(phrases, np.full(40, 3))
+    lo, hi = index.search(phrases.ravel(), 3 * np.arange(1, 41), np.full(40, 3))
     for p, a, b in zip(phrases, lo, hi, strict=True):
         want = [i for i in range(len(stream) - 2) if (stream[i : i + 3] == p).all()]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_phrases_are_compact():
+    import pickle
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(20_000)]
+    items = [(str(k), " ".join(rng.choice(words) for _ in range(100))) for k in range(2000)]
+    size = sum(len(t) for _, t in items)
+    phrases = decontaminate.Phrases([*items, ("again", items[0][1])])
+    assert len(pickle.dumps(phrases)) < 6 * size and len(phrases.ends) == 2000 * 88
+    assert phrases.owners_of(int(np.flatnonzero(phrases.ends == 13)[0])) == [0, 2000]
+
+
 # 10
 def brute_spans(t: str):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]

@@ -30,7 +30,7 @@ from webloom.llm.common import map_slices, slices, stored
 
 N = 13
 SAMPLE = 16
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 SCHEMA = "row bigint, doc_id bigint, n_words bigint, n_hit bigint, item_ids array<string>, word_spans array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>"
 
 #: Bytes of a word stay (A-Z as a-z), all others become a space.
@@ -88,18 +88,15 @@ class FMIndex:
         self.place = np.cumsum(self.sampled) - 1
         self.positions = order[self.sampled]
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of the suffixes that start with each phrase; phrases are right-aligned in a matrix."""
-        width = phrases.shape[1] if len(phrases) else 0
-        lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.bwt), np.int64)
-        live = np.arange(len(phrases))
-        for j in range(width):
-            live = live[(lengths[live] > j) & (hi[live] > lo[live])]
-            if not len(live):
-                break
-            c = phrases[live, width - 1 - j]
+    def search(self, stream: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) of the suffixes that start with each phrase, which is stream[end - length : end]."""
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.bwt), np.int64)
+        live, j = np.arange(len(ends)), 0
+        while len(live := live[(lengths[live] > j) & (hi[live] > lo[live])]):
+            c = stream[ends[live] - 1 - j].astype(np.int64)
             lo[live] = self.first[c] + self.tree.rank(c, lo[live])
             hi[live] = self.first[c] + self.tree.rank(c, hi[live])
+            j += 1
         return lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -117,22 +114,40 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items, as word numbers, and the items that have each."""
+    """The windows of a block of benchmark items, and the items that have each.
+
+    The items' words are one stream of word numbers, and a phrase is the place where its first occurrence ends: some 20 bytes
+    a word of benchmark text, besides the distinct words."""
 
     def __init__(self, items: list[tuple[str, str | None]]):
-        found: dict[tuple[bytes, ...], set[int]] = {}
         self.items = [item for item, _ in items]
+        self.vocabulary: dict[bytes, int] = {}
+        streams, ends, lengths, owners, base = [], [], [], [], 0
         for k, (_, text) in enumerate(items):
             w = words_of(text)
-            for i in range(max(1, len(w) - N + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + N]), set()).add(k)
-        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for p in found for w in p}))}
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.matrix = np.zeros((len(found), N), np.int64)
-        for r, p in enumerate(found):
-            self.matrix[r, N - len(p) :] = [self.vocabulary[w] for w in p]
-        self.owners = [np.array(sorted(x)) for x in found.values()]
-        self.shortest = int(self.lengths.min()) if len(found) else 0
+            if not w:
+                continue
+            n = max(1, len(w) - N + 1)
+            streams.append(np.fromiter((self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w), np.int32, len(w)))
+            lengths.append(np.full(n, min(N, len(w)), np.int32))
+            ends.append(base + min(N, len(w)) + np.arange(n))
+            owners.append(np.full(n, k, np.int32))
+            base += len(w)
+        empty = np.empty(0, np.int32)
+        self.stream = np.concatenate([empty, *streams])
+        all_ends, all_lengths, all_owners = (np.concatenate([empty, *x]) for x in (ends, lengths, owners))
+        rows = np.zeros((len(all_ends), N + 1), np.int32)  # equal phrases have equal rows
+        for j in range(N):
+            rows[:, j] = np.where(all_lengths > j, self.stream[all_ends - 1 - j] if len(all_ends) else 0, 0)
+        rows[:, N] = all_lengths
+        _, first, which = np.unique(np.ascontiguousarray(rows).view(f"V{4 * (N + 1)}").ravel(), return_index=True, return_inverse=True)
+        self.ends, self.lengths = all_ends[first].astype(np.int64), all_lengths[first].astype(np.int64)
+        pairs = np.unique(np.stack([which.astype(np.int64), all_owners.astype(np.int64)], 1), axis=0)
+        self.owners, self.offsets = pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        self.shortest = int(self.lengths.min()) if len(first) else 0
+
+    def owners_of(self, phrase: int) -> list[int]:
+        return self.owners[self.offsets[phrase] : self.offsets[phrase + 1]].tolist()
 
 
 def search_shard(texts: list, phrases: Phrases) -> tuple[list[int], dict[int, np.ndarray], dict[int, set[int]]]:
@@ -157,7 +172,7 @@ def search_shard(texts: list, phrases: Phrases) -> tuple[list[int], dict[int, np
         return counts, marks, items
     index = FMIndex(np.concatenate(streams), len(phrases.vocabulary))
     starts = np.cumsum([0] + [len(s) + 1 for s in streams[::2]])
-    lo, hi = index.search(phrases.matrix, phrases.lengths)
+    lo, hi = index.search(phrases.stream, phrases.ends, phrases.lengths)
     found = np.flatnonzero(hi > lo)
     if not len(found):
         return counts, marks, items
@@ -172,7 +187,7 @@ def search_shard(texts: list, phrases: Phrases) -> tuple[list[int], dict[int, np
             marks[k], items[k] = np.zeros(counts[k] + 1, np.int64), set()
         marks[k][a] += 1
         marks[k][a + phrases.lengths[p]] -= 1
-        items[k].update(phrases.owners[p].tolist())
+        items[k].update(phrases.owners_of(p))
     return counts, {k: np.cumsum(m[:-1]) > 0 for k, m in marks.items()}, items
 
 

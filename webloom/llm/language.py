@@ -8,8 +8,9 @@ is), the others get the lowest score. Words of one text form a chain: staying in
 SWITCH; Viterbi finds the best labels, and equal labels side by side are a span. The text's language is the one with
 most letters in its spans, its score that share times the mean confidence of the winning labels.
 
-The sample is bounded: TRAIN_ROWS documents (smallest hashes of doc_id) with a language and crc32(doc_id as text) mod 5
-not 0, read whole but for n-gram counts kept to the TABLE most frequent n-grams a language.
+The sample is bounded: the TRAIN_ROWS documents with the smallest hashes of doc_id that have a language and crc32(doc_id as
+text) mod 5 not 0, down to the one that reaches TRAIN_BYTES of text; of rows with one doc_id the least (lang, text). They are
+read whole but for n-gram counts kept to the TABLE most frequent n-grams a language.
 
 Edge cases: null text and text without letters is `und` with score 0 and no spans; if no language was learned every text
 is `und`; a null doc_id is in no fold (crc32 of empty text is 0: held out); ties go to the language first in code point
@@ -24,10 +25,11 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webloom.llm.common import map_slices
 
-TRAIN_ROWS = 3000
+TRAIN_ROWS, TRAIN_BYTES = 3000, 64 << 20
 FOLDS, HELD_OUT = 5, 0
 TABLE = 30_000
 SWITCH, SCRIPT_SHARE, MAX_N = 4.0, 0.02, 4
@@ -155,7 +157,7 @@ def _advance(scores, first, lengths, start, penalty):
         top = best.argmax(axis=1)
         moved = best[np.arange(m), top] - penalty
         stay = best >= moved[:, None]
-        back.append((stay, top.astype(np.int8)))
+        back.append((stay, top.astype(np.int32)))
         best = np.where(stay, best, moved[:, None]) + scores[first[:m] + t]
         ends[:m] = best
     return ends, back
@@ -214,9 +216,12 @@ def fold(doc_id):
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from text and lang of a bounded sample outside the held-out fold."""
     rows = docs.where(fold(F.col("doc_id")) != HELD_OUT).where("lang IS NOT NULL AND text IS NOT NULL")
-    ids = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    some = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).distinct())  # at most train_rows ids
-    sample = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").join(some, "doc_id").limit(2 * train_rows).collect()
+    rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    order = (F.xxhash64("doc_id"), "doc_id")
+    sizes = rows.groupBy("doc_id").agg(F.max(F.octet_length("text")).cast("bigint").alias("n")).orderBy(*order).limit(train_rows)
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over train_rows rows
+    some = F.broadcast(sizes.withColumn("before", before).where(F.col("before") < TRAIN_BYTES).select("doc_id"))
+    sample = rows.join(some, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("doc_id", "x.*").collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])

@@ -1,21 +1,24 @@
 """Reversible line dedup: sharded cuckoo filters in front of exact reference-count tables.
 
 A line's key is the line without white space at both ends, A-Z lower-cased; keys of at least MIN_CHARS code points count.
-The index has three stored tables: postings (key digest, doc_id; a key once a row of documents), reference counts (key
-digest, rows that hold it, largest doc_id), and cuckoo filters (one a shard of keys) of the keys held by at least MIN_DOCS
-rows. Inserting documents adds counts and inserts the keys that reach MIN_DOCS; deleting them subtracts, recomputes the
+The index has three stored tables: postings (key digest, doc_id; a key once a document), reference counts (key digest,
+documents that hold it, largest doc_id), and cuckoo filters (one a shard of keys) of the keys held by at least MIN_DOCS
+documents. Inserting documents adds counts and inserts the keys that reach MIN_DOCS; deleting them subtracts, recomputes the
 largest doc_id of touched keys from the remaining postings, and deletes the keys that fall below MIN_DOCS from their
-filters. So deleting what was inserted restores the former results.
+filters. So deleting what was inserted restores the former results. A filter has room for GROWTH times KEYS_PER_SHARD keys;
+when the shards hold more on average, the filters are built anew from the counts with more shards.
 
 Dedup: postings pass through the filters (sent to the tasks in blocks of at most FILTER_BLOCK_BYTES), the few that pass
-are joined with the exact counts, and give the keys that each document loses. Documents of which no line passes a filter
-are written where they are; only the others are shuffled to meet their lost keys.
+are joined with the exact counts, and give the keys that each document loses. Documents that lose nothing are written where
+they are, and only the others are shuffled to meet their lost keys: with one block of filters a document stays if no line
+passes, with several blocks if its id is not among the losing ones (up to BROADCAST_IDS of them; beyond that all are shuffled).
 
 A hot line is one row a map task after partial aggregation; in the join with the counts adaptive execution splits it.
 
-Edge cases: null or empty text is one empty line; a null doc_id counts as the smallest; rows are counted, so repeated rows
-are several holders, and all rows with the largest doc_id keep the line; a document whose lines all go has text ''; an
-empty table gives an empty result; other columns are not read.
+Edge cases: null or empty text is one empty line; documents are counted by doc_id, so repeated rows are one holder and get
+equal results, and all rows with the largest doc_id keep the line; a row without doc_id is no holder, and loses the lines
+that others repeat; a document whose lines all go has text ''; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 KEYS_PER_SHARD = 1 << 15
 FILTER_BLOCK_BYTES = 32 << 20
-SLOTS, KICKS = 4, 200
+SLOTS, KICKS, GROWTH = 4, 200, 1.5
+BROADCAST_IDS = 2_000_000
 
 
 def line_keys(text: str | None) -> list[bytes | None]:
@@ -109,8 +113,8 @@ class CuckooFilter:
         h, fp = self.parts(keys)
         i, j = self.spots(h, fp)
         hit = ((self.table[i] == fp[:, None]) | (self.table[j] == fp[:, None])).any(axis=1)
-        for k in range(len(hit)) if self.stash else ():
-            hit[k] |= (min(i[k], j[k]), fp[k]) in self.stash
+        if self.stash:
+            hit |= np.isin(np.minimum(i, j) << 16 | fp, [at << 16 | f for at, f in self.stash])
         return hit
 
 
@@ -156,8 +160,19 @@ def postings_of(docs: DataFrame) -> DataFrame:
     return map_slices(rows, "text", make, "doc_id bigint, ks array<binary>").select(F.explode("ks").alias("k"), "doc_id")
 
 
+def distinct_postings(docs: DataFrame) -> DataFrame:
+    """k, doc_id: each key once a document. Only the postings of ids that several rows have are shuffled for it."""
+    postings = postings_of(docs)
+    repeated = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return postings
+    repeated = stored(repeated.select("doc_id"), "line-repeated")
+    return postings.join(repeated, "doc_id", "left_anti").unionByName(postings.join(repeated, "doc_id", "left_semi").distinct()).select("k", "doc_id")
+
+
 def counts_of(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("k").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+    """Documents that hold a key (rows without doc_id don't count), and the largest of them."""
+    return postings.where("doc_id IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
 def _with_shard(keys: DataFrame, n_shards: int) -> DataFrame:
@@ -177,29 +192,36 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame) -> LineIndex:
-        postings = stored(postings_of(docs), "line-postings")
+        postings = stored(distinct_postings(docs), "line-postings")
         counts = stored(counts_of(postings), "line-counts")
+        filters, n_shards = cls._filled(counts)
+        return cls(postings, counts, filters, n_shards)
+
+    @staticmethod
+    def _filled(counts: DataFrame) -> tuple[DataFrame, int]:
+        """New filters of the keys that MIN_DOCS documents hold, and their number."""
         heavy = counts.where(F.col("n_docs") >= MIN_DOCS)
         n_shards = max(1, -(-heavy.count() // KEYS_PER_SHARD))
 
         def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = CuckooFilter(len(pdf))
+            out = CuckooFilter(max(len(pdf), GROWTH * KEYS_PER_SHARD))
             out.insert(as_words(sorted(pdf["k"])))
             return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "filter": [out.to_bytes()]})
 
         shards = _with_shard(heavy.select("k", F.lit(1).alias("op")), n_shards)
-        filters = shards.groupBy("shard").applyInPandas(fill, "shard bigint, filter binary")
-        return cls(postings, counts, stored(filters, "line-filters"), n_shards)
+        return stored(shards.groupBy("shard").applyInPandas(fill, "shard bigint, filter binary"), "line-filters"), n_shards
 
     def _changed(self, postings: DataFrame, counts: DataFrame) -> LineIndex:
         """With new counts; keys that cross MIN_DOCS enter or leave their filter."""
-        postings, counts = stored(postings, "line-postings"), stored(counts, "line-counts")
+        counts = stored(counts, "line-counts")
         heavy = F.col("n_docs") >= MIN_DOCS
+        if counts.where(heavy).count() > GROWTH * KEYS_PER_SHARD * self.n_shards:
+            return LineIndex(postings, counts, *self._filled(counts))
         before, now = self.counts.where(heavy).select("k"), counts.where(heavy).select("k")
         moved = now.join(before, "k", "left_anti").withColumn("op", F.lit(1)).unionByName(before.join(now, "k", "left_anti").withColumn("op", F.lit(-1)))
 
         def apply(old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-            out = CuckooFilter(data=old["filter"].iloc[0]) if len(old) else CuckooFilter(KEYS_PER_SHARD)
+            out = CuckooFilter(data=old["filter"].iloc[0]) if len(old) else CuckooFilter(GROWTH * KEYS_PER_SHARD)
             for op, change in ((-1, out.delete), (1, out.insert)):
                 if len(ks := sorted(keys["k"][keys["op"] == op])):
                     change(as_words(ks))
@@ -209,7 +231,8 @@ class LineIndex:
         return LineIndex(postings, counts, stored(filters, "line-filters"), self.n_shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        new = stored(postings_of(docs), "line-new")
+        """With more documents; a document that is there already adds only the keys that it didn't have."""
+        new = stored(distinct_postings(docs).join(self.postings, ["k", "doc_id"], "left_anti"), "line-postings")
         counts = self.counts.unionByName(counts_of(new)).groupBy("k").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
         return self._changed(self.postings.unionByName(new), counts)
 
@@ -217,7 +240,7 @@ class LineIndex:
         """Without all rows of these doc_ids."""
         ids = doc_ids.select("doc_id").distinct()
         gone = counts_of(self.postings.join(ids, "doc_id", "left_semi")).select("k", F.col("n_docs").alias("n_gone"))
-        left = self.postings.join(ids, "doc_id", "left_anti")
+        left = stored(self.postings.join(ids, "doc_id", "left_anti"), "line-postings")
         last = counts_of(left.join(gone, "k", "left_semi")).select("k", F.col("last_doc").alias("last_left"))
         counts = self.counts.join(gone, "k", "left").join(last, "k", "left").select(
             "k", (F.col("n_docs") - F.coalesce("n_gone", F.lit(0))).alias("n_docs"),
@@ -261,11 +284,17 @@ class LineIndex:
             found = found.unionByName(p)
         heavy = self.counts.where(F.col("n_docs") >= MIN_DOCS).select("k", "last_doc")
         lost = found.join(heavy, "k").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy("doc_id").agg(F.collect_list("k").alias("ks"))
-        if len(blocks) > 1:
-            touched, out = docs, None
-        else:
-            touched, out = _split(docs, blocks, True), _kept(_split(docs, blocks, False).withColumn("ks", F.array().cast("array<binary>")))
         lost = lost.withColumnRenamed("doc_id", "lost_id")
+        nothing = F.array().cast("array<binary>")
+        touched, out = docs, None
+        if len(blocks) <= 1:
+            touched, out = _split(docs, blocks, True), _kept(_split(docs, blocks, False).withColumn("ks", nothing))
+        else:
+            lost = stored(lost, "line-lost")
+            if lost.count() <= BROADCAST_IDS:
+                ids = F.broadcast(lost.select("lost_id"))
+                here = F.col("doc_id").eqNullSafe(F.col("lost_id"))
+                touched, out = docs.join(ids, here, "left_semi"), _kept(docs.join(ids, here, "left_anti").withColumn("ks", nothing))
         joined = touched.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", "text", "rest", F.coalesce("ks", F.array().cast("array<binary>")).alias("ks"))
         joined = _kept(joined)
         return joined if out is None else out.unionByName(joined)
@@ -325,16 +354,17 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH l AS (
-  SELECT doc_id, u.i AS i, u.line AS line,
+  SELECT r, doc_id, u.i AS i, u.line AS line,
          translate(regexp_replace(regexp_replace(u.line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'i': i, 'line': x})) AS u FROM documents)
+  FROM (SELECT r, doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'i': i, 'line': x})) AS u
+        FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents))
 ), c AS (
   SELECT k, max(doc_id) AS last_doc FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
 ), m AS (
-  SELECT l.doc_id, i, line, c.k IS NOT NULL AND l.doc_id <> c.last_doc AS gone FROM l LEFT JOIN c ON l.k = c.k
+  SELECT r, l.doc_id, i, line, c.k IS NOT NULL AND l.doc_id IS DISTINCT FROM c.last_doc AS gone FROM l LEFT JOIN c ON l.k = c.k
 )
-SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r
 """

@@ -14,7 +14,7 @@ The running sum over a source is taken in two steps, so no source has to fit int
 where the bucket is a range of the order key and there are about sqrt(rows) buckets, then a window inside each cell.
 
 Edge cases: null text has size 0 and is never taken (position null, sorted last); a null source is a source of its own;
-a source without words has target 0; a null doc_id counts as an empty one in the order; repeated rows are separate
+a source without words has target 0; rows without doc_id are ordered by their texts; repeated rows are separate
 documents side by side in the order; an empty table gives an empty result; other columns are not read.
 """
 
@@ -41,11 +41,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, budget: float = BUDGET,
     """One row per document: size, source_size, target (its source's), taken, position (of its first copy), positions."""
     n_buckets = max(1, math.isqrt(docs.count()))
     width = -(-(1 << KEY_BITS) // n_buckets)
+    order_text = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.col("text").cast("string")), F.lit(""))
     sized = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.concat(F.lit("a"), F.col("source").cast("string")), F.lit("b")).alias("skey"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("bigint").alias("okey"),
+        F.conv(F.substring(F.md5(order_text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("bigint").alias("okey"),
     ).withColumn("bucket", F.expr(f"okey div {width}L"))
 
     cells = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("cell"))
@@ -70,7 +71,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, budget: float = BUDGET,
 
 
 def source_targets(sources: DataFrame, weights, slopes, budget: float, cap: int) -> DataFrame:
-    """Targets of all sources; one row per source, so the windows over all of them are small."""
+    """Targets of all sources; the windows run over one row a source in one task, which is meant for up to millions of sources."""
     rank = F.row_number().over(Window.orderBy("skey")) - 1
     s = sources.withColumn("rank", rank).withColumn("weight", _pick([int(w) for w in weights], F.col("rank")))
     s = s.withColumn("slope", _pick([float(x) for x in slopes], F.col("rank"))).withColumn("most", (F.col("source_size") * cap).cast("double"))
@@ -106,7 +107,7 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('a' || source, 'b') AS skey,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS okey
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 't' || text, '')), 1, 15))::BIGINT AS okey
   FROM documents
 ), s0 AS (
   SELECT skey, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY skey) - 1 AS rank FROM d GROUP BY skey

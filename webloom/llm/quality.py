@@ -8,8 +8,8 @@ prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]); while the second pa
 Its output becomes a probability by logistic calibration on labelled training rows of both classes (by the prior alone
 where one class is missing).
 
-The sample is bounded: TRAIN_ROWS labelled and TRAIN_ROWS unlabelled rows, those with the smallest hashes of doc_id. Only
-their features reach the driver.
+The sample is bounded: TRAIN_ROWS labelled and TRAIN_ROWS unlabelled doc_ids, those with the smallest hashes; of rows with
+one doc_id the least features count. Only features reach the driver.
 
 Edge cases: null and empty texts have zero features and get a score; a null doc_id is not held out and has no label; of
 several labels of a doc_id the smallest counts; without any positive every score is 0.5; repeated rows get equal scores;
@@ -182,10 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     order = lambda salt: F.xxhash64(F.lit(salt), "doc_id")
     some = labelled.orderBy(order(1), "doc_id").limit(train_rows)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL")
-    free = ids.orderBy(order(2), "doc_id").limit(train_rows).distinct().withColumn("kind", F.lit(2))
+    free = ids.distinct().orderBy(order(2), "doc_id").limit(train_rows).withColumn("kind", F.lit(2))
     sample = F.broadcast(some.unionByName(free))  # at most 2 * train_rows ids
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
-    rows = feature_rows(texts.select("doc_id", "kind", "text")).limit(4 * train_rows).toPandas()
+    rows = feature_rows(texts.select("doc_id", "kind", "text")).groupBy("doc_id", "kind").agg(F.min("x").alias("x")).toPandas()
     rows = rows.sort_values(["kind", "doc_id"], kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES)
     kind = rows["kind"].to_numpy()
