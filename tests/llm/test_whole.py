@@ -92,3 +92,26 @@ def test_fingerprint_hears_the_last_samples():
         offsets, times, codes = media.fingerprints([head + rng.integers(0, 256, 64, np.uint8).tobytes() for _ in range(20)])
         features = {(times[a:b].tobytes(), codes[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)}
         assert len(features) > 1, size
+
+
+def test_html_of_hostile_pages_is_linear():
+    import time
+
+    n = 1 << 20
+    fill = lambda part: part * (n // len(part))
+    pages = [
+        fill("</i>"), fill("<a "), fill("<![CDATA["), fill("<!-"), "<!--" + fill("x <p>"), fill("<div><a>"), fill("<b></p>"), fill("<svg/>"), fill("<a '>"),
+        fill("<i>") + fill("<hr>"), "<i><div>" + fill("<b>") + fill("</i>"), "<ul>" + fill("<span>") + fill("<li>x"), fill("<td"), fill("<li>"), fill('<p title="'), fill("&amp"),
+    ]
+    for page in pages:
+        began = time.perf_counter()
+        html_text.main_text(html_text.blocks_of(page))
+        assert time.perf_counter() - began < 30, page[:20]
+
+
+def test_html_of_unclosed_parts():
+    text = lambda page: [t for t, _, _ in html_text.blocks_of(page)]
+    assert text("<p>a <![CDATA[b & c]]> d<p>e <!-- f <p>g") == ["a b & c d", "e"]
+    assert text("<p>1 < 2 <b>x</b> <a href='q") == ["1 < 2 x <a href='q"]
+    assert text("<p>a<svg/>b</p><p>c<svg><p>d</svg>e") == ["ab", "ce"]
+    assert text("<ul><li>a<span>b<li>c</ul><table><tr><td>1<td>2<tr><td>3</table>") == ["ab", "c", "1", "2", "3"]

@@ -9,7 +9,7 @@ SWITCH; Viterbi finds the best labels, and equal labels side by side are a span.
 most letters in its spans, its score that share times the mean confidence of the winning labels.
 
 The sample is bounded: the TRAIN_ROWS documents with the smallest hashes of doc_id that have a language and crc32(doc_id as
-text) mod 5 not 0, down to the one that reaches TRAIN_BYTES of text; of rows with one doc_id the least (lang, text). They are
+text) mod 5 not 0, down to the one that reaches TRAIN_BYTES of text; of rows with one doc_id and language the least text. They are
 read whole but for n-gram counts kept to the TABLE most frequent n-grams a language.
 
 Edge cases: null text and text without letters is `und` with score 0 and no spans; if no language was learned every text
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     sizes = rows.groupBy("doc_id").agg(F.max(F.octet_length("text")).cast("bigint").alias("n")).orderBy(*order).limit(train_rows)
     before = F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over train_rows rows
     some = F.broadcast(sizes.withColumn("before", before).where(F.col("before") < TRAIN_BYTES).select("doc_id"))
-    sample = rows.join(some, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("doc_id", "x.*").collect()
+    sample = rows.join(some, "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])

@@ -69,27 +69,56 @@ MPL = (
 UNLICENSE = "This is free and unencumbered software released into the public domain."
 BOOST = "Distributed under the Boost Software License, Version 1.0."
 
+WARRANTY_MIT = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+WARRANTY_BSD = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+    "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+    "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
 GNU_NAMES = (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))
 CC_KINDS = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
 CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
-SUBJECTS = ("This work is licensed", "Licensed", "Released", "Available", "Distributed")
+CC_WORDS = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+SUBJECTS = ("This work is licensed", "Licensed", "Released", "Available", "Distributed", "Released under the terms of the", "This project is licensed", "This software is licensed")
+SPDX = "SPDX-License-Identifier: "
+DUAL = ("MIT", "Apache-2.0", "BSD-3-Clause", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
 
 
 def templates() -> list[tuple[str, str]]:
-    """(license, wording): full texts, and the short notices built from names by rule."""
+    """(license, wording): grants with and without their warranty parts, and the short notices built from names by rule."""
     out = [
-        ("MIT", GRANT_MIT), ("ISC", GRANT_ISC), ("BSD-2-Clause", BSD_2), ("BSD-3-Clause", BSD_3), ("Apache-2.0", APACHE), ("MPL-2.0", MPL),
-        ("Unlicense", UNLICENSE), ("BSL-1.0", BOOST),
+        ("MIT", GRANT_MIT), ("MIT", f"{GRANT_MIT} {WARRANTY_MIT}"), ("ISC", GRANT_ISC), ("BSD-2-Clause", BSD_2), ("BSD-2-Clause", f"{BSD_2} {WARRANTY_BSD}"),
+        ("BSD-3-Clause", BSD_3), ("BSD-3-Clause", f"{BSD_3} {WARRANTY_BSD}"), ("Apache-2.0", APACHE), ("MPL-2.0", MPL), ("Unlicense", UNLICENSE), ("BSL-1.0", BOOST),
     ]
     out += [(name, GNU.format(adjective, version)) for name, adjective, version in GNU_NAMES]
-    short = [("MIT", "the MIT License"), ("ISC", "the ISC License"), ("Apache-2.0", "the Apache License, Version 2.0"), ("MPL-2.0", "the Mozilla Public License, version 2.0")]
-    short += [(n, f"the GNU {a}General Public License, version {v}") for n, a, v in GNU_NAMES]
-    short += [(f"CC-{k}-{v}", f"CC {k} {v}") for k in CC_KINDS for v in CC_VERSIONS]
-    short += [(f"BSD-{n}-Clause", f"the BSD {n}-Clause License") for n in (2, 3)]
-    return out + [(name, f"{s} under {title}.") for name, title in short for s in SUBJECTS]
-
-
-HINTS = ("licen", "released under", "distributed under", "available under", "copyright", "permission", "redistribut", "public domain", "public license", "creative commons", "warrant")
+    short = [("MIT", "MIT License"), ("ISC", "ISC License"), ("Apache-2.0", "Apache License, Version 2.0"), ("MPL-2.0", "Mozilla Public License, version 2.0")]
+    short += [(n, f"GNU {a}General Public License, version {v}") for n, a, v in GNU_NAMES]
+    short += [(f"BSD-{n}-Clause", f"BSD {n}-Clause License") for n in (2, 3)]
+    plain = [(f"CC-{k}-{v}", f"CC {k} {v}") for k in CC_KINDS for v in CC_VERSIONS]
+    spelled = []
+    for k in CC_KINDS:
+        words = [CC_WORDS[x] for x in k.split("-")]
+        names = ["-".join(words), *["-".join(words[:i]) + "- " + "-".join(words[i:]) for i in range(1, len(words))]]  # a line may end after a hyphen
+        spelled += [(f"CC-{k}-{v}", f"Creative Commons {name} {v} International License") for name in names for v in CC_VERSIONS]
+    for subject in SUBJECTS:
+        after = "" if subject.endswith("terms of the") else " under the"
+        out += [(name, f"{subject}{after} {title}.") for name, title in short]
+        if after:
+            out += [(name, f"{subject} under {title}.") for name, title in plain]
+    out += [(name, f"{subject} under a {title}.") for subject in ("This work is licensed", "Licensed") for name, title in spelled]
+    names = list(dict.fromkeys(name for name, _ in out))
+    out += [(name, SPDX + name) for name in names] + [(name, f"{SPDX}{name}-{tail}") for name in names if "GPL" in name for tail in ("only", "or-later")]
+    return out + [(f"{a} AND {b}", f"Dual licensed under {a} and {b}.") for a in DUAL for b in DUAL if a != b]
+
+
+HINTS = ("licen", "released under", "distributed under", "available under", "copyright", "permission", "redistribut", "public domain", "public license", "creative commons", "warrant", "spdx")
 HINT = re.compile("|".join(r"\W+".join(h.split()) for h in HINTS), re.I)
 WORD = re.compile(r"[\w.+/-]*\w")
 #: A difference in one of these is never a slip: numbers, versions, and words that change the terms.
@@ -133,8 +162,9 @@ class Scanner:
         self.counts = [Counter(w) for w in self.words]
         self.seeds: dict[tuple[str, ...], list[tuple[int, int]]] = {}
         for k, own in enumerate(self.words):
-            for j in range(len(own) - SEED + 1):
-                self.seeds.setdefault(tuple(own[j : j + SEED]), []).append((k, j))
+            n = min(SEED, len(own))
+            for j in range(len(own) - n + 1):
+                self.seeds.setdefault(tuple(own[j : j + n]), []).append((k, j))
         kw = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = zstandard.ZstdCompressor(**kw)
         raw = [zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, t in self.names]
@@ -150,9 +180,10 @@ class Scanner:
     def offsets(self, words: list[str]) -> dict[int, set[int]]:
         """Of every template that shares SEED words with the block: where its first word would stand."""
         out: dict[int, set[int]] = {}
-        for i, gram in enumerate(zip(*(words[i:] for i in range(SEED)), strict=False)):
-            for k, j in self.seeds.get(gram, ()):
-                out.setdefault(k, set()).add(i - j)
+        for n in range(1, SEED + 1):
+            for i, gram in enumerate(zip(*(words[i:] for i in range(n)), strict=False)):
+                for k, j in self.seeds.get(gram, ()):
+                    out.setdefault(k, set()).add(i - j)
         return out
 
     def compare(self, words: list[str], k: int, offsets: set[int]) -> list[tuple[int, int, int, int]]:
