@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from webloom.functions import classify
 from webloom.operators import frontier, jobs, ordered, pool, sitemap
-from webloom.operators.crawl import crawl
+from webloom.functions.html import Field, Rule
+from webloom.operators.crawl import Cancel, crawl
 from webloom.operators.scope import Scope, reason
 from webloom.sources import inventory, sinks
 from webloom.streaming import events as streams
@@ -49,7 +50,7 @@ def test_crawl_cases(spark):
     c = crawl(store, Scope(SEED, max_depth=2))
     got = {r.url: (r.depth, r.ok, r.error) for r in c.ledger.collect()}
     assert got == {SEED: (0, True, None), SEED + "child": (1, False, None), SEED + "gone": (2, False, "page not in store")}
-    assert c.stats().first().asDict() == {"visited": 2, "failed": 1, "dedup_skipped": 2, "out_of_scope": 1}
+    assert c.stats().first().asDict() == {"visited": 2, "queued": 0, "failed": 1, "dedup_skipped": 2, "out_of_scope": 1, "retries_total": 0}
     many = pages(spark, [(SEED, link(*[f"/p{i}" for i in range(20)]), 200, None)] + [(f"{SEED}p{i}", "", 200, None) for i in range(20)])
     assert crawl(many, Scope(SEED), max_pages=1).stats().first().visited == 1
     assert crawl(many, Scope(SEED), max_pages=7).stats().first().visited == 7
@@ -59,6 +60,27 @@ def test_crawl_cases(spark):
     assert [r.url for r in crawl(failing, Scope(SEED), max_pages=2).ledger.where("error is null").orderBy("url").collect()] == [SEED, SEED + "b"]
 
 
+def test_crawl_retries_cancel_and_discovery(spark):
+    link = "<h1>T</h1>" + "".join(f'<a href="/p{i}">x</a>' for i in range(20))
+    kinds = "url string, html string, status_code int, error string, attempt int, retryable boolean"
+    rows = [(SEED, None, 503, "busy", 0, True), (SEED, None, 503, "busy", 1, True), (SEED, link, 200, None, 2, False), (SEED + "p0", None, 422, "bad", 0, False), (SEED + "p1", None, None, "gone", 0, True)]
+    rows += [(f"{SEED}p{i}", "<p>x", 200, None, 0, False) for i in range(2, 20)]
+    store = spark.createDataFrame(rows, kinds)
+    c = crawl(store, Scope(SEED))
+    got = {r.url: (r.error, r.retries, r.wait_s, r.response) for r in c.ledger.collect()}
+    assert got[SEED] == (None, 2, 6.0, None) and got[SEED + "p0"] == ("bad", 0, 0.0, None) and got[SEED + "p1"] == ("gone", 3, 14.0, None)
+    assert c.stats().first().asDict() == {"visited": 19, "queued": 0, "failed": 2, "dedup_skipped": 0, "out_of_scope": 0, "retries_total": 5}
+    rule = Rule((("title", Field("h1")),))
+    kept = crawl(store, Scope(SEED), max_pages=5, rule=rule, scraping=True)
+    assert {r.url: r.response.data for r in kept.ledger.collect()}[SEED] == {"title": ["T"]}
+    assert kept.stats().first().asDict() | {"failed": 2} == {"visited": 5, "queued": 14, "failed": 2, "dedup_skipped": 0, "out_of_scope": 0, "retries_total": 5}
+    for hard in (False, True):
+        c = crawl(store, Scope(SEED), cancel=Cancel(6, hard, 3))
+        s = c.stats().first()
+        assert (c.status, s.visited, s.failed, s.queued) == ("cancelled", 6 if hard else 9, 5 if hard else 2, 10)
+        assert c.ledger.where("error = 'cancelled'").count() == 3 * hard
+
+
 def test_session_and_throttle(spark):
     codes = [200, 500, 200, 500, 500, 500, 200, 429, 200]
     df = spark.createDataFrame([("p", i, c) for i, c in enumerate(codes)], "pool string, seq int, status int")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import classify
 from webloom.functions.html import Rule
 from webloom.operators import geo, jobs, pool
-from webloom.operators.crawl import Crawl, crawl
+from webloom.operators.crawl import Cancel, Crawl, crawl
 from webloom.operators.scope import Scope
 from webloom.operators.scrape import scrape
 from webloom.settings import Settings
@@ -23,8 +23,12 @@ def scrape_page(spark: SparkSession, url: str, pages: DataFrame, rule: Rule | No
     return scrape(spark.createDataFrame([("1", url)], "request_id string, url string"), pages, rule, raw_html)
 
 
-def create_crawl(pages: DataFrame, scope: Scope, settings: Settings | None = None) -> Crawl:
-    return crawl(pages, scope, (settings or Settings()).max_pages)
+def create_crawl(
+    pages: DataFrame, scope: Scope, settings: Settings | None = None, rule: Rule | None = None, enable_scraping: bool = False, cancel: Cancel | None = None
+) -> Crawl:
+    """A crawl; without enable_scraping it only discovers, and responses are NULL."""
+    cfg = settings or Settings()
+    return crawl(pages, scope, cfg.max_pages, rule=rule, scraping=enable_scraping, cancel=cancel, settings=cfg)
 
 
 def get_job(jobs_table: DataFrame, job_id) -> DataFrame:

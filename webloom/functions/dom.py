@@ -16,32 +16,59 @@ ENDS_P = frozenset(
 FENCES = frozenset("ul ol table dl select div article section body html".split())
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, repr=False)
 class Node:
+    """place: the number among its parent's elements; index: the number in the document. Walks keep their own stack, so depth
+    is only bounded by memory."""
+
     tag: str
     attrs: dict[str, str]
     parent: Node | None
     children: list = field(default_factory=list)  # Node or str
     index: int = 0
+    place: int = 0
+    inner: list = field(default_factory=list)  # the children that are Nodes
 
     def elements(self):
-        return [c for c in self.children if isinstance(c, Node)]
+        return self.inner
+
+    def append(self, child) -> None:
+        self.children.append(child)
+        if isinstance(child, Node):
+            child.place = len(self.inner)
+            self.inner.append(child)
 
     def descendants(self):
-        for c in self.elements():
-            yield c
-            yield from c.descendants()
+        stack = self.inner[::-1]
+        while stack:
+            e = stack.pop()
+            yield e
+            stack += e.inner[::-1]
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, stack = [], self.children[::-1]
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                stack += c.children[::-1]
+        return "".join(out)
 
     def html(self) -> str:
-        attrs = "".join(f' {k}="{_escape(v, True)}"' for k, v in self.attrs.items())
-        if self.tag in VOID:
-            return f"<{self.tag}{attrs}>"
-        raw = self.tag in ("script", "style")
-        inner = "".join((c if raw else _escape(c)) if isinstance(c, str) else c.html() for c in self.children)
-        return f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        out, stack = [], [self]  # nodes to open, strings to write
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
+                out.append(c)
+                continue
+            attrs = "".join(f' {k}="{_escape(v, True)}"' for k, v in c.attrs.items())
+            out.append(f"<{c.tag}{attrs}>")
+            if c.tag not in VOID:
+                raw = c.tag in ("script", "style")
+                stack.append(f"</{c.tag}>")
+                stack += [(x if raw else _escape(x)) if isinstance(x, str) else x for x in reversed(c.children)]
+        return "".join(out)
 
 
 def _escape(s: str, quote: bool = False) -> str:
@@ -54,41 +81,41 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {}, None)
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}  # places of the open elements by name
         self.count = 0
 
     def _pop_to(self, k: int) -> None:
-        del self.open[k:]
+        while len(self.open) > k:
+            self.at[self.open.pop().tag].pop()
+
+    def _last(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
 
     def handle_starttag(self, tag, attrs):
         closing = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        for k in range(len(self.open) - 1, 0, -1):
+        while closing and (k := self._last(closing)) and k >= self._last(FENCES):
             name = self.open[k].tag
-            if name in closing:
-                self._pop_to(k)
-                if tag == "tr" and name != "tr":
-                    continue
-                break
-            if name in FENCES:
+            self._pop_to(k)
+            if tag != "tr" or name == "tr":
                 break
         self.count += 1
         node = Node(tag, {k: v or "" for k, v in dict(reversed(attrs)).items()}, self.open[-1], index=self.count)
-        self.open[-1].children.append(node)
+        self.open[-1].append(node)
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self._pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                self._pop_to(k)
-                break
+        if k := self._last([tag]):
+            self._pop_to(k)
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        self.open[-1].append(data)
 
 
 def parse(html: str) -> Node:
@@ -153,9 +180,7 @@ def _position(kind, n):
     def test(e):
         if e.parent is None:
             return False
-        own = e.parent.elements()
-        k = own.index(e)
-        return k == len(own) - 1 if kind == "last-child" else k == (int(n) - 1 if n else 0)
+        return e.place == len(e.parent.inner) - 1 if kind == "last-child" else e.place == (int(n) - 1 if n else 0)
 
     return test
 
@@ -179,27 +204,40 @@ def compile_css(selector: str):
             chains.append([])
             joiner = None
 
-    def holds(e, chain, k):
-        joiner, test = chain[k]
-        if not test(e):
-            return False
-        if k == 0:
-            return True
-        if joiner == ">":
-            return e.parent is not None and holds(e.parent, chain, k - 1)
-        if joiner == " ":
-            p = e.parent
-            while p is not None:
-                if holds(p, chain, k - 1):
-                    return True
-                p = p.parent
-            return False
-        own = e.parent.elements() if e.parent is not None else [e]
-        i = own.index(e)
-        before = own[i - 1 : i] if joiner == "+" else own[:i]
-        return any(holds(x, chain, k - 1) for x in before)
+    def matches(root, chain):
+        """Elements that satisfy the chain: one walk a step, from the matches of the step before (as numbers of the document)."""
+        everything = list(root.descendants())
+        before: set[int] | None = None
+        for joiner, test in chain:
+            now: set[int] = set()
+            if before is None:
+                now = {e.index for e in everything if test(e)}
+            elif joiner == ">":
+                now = {e.index for e in everything if e.parent.index in before and e.parent is not root and test(e)}
+            elif joiner == " ":
+                under: set[int] = set()  # elements with a match above them
+                for e in everything:
+                    if e.parent is not root and (e.parent.index in before or e.parent.index in under):
+                        under.add(e.index)
+                        if test(e):
+                            now.add(e.index)
+            elif joiner == "+":
+                now = {e.index for e in everything if e.place and e.parent.inner[e.place - 1].index in before and test(e)}
+            else:
+                after: set[int] = set()  # elements with a match before them among their siblings
+                for e in everything:
+                    if e.place and ((p := e.parent.inner[e.place - 1].index) in before or p in after):
+                        after.add(e.index)
+                        if test(e):
+                            now.add(e.index)
+            before = now
+        return before
+
+    def run(root):
+        found = set().union(*(matches(root, c) for c in chains))
+        return [e for e in root.descendants() if e.index in found]
 
-    return lambda root: [e for e in root.descendants() if any(holds(e, c, len(c) - 1) for c in chains)]
+    return run
 
 
 _STEP = re.compile(r"(?P<axis>//?)(?:(?P<tag>\*|[A-Za-z][\w-]*)|@(?P<attr>[\w-]+)|(?P<text>text\(\)))(?P<preds>(?:\[[^\]]*\])*)")
@@ -243,15 +281,25 @@ def compile_xpath(path: str):
                 group = [e for e in group if part in e.attrs.get(q["ca"], "")]
         return group
 
+    def below(nodes):
+        """The nodes and all under them, each once, in document order."""
+        out, seen = [], set()
+        for n in nodes:
+            if n.index not in seen:
+                for x in (n, *n.descendants()):
+                    seen.add(x.index)
+                    out.append(x)
+        return sorted(out, key=lambda e: e.index)
+
     def run(root):
         current = [root]
         for axis, tag, attr, text, preds in steps:
             if attr or text:
-                pool = [x for n in current for x in ([n, *n.descendants()] if axis == "//" else [n])]
+                pool = below(current) if axis == "//" else current
                 if attr:
                     return [x.attrs[attr] for x in pool if attr in x.attrs]
                 return [c for x in pool for c in x.children if isinstance(c, str)]
-            parents = [x for n in current for x in ([n, *n.descendants()] if axis == "//" else [n])]
+            parents = below(current) if axis == "//" else current
             found = [e for p in parents for e in keep([c for c in p.elements() if tag in ("*", c.tag)], preds)]
             current = sorted({id(e): e for e in found}.values(), key=lambda e: e.index)
         return current

@@ -10,93 +10,202 @@ from pyspark.sql.window import Window
 
 from webloom.checkpointing import cut
 from webloom.functions import classify, html, urls
+from webloom.functions.html import FIELDS, Rule
 from webloom.operators import frontier
 from webloom.operators.scope import Scope, reason
+from webloom.settings import Settings
 
 FOLD_WAVES = 8
-LEDGER = "url string, parent_url string, depth int, key array<bigint>, status_code int, final_url string, ok boolean, error string"
+MISSING, CANCELLED = "page not in store", "cancelled"
 
 
 @dataclass
 class Crawl:
-    """ledger: a row per fetched or failed URL; discarded: counts of links that were not queued, by depth and reason."""
+    """ledger: a row per fetched or failed URL; discarded: counts of links that were not queued, by depth and reason; queued:
+    URLs left in the frontier when the crawl ended; status: done or cancelled."""
 
     ledger: DataFrame
     discarded: DataFrame
+    queued: int = 0
+    status: str = "done"
 
     def stats(self) -> DataFrame:
-        """visited, failed, dedup_skipped, out_of_scope as one row."""
-        a = self.ledger.agg(F.count_if(F.col("error").isNull()).alias("visited"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+        """visited, queued, failed, dedup_skipped, out_of_scope, retries_total as one row."""
+        a = self.ledger.agg(
+            F.count_if(F.col("error").isNull()).alias("visited"), F.lit(self.queued).cast("bigint").alias("queued"), F.count_if(F.col("error").isNotNull()).alias("failed"),
+            F.coalesce(F.sum("retries"), F.lit(0)).cast("bigint").alias("retries_total"),
+        )
         n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("bigint")
         seen = F.col("reason") == "seen"
-        return a.crossJoin(self.discarded.agg(n(seen).alias("dedup_skipped"), n(~seen).alias("out_of_scope")))
+        b = self.discarded.agg(n(seen).alias("dedup_skipped"), n(~seen).alias("out_of_scope"))
+        return a.crossJoin(b).select("visited", "queued", "failed", "dedup_skipped", "out_of_scope", "retries_total")
 
 
-def page_store(pages: DataFrame) -> DataFrame:
-    """canonical url, html, status_code, final_url, error of stored pages; one row a canonical URL (the smallest)."""
-    have = set(pages.columns)
-    col = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
-    rows = pages.select(urls.canonical(F.col("url")).alias("url"), col("html", "string"), col("status_code", "int"), col("final_url", "string"), col("error", "string"))
-    return rows.where("url IS NOT NULL").groupBy("url").agg(F.min(F.struct("html", "status_code", "final_url", "error")).alias("p")).select("url", "p.*")
+@dataclass(frozen=True)
+class Cancel:
+    """A cancel request that comes when so many pages have succeeded. workers requests are under way then: a soft cancel lets
+    them end, a hard one makes them failed rows; nothing more is dispatched."""
 
+    after_pages: int
+    hard: bool = False
+    workers: int = 4
 
-def link_table(store: DataFrame, quick: bool = False) -> DataFrame:
-    """source url, position and canonical target of every link; pages are parsed once and html leaves the plan here."""
-    base = F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("url"))
-    found = F.transform(html.quick_links(F.col("html")), lambda h: urls.resolve_rooted(h, base)) if quick else html.extract_links(F.col("html"), base)
-    rows = store.where("error IS NULL").select(F.col("url").alias("source"), F.posexplode(found).alias("pos", "link"))
-    return rows.select("source", F.col("pos").cast("bigint").alias("pos"), urls.canonical(F.col("link")).alias("url")).where("url IS NOT NULL")
 
+def answers(pages: DataFrame, rule: Rule | None = None, scraping: bool = False, quick: bool = False, settings: Settings | None = None) -> DataFrame:
+    """What fetching a canonical URL gives in the end: status_code, final_url, error, retries, wait_s, links, response.
 
-def crawl(pages: DataFrame, scope: Scope, max_pages: int | None = 500, quick: bool = False) -> Crawl:
+    A stored page may have attempt (the attempt it answers, 0 first; the last one answers the later ones too) and retryable.
+    An error is tried again if classify.should_retry says so. Links and fields are taken from the html in the scan, so html is
+    never shuffled; of several pages for an attempt the one with the smallest digest counts, chosen before the shuffle."""
+    cfg, have = settings or Settings(), set(pages.columns)
+    col = lambda name, kind, default=None: (F.coalesce(F.col(name).cast(kind), F.lit(default)) if name in have else F.lit(default).cast(kind)).alias(name)
+    rows = pages.select(
+        urls.canonical(F.col("url")).alias("url"), col("html", "string"), col("status_code", "int"), col("final_url", "string"), col("error", "string"),
+        col("attempt", "int", 0), col("retryable", "boolean", False),
+    ).where("url IS NOT NULL")
+    base = F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("url"))
+    found = F.transform(html.quick_links(F.col("html")), lambda h: urls.resolve_rooted(h, base)) if quick else html.extract_links(F.col("html"), base)
+    kind = FIELDS.simpleString()
+    response = F.lit(None).cast(kind)
+    if scraping and rule is not None:
+        response = html.extractor(rule)(F.when(F.col("html") != "", F.col("html")))
+    rows = rows.withColumn("links", found).withColumn("response", response)
+    answer = F.struct(
+        F.xxhash64("html").alias("digest"), "status_code", "final_url", "error", "retryable", "links",
+        F.struct(F.map_entries("response.data").alias("data"), F.col("response.warnings").alias("warnings")).alias("response"),
+    )
+    one = rows.where(F.col("attempt") <= cfg.max_retries).groupBy("url", "attempt").agg(F.min(answer).alias("a"))
+    one = one.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("attempt", "a"))).alias("all"))  # at most max_retries + 1 of them
+    again = lambda x, n: x["a"]["error"].isNotNull() & classify.should_retry(x["a"]["retryable"], n + 1, x["a"]["status_code"], cfg.max_retries)
+    at = lambda n: F.element_at(F.filter("all", lambda x: (x["attempt"] <= n) | (x["attempt"] == F.col("all")[0]["attempt"])), -1)
+    tries = F.transform(F.sequence(F.lit(0), F.lit(cfg.max_retries)), lambda n: F.struct(n.alias("n"), again(at(n), n).alias("again")))
+    retries = F.coalesce(F.get(F.filter(tries, lambda t: ~t["again"]), F.lit(0))["n"], F.lit(cfg.max_retries))
+    waits = F.aggregate(F.filter(F.sequence(F.lit(0), F.lit(cfg.max_retries)), lambda n: (n > 0) & (n <= F.col("retries"))), F.lit(0.0), lambda s, n: s + classify.backoff(n))
+    out = one.select("url", "all", retries.alias("retries")).select("url", "retries", waits.alias("wait_s"), at(F.col("retries"))["a"].alias("a"))
+    return out.select(
+        "url", "a.status_code", "a.final_url", "a.error", "retries", "wait_s", "a.links",
+        F.when(F.lit(scraping), F.struct(F.map_from_entries("a.response.data").alias("data"), F.col("a.response.warnings").alias("warnings"))).alias("response"),
+    )
+
+
+def crawl(
+    pages: DataFrame, scope: Scope, max_pages: int | None = 500, quick: bool = False, rule: Rule | None = None, scraping: bool = False,
+    cancel: Cancel | None = None, settings: Settings | None = None,
+) -> Crawl:
     """Breadth first from the seed. A link is first compared with what was seen, then with the scope; the seed is not tested.
 
-    A wave is one join of the frontier with the page store and one with the link table, both on URLs; what was seen is a
-    growing table of fingerprints for an anti-join. A URL without page is a failed row and doesn't count for max_pages."""
+    A wave is one join of the frontier with the answers and one with their links, both on URLs; what was seen is a growing
+    table of fingerprints. A URL without page is a failed row and doesn't count for max_pages. A retry belongs to its wave and
+    shows as retries and wait_s. Without scraping (discovery) responses are not kept."""
     spark = pages.sparkSession
-    store = page_store(pages)
-    meta = cut(store.select("url", "status_code", "final_url", "error", F.lit(True).alias("stored")))
-    links = cut(link_table(store, quick))
+    store = cut(answers(pages, rule, scraping, quick, settings))
+    meta = store.drop("links").withColumn("stored", F.lit(True))
+    links = store.where("error IS NULL").select(F.col("url").alias("source"), F.posexplode("links").alias("pos", "link"))
+    links = cut(links.select("source", F.col("pos").cast("bigint").alias("pos"), urls.canonical(F.col("link")).alias("url")).where("url IS NOT NULL"))
     seed = spark.range(1).select(urls.canonical(F.lit(scope.seed)).alias("url"), F.lit(None).cast("string").alias("parent_url"), F.array(F.lit(0).cast("bigint")).alias("key"))
     wave = cut(seed)
     seen = cut(wave.select(urls.fingerprint(F.col("url")).alias("fp")))
-    ledger, discarded, visited = None, None, 0
+    ledger, discarded, visited, queued, status = None, None, 0, 0, "done"
+    stop = min((x for x in (max_pages, cancel and cancel.after_pages) if x is not None), default=None)
     for depth in range(scope.max_depth + 1):
         rows = wave.join(meta, "url", "left")
-        error = F.when(F.col("stored").isNull(), "page not in store").otherwise(F.col("error"))
+        error = F.when(F.col("stored").isNull(), MISSING).otherwise(F.col("error"))
         rows = rows.select(
-            "url", "parent_url", F.lit(depth).alias("depth"), "key", "status_code", "final_url", classify.status_ok(F.col("status_code")).alias("ok"), error.alias("error")
-        )
-        if max_pages is not None:
-            rows = _capped(rows, max_pages - visited)
+            "url", "parent_url", F.lit(depth).alias("depth"), "key", "status_code", "final_url", classify.status_ok(F.col("status_code")).alias("ok"), error.alias("error"),
+            F.coalesce("retries", F.lit(0)).alias("retries"), F.coalesce("wait_s", F.lit(0.0)).alias("wait_s"), "response",
+        )
+        ended = False
+        if stop is not None:
+            rows = cut(rows)
+            taken, n_good, ended = _up_to(rows, stop - visited)
+            if ended and cancel and stop == cancel.after_pages:
+                taken, status = _drained(rows, taken, cancel), "cancelled"
+            n_rows, rows = rows.count(), taken
         rows = cut(rows)
+        if stop is not None:
+            visited, queued = visited + n_good, n_rows - rows.count()
         ledger = rows if ledger is None else ledger.unionByName(rows)
-        if max_pages is not None:
-            visited += rows.where("error IS NULL").count()
         found = rows.where("error IS NULL").select(F.col("url").alias("source"), F.col("key").alias("parent_key")).join(links, "source")
         found = found.select("url", F.col("source").alias("parent_url"), F.concat("parent_key", F.array("pos")).alias("key"))
-        found = cut(found.withColumn("fp", urls.fingerprint(F.col("url"))))
-        fresh = frontier.unseen(frontier.first_seen(found, "fp", ["key"]), seen, "fp")
-        fresh = cut(fresh.withColumn("reason", reason(scope, F.col("url"), F.lit(depth + 1))))
-        counts = fresh.agg(F.count(F.lit(1)).alias("n")).select(F.lit("fresh").alias("reason"), "n")
-        repeats = found.agg(F.count(F.lit(1)).alias("all")).crossJoin(counts.select("n")).select(F.lit("seen").alias("reason"), (F.col("all") - F.col("n")).alias("n"))
-        out = repeats.unionByName(fresh.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))).withColumn("depth", F.lit(depth))
+        first = found.groupBy(urls.fingerprint(F.col("url")).alias("fp")).agg(F.min(F.struct("key", "url", "parent_url")).alias("b"), F.count(F.lit(1)).alias("n"))
+        first = first.join(seen.withColumn("old", F.lit(True)), "fp", "left").select("fp", "b.*", "n", F.coalesce("old", F.lit(False)).alias("old"))
+        first = cut(first.withColumn("reason", F.when(~F.col("old"), reason(scope, F.col("url"), F.lit(depth + 1)))))
+        repeats = first.agg(F.coalesce(F.sum(F.col("n") - F.when(F.col("old"), 0).otherwise(1)), F.lit(0)).alias("n")).select(F.lit("seen").alias("reason"), "n")
+        out = repeats.unionByName(first.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))).withColumn("depth", F.lit(depth))
         discarded = out if discarded is None else discarded.unionByName(out)
-        seen = seen.unionByName(fresh.select("fp"))  # a union of tables already cut; folded into one now and then
+        seen = seen.unionByName(first.where("NOT old").select("fp"))  # a union of tables already cut; folded into one now and then
         seen = cut(seen) if depth % FOLD_WAVES == FOLD_WAVES - 1 else seen
-        wave = fresh.where("reason IS NULL").select("url", "parent_url", "key")
-        if wave.isEmpty() or (max_pages is not None and visited >= max_pages):
+        wave = first.where("NOT old AND reason IS NULL").select("url", "parent_url", "key")
+        n_next = wave.count()
+        if not n_next or ended or (stop is not None and visited >= stop):
+            if n_next and cancel and stop == cancel.after_pages:
+                status = "cancelled"
+            queued += n_next
             break
-    return Crawl(ledger, discarded)
+    return Crawl(ledger, discarded, queued, status)
+
 
+def _ranked(rows: DataFrame, left: int) -> DataFrame:
+    """Rows with turn and first of the round-robin order, without those that their host's first left successes come before.
 
-def _capped(rows: DataFrame, left: int) -> DataFrame:
-    """Rows in round-robin order up to the one that makes the left-th success; failures don't use up the cap."""
+    The successes are ranked under a limit, which prunes in every task before the shuffle, so a host's window holds no more
+    than left successes and the failures between them, even if all of the wave is one host."""
+    rows = rows.withColumn("host", urls.host(F.col("url")))
+    good = rows.where("error IS NULL").select("host", "key")
+    last = good.withColumn("g", F.row_number().over(Window.partitionBy("host").orderBy("key"))).where(F.col("g") <= left)
+    last = last.where(F.col("g") == left).select("host", F.col("key").alias("last"))
+    return frontier.round_robin(rows.join(last, "host", "left").where("last IS NULL OR key <= last").drop("last"), "host", "key")
+
+
+def _up_to(rows: DataFrame, left: int) -> tuple[DataFrame, int, bool]:
+    """Rows in round-robin order up to the one that makes the left-th success, the number of successes, and whether it was
+    reached with rows left over; failures don't use up the cap."""
+    n_good, n_rows = rows.agg(F.count_if(F.col("error").isNull()), F.count(F.lit(1))).first()
     if left <= 0:
-        return rows.limit(0)
-    ordered = frontier.round_robin(rows.withColumn("host", urls.host(F.col("url"))), "host", "key")
-    if rows.count() <= left:
-        return rows
-    good = F.sum(F.when(F.col("error").isNull(), 1).otherwise(0))
-    before = good.over(Window.orderBy("turn", "first").rowsBetween(Window.unboundedPreceding, -1))
-    return ordered.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < left).select(*rows.columns)
+        return rows.limit(0), 0, n_rows > 0
+    if n_good < left:
+        return rows, n_good, False
+    ordered = _ranked(rows, left)
+    end = ordered.where("error IS NULL").select("turn", "first").orderBy("turn", "first").limit(left).agg(F.max(F.struct("turn", "first")).alias("e"))
+    taken = ordered.join(F.broadcast(end)).where(F.struct("turn", "first") <= F.col("e")).select(*rows.columns)  # end is one row
+    return taken, left, taken.count() < n_rows
+
+
+def _drained(rows: DataFrame, taken: DataFrame, cancel: Cancel) -> DataFrame:
+    """What was taken and the requests under way at a cancel: the next in order, which end or are aborted."""
+    rest = rows.join(taken.select("url"), "url", "left_anti")
+    under_way = frontier.take_fairly(rest.withColumn("host", urls.host(F.col("url"))), cancel.workers, "host", "key").select(*rows.columns)
+    if cancel.hard:
+        gone = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+        changed = {"error": F.lit(CANCELLED).alias("error"), "ok": F.lit(False).alias("ok")} | {c: gone(c) for c in ("status_code", "final_url", "response")}
+        under_way = under_way.select(*[changed.get(c, F.col(c)) for c in rows.columns])
+    return taken.unionByName(under_way)
+
+
+def page_store(pages: DataFrame):
+    """A lookup over a table of stored pages: urls (a DataFrame with url) -> their pages; see Store."""
+    return TableStore(pages)
+
+
+class Store:
+    """Where pages come from. Another source of pages is a class with this one method."""
+
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """Pages (url as asked for, html, status_code, final_url, error) of the distinct urls in wanted; none for unknown ones."""
+        raise TypeError("a store needs a lookup of its own")
+
+
+class TableStore(Store):
+    """Pages of a table, found by canonical URL; of several pages for one URL that with the smallest digest."""
+
+    def __init__(self, pages: DataFrame):
+        self.pages = pages
+
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        have = set(self.pages.columns)
+        col = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
+        rows = self.pages.select(urls.canonical(F.col("url")).alias("_c"), col("html", "string"), col("status_code", "int"), col("final_url", "string"), col("error", "string"))
+        asked = wanted.select("url", urls.canonical(F.col("url")).alias("_c")).where("_c IS NOT NULL").distinct()
+        rows = rows.join(asked.select("_c").distinct(), "_c", "left_semi")  # only pages asked for go on, and with them their html
+        best = rows.groupBy("_c").agg(F.min(F.struct(F.xxhash64("html").alias("digest"), "status_code", "final_url", "error", "html")).alias("p"))
+        return asked.join(best, "_c").select("url", F.col("_c").alias("canonical"), "p.html", "p.status_code", "p.final_url", "p.error")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from webloom.functions import classify, html
 from webloom.functions.html import Field, Rule
 from webloom.operators import jobs, sitemap
-from webloom.operators.crawl import crawl
+from webloom.operators.crawl import Cancel, crawl
 from webloom.operators.scope import Scope
 from webloom.plans.page_queries import STATUS
 from webloom.plans.state_queries import HEALTH_SQL
@@ -47,7 +47,7 @@ def crawl_site_ledger(spark, sf):
     "SELECT 31 + (SELECT count(*) FROM customer) AS visited, 0 AS failed, 10 + 25 + 2 * (SELECT count(*) FROM customer) AS dedup_skipped, 6 AS out_of_scope",
 )
 def crawl_site_stats(spark, sf):
-    return crawl(site.catalogue(spark, sf), Scope(R, max_depth=3), None, quick=True).stats()
+    return crawl(site.catalogue(spark, sf), Scope(R, max_depth=3), None).stats().select("visited", "failed", "dedup_skipped", "out_of_scope")
 
 
 @query(
@@ -60,7 +60,7 @@ def crawl_max_pages(spark, sf):
 
 @query("crawl_subdomains", "SELECT 31 AS visited, 5 AS failed, 10 + 25 AS dedup_skipped, 1 + (SELECT count(*) FROM customer) AS out_of_scope")
 def crawl_subdomains(spark, sf):
-    return crawl(site.catalogue(spark, sf), Scope(R, "subdomains", max_depth=2), None).stats()
+    return crawl(site.catalogue(spark, sf), Scope(R, "subdomains", max_depth=2), None).stats().select("visited", "failed", "dedup_skipped", "out_of_scope")
 
 
 @query("crawl_discarded", "SELECT * FROM (VALUES ('max_depth', (SELECT count(*) FROM customer)), ('mode', 6), ('seen', 35)) v(reason, n)")
@@ -69,6 +69,41 @@ def crawl_discarded(spark, sf):
     return out.groupBy("reason").agg(F.sum("n").alias("n"))
 
 
+def _flaky(spark, sf):
+    """Customers that answer 503 as often as their key mod 6 says before they answer (mod 6 = 5: always, never again to be tried)."""
+    pages = site.catalogue(spark, sf)
+    key = F.when(F.contains("url", F.lit("/customer/")), F.substring_index("url", "/", -1).cast("int") % 6).otherwise(0)
+    rows = pages.select("url", "html", "status_code", key.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("attempt")).where("attempt <= k")
+    fails = (F.col("attempt") < F.col("k")) | (F.col("k") == 5)
+    return rows.select(
+        "url", F.when(~fails, F.col("html")).alias("html"), F.when(fails, 503).otherwise(F.col("status_code")).alias("status_code"),
+        F.when(fails, "unavailable").alias("error"), "attempt", (F.col("k") != 5).alias("retryable"),
+    )
+
+
+@query(
+    "crawl_retries",
+    """SELECT 31 + count(*) FILTER (c_custkey % 6 < 4) AS visited, 0 AS queued, count(*) FILTER (c_custkey % 6 >= 4) AS failed,
+    37 + 2 * count(*) FILTER (c_custkey % 6 < 4) - 2 AS dedup_skipped, 6 AS out_of_scope, sum([0, 1, 2, 3, 3, 0][c_custkey % 6 + 1])::BIGINT AS retries_total FROM customer""",
+)
+def crawl_retries(spark, sf):
+    return crawl(_flaky(spark, sf), Scope(R, max_depth=3), None).stats()
+
+
+@query(
+    "crawl_cancel",
+    f"""WITH {LEDGER}, o AS (SELECT *, row_number() OVER (ORDER BY depth, a, b) AS n FROM l WHERE depth < 3)
+    SELECT kind, url, CASE WHEN kind = 'hard' AND n > 20 THEN 'cancelled' END AS error FROM o, (VALUES ('soft'), ('hard')) k(kind) WHERE n <= 23""",
+)
+def crawl_cancel(spark, sf):
+    out = None
+    for kind in ("soft", "hard"):
+        c = crawl(site.catalogue(spark, sf), Scope(R, max_depth=3), None, cancel=Cancel(20, kind == "hard", 3))
+        rows = c.ledger.select(F.lit(kind).alias("kind"), "url", "error")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _site_pages(spark, sf):
     rows = crawl(site.catalogue(spark, sf), Scope(R, max_depth=2), None).ledger
     ranked = rows.withColumn("ord", F.row_number().over(Window.orderBy("depth", "key")).cast("bigint"))
