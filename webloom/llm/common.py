@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from webloom.checkpointing import shared_folder
+
 #: Rows that one output batch of a Python stage holds, and bytes of text it works on at a time.
 SLICE_ROWS = 1024
 SLICE_BYTES = 16 << 20
@@ -52,12 +53,7 @@ def map_slices(df: DataFrame, text_col: str, make: Callable[[], Callable[[dict],
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="webloom-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir() or path
-    return path.rstrip("/")
+    return shared_folder(spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -102,11 +102,7 @@ def templates() -> list[tuple[str, str]]:
     short += [(n, f"GNU {a}General Public License, version {v}") for n, a, v in GNU_NAMES]
     short += [(f"BSD-{n}-Clause", f"BSD {n}-Clause License") for n in (2, 3)]
     plain = [(f"CC-{k}-{v}", f"CC {k} {v}") for k in CC_KINDS for v in CC_VERSIONS]
-    spelled = []
-    for k in CC_KINDS:
-        words = [CC_WORDS[x] for x in k.split("-")]
-        names = ["-".join(words), *["-".join(words[:i]) + "- " + "-".join(words[i:]) for i in range(1, len(words))]]  # a line may end after a hyphen
-        spelled += [(f"CC-{k}-{v}", f"Creative Commons {name} {v} International License") for name in names for v in CC_VERSIONS]
+    spelled = [(f"CC-{k}-{v}", f"Creative Commons {'-'.join(CC_WORDS[x] for x in k.split('-'))} {v} International License") for k in CC_KINDS for v in CC_VERSIONS]
     for subject in SUBJECTS:
         after = "" if subject.endswith("terms of the") else " under the"
         out += [(name, f"{subject}{after} {title}.") for name, title in short]
@@ -120,13 +116,19 @@ def templates() -> list[tuple[str, str]]:
 
 HINTS = ("licen", "released under", "distributed under", "available under", "copyright", "permission", "redistribut", "public domain", "public license", "creative commons", "warrant", "spdx")
 HINT = re.compile("|".join(r"\W+".join(h.split()) for h in HINTS), re.I)
-WORD = re.compile(r"[\w.+/-]*\w")
+#: A line may end after a hyphen within a word; the next line may begin with marks of a comment.
+BROKEN = r"-[ \t]*\r?\n[ \t*#/;%>|]*"
+WORD = re.compile(rf"[\w.+/-]*\w(?:{BROKEN}[\w.+/-]*\w)*")
 #: A difference in one of these is never a slip: numbers, versions, and words that change the terms.
 TELLING = re.compile(r"\d|^(?:not?|non\w*|without|except|by(?:-\w+)*|lesser|affero|mit|isc|bsd|apache|mozilla|boost|gnu)$")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [whole(w) for w in WORD.findall(text)]
+
+
+def whole(word: str) -> str:
+    return (re.sub(BROKEN, "-", word) if "\n" in word else word).lower()
 
 
 REACH = max(len(words_of(t)) + 2 * int(DIFF * len(words_of(t))) for _, t in templates())
@@ -220,7 +222,7 @@ class Scanner:
 
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
         places, blocks = candidate_blocks(text)
-        lower, taken, found = [text[a:b].lower() for a, b in places], [False] * len(places), []
+        lower, taken, found = [whole(text[a:b]) for a, b in places], [False] * len(places), []
         for first, core, last in blocks:
             while live := [i for i in range(first, last) if not taken[i]]:
                 block, at = [], places[first][0]
