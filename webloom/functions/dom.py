@@ -99,7 +99,7 @@ class _Builder(HTMLParser):
             if tag != "tr" or name == "tr":
                 break
         self.count += 1
-        node = Node(tag, {k: v or "" for k, v in dict(reversed(attrs)).items()}, self.open[-1], index=self.count)
+        node = Node(tag, {k: v or "" for k, v in dict([*attrs, *attrs[::-1]]).items()}, self.open[-1], index=self.count)
         self.open[-1].append(node)
         if tag not in VOID:
             self.at.setdefault(tag, []).append(len(self.open))
@@ -240,7 +240,7 @@ def compile_css(selector: str):
     return run
 
 
-_STEP = re.compile(r"(?P<axis>//?)(?:(?P<tag>\*|[A-Za-z][\w-]*)|@(?P<attr>[\w-]+)|(?P<text>text\(\)))(?P<preds>(?:\[[^\]]*\])*)")
+_STEP = re.compile(r"(?P<axis>//?)(?:(?P<text>text\(\))|(?P<tag>\*|[A-Za-z][\w-]*)|@(?P<attr>[\w-]+))(?P<preds>(?:\[[^\]]*\])*)")
 _PRED = re.compile(
     r"\[\s*(?:(?P<n>\d+)|(?P<last>last\(\))|@(?P<has>[\w-]+)\s*|@(?P<attr>[\w-]+)\s*=\s*(?:'(?P<v1>[^']*)'|\"(?P<v2>[^\"]*)\")\s*"
     r"|contains\(\s*@(?P<ca>[\w-]+)\s*,\s*(?:'(?P<c1>[^']*)'|\"(?P<c2>[^\"]*)\")\s*\))\s*\]"

@@ -10,24 +10,7 @@ from webloom.operators import geo_data
 PROFILES = "country string, locale string, timezone string, accept_language string"
 CITIES = "country string, city string, city_timezone string"
 
-#: Language and time zone of 20 countries and the zones of 7 cities, and a rule for the header: only what the SQL of geo_profile_join
-#: and country_list is written from. The engine itself ships geo_data.
-DEFAULTS = (
-    ("AR", "es", "America/Argentina/Buenos_Aires"), ("BR", "pt", "America/Sao_Paulo"), ("CA", "en", "America/Toronto"), ("CN", "zh", "Asia/Shanghai"),
-    ("DE", "de", "Europe/Berlin"), ("EG", "ar", "Africa/Cairo"), ("ES", "es", "Europe/Madrid"), ("FR", "fr", "Europe/Paris"), ("GB", "en", "Europe/London"),
-    ("IN", "en", "Asia/Kolkata"), ("IT", "it", "Europe/Rome"), ("JP", "ja", "Asia/Tokyo"), ("KE", "en", "Africa/Nairobi"), ("MA", "ar", "Africa/Casablanca"),
-    ("PE", "es", "America/Lima"), ("RO", "ro", "Europe/Bucharest"), ("RU", "ru", "Europe/Moscow"), ("SA", "ar", "Asia/Riyadh"), ("US", "en", "America/New_York"),
-    ("VN", "vi", "Asia/Ho_Chi_Minh"),
-)
-DEFAULT_CITIES = (
-    ("US", "chicago", "America/Chicago"), ("US", "denver", "America/Denver"), ("US", "los angeles", "America/Los_Angeles"), ("US", "new york", "America/New_York"),
-    ("CA", "vancouver", "America/Vancouver"), ("BR", "manaus", "America/Manaus"), ("RU", "vladivostok", "Asia/Vladivostok"),
-)
-
-
-def accept_language(country: str, lang: str) -> str:
-    """Header by rule: the locale, its language, then English."""
-    return f"{lang}-{country},{lang};q=0.9" + ("" if lang == "en" else ",en;q=0.8")
+BROADCAST_ROWS = 100_000
 
 
 def profiles(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -42,11 +25,14 @@ def cities(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def with_profile(df: DataFrame, country: str, city: str, profile: DataFrame, city_zones: DataFrame) -> DataFrame:
-    """Two lookups (both dimensions are a few hundred rows); only the time zone follows the city, and only in a known country."""
+    """Two lookups; only the time zone follows the city, and only in a known country.
+
+    The shipped dimensions are a few hundred rows; a caller's own table is broadcast up to BROADCAST_ROWS rows, else shuffled."""
+    small = lambda d: F.broadcast(d) if d.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else d
     p = profile.withColumnRenamed("country", "_cc")
     c = city_zones.select(F.col("country").alias("_cc2"), F.col("city").alias("_city"), "city_timezone")
     df = df.withColumn("_k", F.upper(F.trim(F.col(country))))
-    df = df.join(F.broadcast(p), F.col("_k") == F.col("_cc"), "left")
-    df = df.join(F.broadcast(c), (F.col("_k") == F.col("_cc2")) & (F.lower(F.trim(F.col(city))) == F.col("_city")), "left")
+    df = df.join(small(p), F.col("_k") == F.col("_cc"), "left")
+    df = df.join(small(c), (F.col("_k") == F.col("_cc2")) & (F.lower(F.trim(F.col(city))) == F.col("_city")), "left")
     zone = F.when(F.col("_cc").isNotNull(), F.coalesce("city_timezone", "timezone"))
     return df.withColumn("timezone", zone).drop("_k", "_cc", "_cc2", "_city", "city_timezone")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from webloom.checkpointing import stream_folder
 from webloom.functions import classify, html
 from webloom.functions.html import Field, Rule
 from webloom.operators import jobs, sitemap
@@ -251,12 +250,12 @@ def cancelled_pages(spark, sf):
 @query("stream_event_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_event_counts(spark, sf):
     stream = streams.windowed_counts(streams.read_events(spark, f"{sf}/events.parquet"))
-    return streams.run_once(stream, "stream_event_counts", "complete", tempfile.mkdtemp(prefix="webloom-"))
+    return streams.run_once(stream, "stream_event_counts", "complete", stream_folder(spark, "stream"))
 
 
 @query("stream_session_health", HEALTH_SQL)
 def stream_session_health(spark, sf):
     requests = streams.read_events(spark, f"{sf}/events.parquet").select((F.col("user_id") % 64).alias("pool"), "event_id", F.expr(f"coalesce({STATUS}, 500)").alias("status"))
-    return streams.run_once(streams.session_health(requests), "stream_session_health", "append", tempfile.mkdtemp(prefix="webloom-"))
+    return streams.run_once(streams.session_health(requests), "stream_session_health", "append", stream_folder(spark, "stream"))
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from webloom import api
+from webloom.checkpointing import stream_folder
 from webloom.functions import classify, urls
 from webloom.operators import geo, jobs, ordered, pool
 from webloom.operators.scrape import matched_results, merged_options
@@ -85,8 +84,19 @@ def session_last_stats(spark, sf):
 
 COUNTRY = "['US', 'us ', 'DE', 'fr', 'BR', 'XX', NULL, 'CA'][event_id % 8 + 1]"
 CITY = "['Chicago', NULL, 'Berlin', 'Paris', ' Manaus ', 'Chicago'][event_id % 6 + 1]"
-PROFILE_ROWS = ", ".join(f"('{c}', '{lang}-{c}', '{tz}', '{geo.accept_language(c, lang)}')" for c, lang, tz in geo.DEFAULTS)
-CITY_ROWS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in geo.DEFAULT_CITIES)
+#: Fixed values, written here apart from the engine's table: the countries that the query has, and the codes of all 250.
+PROFILE_ROWS = (
+    "('US', 'en-US', 'America/New_York', 'en-US,en;q=0.9'), ('DE', 'de-DE', 'Europe/Berlin', 'de-DE,de;q=0.9,en;q=0.8'), ('FR', 'fr-FR', 'Europe/Paris', 'fr-FR,fr;q=0.9,en;q=0.8'), "
+    "('BR', 'pt-BR', 'America/Sao_Paulo', 'pt-BR,pt;q=0.9,en;q=0.8'), ('CA', 'en-CA', 'America/Toronto', 'en-CA,en;q=0.9,fr-CA;q=0.8,fr;q=0.7')"
+)
+CITY_ROWS = "('US', 'chicago', 'America/Chicago'), ('BR', 'manaus', 'America/Manaus')"
+CODES = (
+    "AD AE AF AG AI AL AM AO AQ AR AS AT AU AW AX AZ BA BB BD BE BF BG BH BI BJ BL BM BN BO BQ BR BS BT BV BW BY BZ CA CC CD CF CG CH CI CK CL CM CN CO CR CU CV CW CX CY CZ "
+    "DE DJ DK DM DO DZ EC EE EG EH ER ES ET FI FJ FK FM FO FR GA GB GD GE GF GG GH GI GL GM GN GP GQ GR GS GT GU GW GY HK HM HN HR HT HU ID IE IL IM IN IO IQ IR IS IT JE JM JO JP "
+    "KE KG KH KI KM KN KP KR KW KY KZ LA LB LC LI LK LR LS LT LU LV LY MA MC MD ME MF MG MH MK ML MM MN MO MP MQ MR MS MT MU MV MW MX MY MZ NA NC NE NF NG NI NL NO NP NR NU NZ OM "
+    "PA PE PF PG PH PK PL PM PN PR PS PT PW PY QA RE RO RS RU RW SA SB SC SD SE SG SH SI SJ SK SL SM SN SO SR SS ST SV SX SY SZ TC TD TF TG TH TJ TK TL TM TN TO TR TT TV TW TZ "
+    "UA UG UM US UY UZ VA VC VE VG VI VN VU WF WS XK YE YT ZA ZM ZW"
+)
 
 
 @query(
@@ -184,7 +194,7 @@ THROTTLE_SQL = ORACLE["rate_limit_throttle"]
 def stream_throttle(spark, sf):
     e = streams.read_events(spark, f"{sf}/events.parquet").select((F.col("user_id") % 64).alias("pool"), "event_id", (F.unix_micros("ts") / 1e6).alias("t"), F.expr(f"coalesce({STATUS}, 500)").alias("status"))
     rows = e.select("pool", "event_id", "t", F.expr(KIND).alias("kind"))
-    out = streams.run_once(streams.throttle(rows, 60000.0), "stream_throttle", "append", tempfile.mkdtemp(prefix="webloom-"))
+    out = streams.run_once(streams.throttle(rows, 60000.0), "stream_throttle", "append", stream_folder(spark, "stream"))
     return out.select("pool", "event_id", F.round("factor", 6).alias("factor"))
 
 
@@ -209,7 +219,7 @@ def job_lookup(spark, sf):
     return api.get_job(table(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("status")), 7)
 
 
-@query("country_list", f"SELECT cc AS country FROM (VALUES {PROFILE_ROWS}) v(cc, a, b, c)")
+@query("country_list", f"SELECT unnest(string_split('{CODES}', ' ')) AS country")
 def country_list(spark, sf):
     return api.list_countries(spark)
 
@@ -257,14 +267,31 @@ def scrape_pages(spark, sf):
     return out.select("request_id", "ok", "status_code", F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query("limiter_snapshot")
+@query(
+    "limiter_snapshot",
+    THROTTLE_SQL.replace("SELECT pool, event_id, round(factor, 6) AS factor FROM r WHERE n > 0", "SELECT pool, CASE WHEN 2e9 < max_by(until, n) THEN max_by(factor, n) ELSE 1.0 END AS factor FROM r WHERE n > 0 GROUP BY pool"),
+)
 def limiter_snapshot(spark, sf):
     rows = _events(spark, sf).withColumn("kind", F.expr(KIND))
     states = ordered.throttle(rows, "pool", ["t", "event_id"], "t", "kind", 60000.0)
     return jobs.limiter_snapshot(states, "pool", ["t", "event_id"], F.lit(2e9))
 
 
-@query("resource_recovery")
+@query(
+    "resource_recovery",
+    f"""WITH RECURSIVE {INVENTORY}, f AS (SELECT (user_id % 97)::VARCHAR AS job, {list(TYPES)}[user_id % 7 + 1] AS t, event_id % 3 = 0 AS works,
+      row_number() OVER (PARTITION BY user_id % 97, {list(TYPES)}[user_id % 7 + 1] ORDER BY event_id, event_id % 3 = 0) AS k FROM events WHERE event_type = 'error'),
+    ids AS (SELECT category, list(id ORDER BY seq, id) AS ids FROM inv WHERE ok GROUP BY category),
+    j AS (SELECT DISTINCT job, t, ids FROM (SELECT job, t, {CATEGORY_SQL} AS category FROM f) x JOIN ids USING (category)),
+    r AS (SELECT job, t, ids, 0::BIGINT AS k, ids[1] AS cur, []::VARCHAR[] AS gone, [ids[1]] AS path FROM j
+      UNION ALL SELECT job, t, ids, k, CASE WHEN keep THEN cur ELSE list_filter(ids, lambda i: NOT list_contains(out, i))[1] END, out,
+        list_append(path, CASE WHEN keep THEN cur ELSE list_filter(ids, lambda i: NOT list_contains(out, i))[1] END)
+      FROM (SELECT r.job, r.t, r.ids, f.k, r.cur, r.path, r.t IN ('mobile', 'lte') AND f.works AS keep,
+        CASE WHEN r.t IN ('res_rotating', 'residential_rotating', 'rotating') OR r.cur IS NULL OR list_contains(r.gone, r.cur) THEN r.gone ELSE list_append(r.gone, r.cur) END AS out
+        FROM r JOIN f ON f.job = r.job AND f.t = r.t AND f.k = r.k + 1))
+    SELECT job, t AS type, len(path)::INTEGER AS n, array_to_string(list_filter(path, lambda p: p IS NOT NULL), ',') AS path FROM r
+    QUALIFY row_number() OVER (PARTITION BY job, t ORDER BY k DESC) = 1""",
+)
 def resource_recovery(spark, sf):
     fails = table(spark, sf, "events").where("event_type = 'error'").select(
         (F.col("user_id") % 97).cast("string").alias("job"), F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("user_id") % 7 + 1).cast("int")).alias("type"),

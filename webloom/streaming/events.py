@@ -74,10 +74,23 @@ def replay_then_follow(spark: SparkSession, log: DataFrame, stream: DataFrame, h
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process all there is, then stop; the result as a table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process all there is, then stop; the result as a table of files beside the checkpoint, never on the driver.
+
+    Each batch is written to a folder of its own, so a batch that is tried again replaces what it had written. In complete
+    mode the last batch is the result."""
+    spark, out = stream.sparkSession, f"{checkpoint}/out-{name}"
+    batches: list[int] = []
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batches.append(batch_id)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    kept = batches[-1:] if mode == "complete" else sorted(set(batches))
+    if not kept:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{out}/batch={b}" for b in kept])
 
 
 def write_batches(stream: DataFrame, handle, checkpoint: str, interval: str = "500 milliseconds"):
