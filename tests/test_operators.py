@@ -170,3 +170,54 @@ def test_api(spark, monkeypatch):
     s = api.job_status(log, "j").first()
     assert (s.status, s.total, s.done, s.pct, s.running, s.queued) == ("running", 4, 1, 25, 2, 1)
     assert [r.job for r in api.cancel(log.where("seq = 1"), log.select("job").distinct()).collect()] == ["j"]
+
+
+def test_long_log_of_one_key(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit("k").alias("key"), F.col("id").alias("seq"), F.when(F.col("id") % 7 == 0, 500).otherwise(200).alias("status"))
+    last = ordered.session_health(df, "key", ["seq"], "status").agg(F.max("session"), F.count(F.lit(1))).first()
+    assert tuple(last) == (n // 50, n)
+    none = spark.createDataFrame([(None, 1, None), (None, 2, 200)], "key string, seq int, status int")
+    assert [r.score for r in ordered.session_health(none, "key", ["seq"], "status").orderBy("seq").collect()] == [1.0, 0.5]
+
+
+def test_late_subscriber_and_fan_out(spark, sf, tmp_path):
+    stream = streams.read_events(spark, f"{sf}/events.parquet").withColumnRenamed("event_id", "seq")
+    log = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("seq"), F.lit("page").alias("type")).where("seq <= 300")
+    got, note = [], lambda df, i: got.extend((i < 0, r.seq) for r in df.select("seq").collect())
+    q = streams.replay_then_follow(log, stream, note, str(tmp_path / "a"))
+    q.processAllAvailable()
+    q.stop()
+    assert len(got) == len({s for _, s in got}) == 1000 and sum(old for old, _ in got) == log.count()
+    assert streams.replay_then_follow(log.limit(1).withColumn("type", F.lit("done")), stream, note, str(tmp_path / "b")) is None
+    seen, dropped = [], []
+
+    def full(df, i):
+        raise BufferError
+
+    both = streams.fan_out(stream, {"one": lambda df, i: seen.append(df.count()), "two": full}, str(tmp_path / "c"), lambda *x: dropped.append(x))
+    for q in both.values():
+        q.processAllAvailable()
+        q.stop()
+    assert sum(seen) == 1000 and dropped and dropped[0][0] == "two"
+    calls = []
+    once = streams.on_change(lambda df, i: calls.append(i))
+    for i, v in enumerate((1, 1, 2, 2)):
+        once(spark.createDataFrame([(v,)], "v int"), i)
+    assert calls == [0, 2]
+
+
+def test_small_functions(spark):
+    from webloom.operators.scrape import first_result
+
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("v")).first().v
+    assert value(classify.first_n(F.expr("array(1, 2, 3)"), 2)) == [1, 2] and value(classify.truncated(F.lit("abcdef"), 3)) == "abc"
+    assert value(classify.geo_or_plain(F.lit(""), F.lit("p"))) == "p" and value(classify.now_s()) > 1.6e9
+    rows = spark.createDataFrame([("a", ["x", "y"]), ("b", []), ("c", None)], "job string, results array<string>")
+    assert {r.job: (r.result, r.error, r.retryable) for r in first_result(rows).collect()} == {"a": ("x", None, False), "b": (None, "empty result", True), "c": (None, "empty result", True)}
+    late = spark.createDataFrame([("r", "running", 0.0, None), ("d", "done", 0.0, None), ("n", "queued", None, None)], "job string, status string, started double, error string")
+    assert {r.job: (r.status, r.error) for r in jobs.past_deadline(late, F.lit(99.0), F.lit(60.0)).collect()} == {"r": ("failed", "job_timeout"), "d": ("done", None), "n": ("queued", None)}
+    assert {r.device: (r.width, r.touch, r.timezone) for r in inventory.devices(spark).collect()} == {"desktop": (1280, False, "America/New_York"), "mobile": (390, True, "America/New_York")}
+    pages2 = jobs.appended([one.withColumn("a", F.lit(1)), one.withColumn("b", F.lit(2))])
+    assert sorted((r.result_page, r.a, r.b) for r in pages2.collect()) == [(0, 1, None), (1, None, 2)]

@@ -185,3 +185,21 @@ def escape_html(s: Column) -> Column:
 
 def text_lines(s: Column) -> Column:
     return F.filter(F.transform(F.split(s, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def first_n(items: Column, n: int) -> Column:
+    return F.slice(items, 1, n)
+
+
+def truncated(message: Column, n: int = 200) -> Column:
+    return F.left(message, F.lit(n))
+
+
+def now_s() -> Column:
+    """Seconds since the epoch; every function that needs a clock takes it as a column, so tests can pass their own."""
+    return F.unix_micros(F.current_timestamp()) / 1e6
+
+
+def geo_or_plain(with_geo: Column, plain: Column) -> Column:
+    """The answer to the request with a place, else that to the one without; an empty one is none."""
+    return F.coalesce(F.nullif(with_geo, F.lit("")), F.nullif(plain, F.lit("")))

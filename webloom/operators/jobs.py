@@ -73,3 +73,18 @@ def cancelled_pages(pages: DataFrame, cancel_ts: Column) -> DataFrame:
 
 def timed_out(started: Column, now: Column, limit_s: Column) -> Column:
     return F.coalesce((now - started) > limit_s, F.lit(False))
+
+
+def past_deadline(jobs: DataFrame, now: Column, limit_s: Column) -> DataFrame:
+    """Jobs (status, started, error) whose time is over become failed with error job_timeout; ended ones stay as they are."""
+    late = ~classify.is_terminal(F.col("status")) & timed_out(F.col("started"), now, limit_s)
+    return jobs.withColumns({"error": F.when(late, "job_timeout").otherwise(F.col("error")), "status": F.when(late, "failed").otherwise(F.col("status"))})
+
+
+def appended(pages: list[DataFrame]) -> DataFrame:
+    """Rows of successive result pages as one table, with the number of their page."""
+    out = None
+    for n, df in enumerate(pages):
+        rows = df.withColumn("result_page", F.lit(n))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out

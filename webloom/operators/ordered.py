@@ -1,14 +1,19 @@
 """State machines over ordered events: rate limits, throttling and session health, one pass per key.
 
-The linear ones are window functions. Those whose state feeds back are folds over the key's events in order, inside the
-JVM (aggregate over a sorted array); a key's events must fit into one task's memory, so a key is a domain's or session
-pool's log of one job. For logs that don't, webloom.streaming keeps the same state in a store.
+The linear ones are window functions. Those whose state feeds back are scans: rows are dealt out by key, sorted, and read
+batch by batch with the state of the current key in hand, so time is linear in the events and a key's log of any length needs
+no more memory than a batch. The log of one key is read by one task, since each state needs the one before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
 MIN_RPS = 0.01
@@ -27,35 +32,49 @@ def token_slots(df: DataFrame, key: str, order: list[str], arrival: str, rps: fl
 def throttle(df: DataFrame, key: str, order: list[str], ts: str, kind: str, cooldown: float = 60.0) -> DataFrame:
     """kind 'slow' (429 or 503) halves the factor to at least 0.1 and opens a window; 'ok' after the window raises it by half."""
     values = [c for c in (ts, kind) if c not in order]
-    step = (
-        f"named_struct('s', CASE WHEN x.{kind} = 'slow' THEN named_struct('factor', greatest(0.1D, a.s.factor * 0.5D), 'until', x.{ts} + {cooldown}D)"
-        f" WHEN x.{kind} = 'ok' AND x.{ts} >= a.s.until AND a.s.factor < 1 THEN named_struct('factor', least(1D, a.s.factor * 1.5D), 'until', a.s.until)"
-        f" ELSE a.s END, 'out', a.out)"
-    )
-    return _scan(df, key, order, values, "named_struct('factor', 1D, 'until', -1e18D)", step, "factor double, until double")
+
+    def step(state, x):
+        factor, until = state
+        if x[kind] == "slow":
+            return max(0.1, factor * 0.5), x[ts] + cooldown
+        if x[kind] == "ok" and x[ts] is not None and x[ts] >= until and factor < 1:
+            return min(1.0, factor * 1.5), until
+        return state
+
+    return _scan(df, key, order, values, (1.0, -1e18), step, "factor double, until double")
 
 
 def session_health(df: DataFrame, key: str, order: list[str], status: str, max_error: float = 3.0, max_usage: int = 50, blocked=(401, 403, 429)) -> DataFrame:
     """session (number), score, usage and retired after each request; a request after a retirement opens a new session."""
-    codes = ", ".join(map(str, blocked))
-    ok = f"coalesce(x.{status} BETWEEN 200 AND 399, false)"
-    score = f"CASE WHEN {ok} THEN greatest(0D, b.score - 0.5D) ELSE b.score + 1D END"
-    fresh = "CASE WHEN a.s.retired THEN named_struct('session', a.s.session + 1, 'score', 0D, 'usage', 0) ELSE named_struct('session', a.s.session, 'score', a.s.score, 'usage', a.s.usage) END"
-    state = (
-        f"transform(array({fresh}), b -> named_struct('session', b.session, 'score', {score}, 'usage', b.usage + 1, 'retired',"
-        f" coalesce(x.{status} IN ({codes}), false) OR {score} >= {max_error}D OR b.usage + 1 >= {max_usage}))[0]"
-    )
+    def step(state, x):
+        session, score, usage, retired = state
+        if retired:
+            session, score, usage = session + 1, 0.0, 0
+        code = x[status]
+        score = max(0.0, score - 0.5) if code is not None and 200 <= code < 400 else score + 1.0
+        return session, score, usage + 1, code in blocked or score >= max_error or usage + 1 >= max_usage
+
     values = [c for c in (status,) if c not in order]
-    return _scan(df, key, order, values, "named_struct('session', 1, 'score', 0D, 'usage', 0, 'retired', false)", f"named_struct('s', {state}, 'out', a.out)", "session int, score double, usage int, retired boolean")
+    return _scan(df, key, order, values, (1, 0.0, 0, False), step, "session int, score double, usage int, retired boolean")
 
 
-def _scan(df, key, order, values, start, step, state) -> DataFrame:
+def _scan(df: DataFrame, key: str, order: list[str], values: list[str], start: tuple, step: Callable, state: str) -> DataFrame:
     """key, order, values and the state after each event."""
-    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("events"))
-    kind = f"struct<{', '.join(x.replace(' ', ':', 1) for x in state.split(', '))}>"
-    fold = (
-        f"aggregate(events, named_struct('s', cast({start} as {kind}), 'out', cast(array() as array<{kind}>)),"
-        f" (a, x) -> transform(array({step}), n -> named_struct('s', cast(n.s as {kind}), 'out', concat(a.out, array(cast(n.s as {kind})))))[0], a -> a.out)"
-    )
-    rows = grouped.select(key, "events", F.expr(fold).alias("states")).select(key, F.explode(F.arrays_zip("events", "states")).alias("z"))
-    return rows.select(key, "z.events.*", "z.states.*")
+    rows = df.select(key, *order, *values)
+    added = _parse_datatype_string(state)
+    kinds = [f.type for f in to_arrow_schema(added)]
+    schema = StructType(rows.schema.fields + added.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, now = object(), start
+        for b in batches:
+            out = []
+            for x in b.to_pylist():
+                if x[key] != current:
+                    current, now = x[key], start
+                now = step(now, x)
+                out.append(now)
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=schema.names)
+
+    return rows.repartition(key).sortWithinPartitions(*rows.columns).mapInArrow(run, schema)

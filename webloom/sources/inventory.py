@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ITEM = "id string, url string, connection_login string, connection_password string, system_status string, expired boolean, change_ip_links array<string>, connection_host string, connection_port int, access_type string"
 RULE = "type string, fields map<string, struct<selector:string,attr:string,all:boolean,required:boolean>>"
@@ -33,8 +32,15 @@ def requests(df: DataFrame, body: str) -> DataFrame:
     return r.fillna({k: v for k, v in DEFAULTS.items()})
 
 
+#: The two device presets.
+DEVICES = (
+    ("desktop", "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0.0.0 Safari/537.36", 1280, 800, False),
+    ("mobile", "Mozilla/5.0 (iPhone; CPU iPhone OS 17_4 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.4 Mobile/15E148 Safari/604.1", 390, 844, True),
+)
+LOCALE, TIMEZONE = "en-US", "America/New_York"
+
+
 def devices(spark) -> DataFrame:
-    """The two device presets."""
-    rows = [("desktop", 1366, 768, False), ("mobile", 390, 844, True)]
-    schema = T.StructType([T.StructField("device", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("touch", T.BooleanType())])
-    return spark.createDataFrame(rows, schema)
+    """device, user_agent, width, height, touch, locale, timezone, color_scheme of the presets."""
+    rows = spark.createDataFrame(list(DEVICES), "device string, user_agent string, width int, height int, touch boolean")
+    return rows.select("*", F.lit(LOCALE).alias("locale"), F.lit(TIMEZONE).alias("timezone"), F.lit("light").alias("color_scheme"))

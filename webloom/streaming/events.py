@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,10 +68,44 @@ def throttle(log: DataFrame, cooldown: float = 60.0) -> DataFrame:
     return log.groupBy("pool").applyInPandasWithState(step, "pool bigint, event_id bigint, factor double", "factor double, until double", "append", GroupStateTimeout.NoTimeout)
 
 
-def replay_then_follow(spark: SparkSession, log: DataFrame, stream: DataFrame, handle, checkpoint: str):
-    """What a late subscriber does: handle the stored log once, then each new batch; a finished log needs no stream."""
+def replay_then_follow(log: DataFrame, stream: DataFrame, handle, checkpoint: str, seq: str = "seq", kind: str = "type", final=("done", "cancelled", "failed")):
+    """What a late subscriber does: handle the stored log once, then each new batch without what the log had (seq up to its
+    last). A log with a final event is complete: no stream is started, and None is returned."""
     handle(log, -1)
-    return write_batches(stream, handle, checkpoint)
+    last, ended = log.agg(F.max(seq), F.bool_or(F.col(kind).isin(*final))).first()
+    if ended:
+        return None
+    return write_batches(stream if last is None else stream.where(F.col(seq) > F.lit(last)), handle, checkpoint)
+
+
+def on_change(handle):
+    """A handler that passes a batch on only if its rows differ from those passed on last (a few rows, such as counters)."""
+    last: list = [None]
+
+    def run(df: DataFrame, batch_id: int) -> None:
+        now = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+        if now[0] and now != last[0]:
+            last[0] = now
+            handle(df, batch_id)
+
+    return run
+
+
+def fan_out(stream: DataFrame, consumers: dict, checkpoint: str, log=None) -> dict:
+    """One independent query for each consumer (name -> handle), with a checkpoint of its own. A consumer that raises
+    BufferError (it is full) loses that batch, which is logged; the others don't notice."""
+    note = log or (lambda name, batch_id: logging.getLogger(__name__).warning("%s is full, batch %s dropped", name, batch_id))
+
+    def guarded(name, handle):
+        def run(df: DataFrame, batch_id: int) -> None:
+            try:
+                handle(df, batch_id)
+            except BufferError:
+                note(name, batch_id)
+
+        return run
+
+    return {name: write_batches(stream, guarded(name, handle), f"{checkpoint}/{name}") for name, handle in consumers.items()}
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
