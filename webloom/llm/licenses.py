@@ -172,11 +172,11 @@ class Scanner:
         raw = [zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, t in self.names]
         self.with_dict = [zstandard.ZstdCompressor(dict_data=d, **kw) for d in raw]
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(relative reduction, template), best first."""
+    def ranked(self, block: str, which) -> list[tuple[float, int]]:
+        """(relative reduction, template) of the templates that share a seed with the block, best first; others can't be confirmed."""
         data = block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
-        gains = [(1 - len(c.compress(data)) / alone, k) for k, c in enumerate(self.with_dict)]
+        gains = [(1 - len(c.compress(data)) / alone, k) for k, c in ((k, self.with_dict[k]) for k in which)]
         return sorted(gains, key=lambda x: (-x[0], x[1]))
 
     def offsets(self, words: list[str]) -> dict[int, set[int]]:
@@ -233,7 +233,7 @@ class Scanner:
                 offsets = self.offsets(words)
                 sure = [
                     (c[0] + c[1], -len(self.words[k]), self.names[k][0], gain, c)
-                    for gain, k in self.ranked("".join(block)) for c in self.compare(words, k, offsets.get(k, set())) if live[c[2]] < core
+                    for gain, k in self.ranked("".join(block), sorted(offsets)) for c in self.compare(words, k, offsets[k]) if live[c[2]] < core
                 ]
                 if not sure:
                     break
