@@ -93,6 +93,21 @@ def test_viterbi_of_many_languages():
     assert language.viterbi(scores, np.array([0]), np.array([40])).tolist() == [150] * 20 + [199] * 20
 
 
+def test_scripts_against_unicode_names():
+    """Letters up to U+17FF lie in the range of the script that begins their Unicode name, and candidates are narrowed by it."""
+    import unicodedata
+
+    names = {"nko": "NKo"}
+    for c in map(chr, range(0x0370, 0x1800)):
+        said = unicodedata.name(c, "").split(" ")[0].lower()
+        said = names.get(said, said.capitalize())
+        if c.isalpha() and said in language.SCRIPT_NAMES and said != "Greek":  # Coptic letters share the Greek block
+            assert language.SCRIPT_NAMES[language.scripts_of([c])[0]] == said, hex(ord(c))
+    model = language.Model({"bn": ["\u0995\u0996\u0997"], "ta": ["\u0b95\u0b99\u0b9a"]})
+    assert model.word_scores(["\u0b95\u0b95", "\u0995\u0995"]).argmax(axis=1).tolist() == [1, 0]
+    assert model.word_scores(["\u0b95\u0b95"])[0, 0] <= -20
+
+
 def test_word_scores_against_plain_sums():
     """Scores of words from counts of their n-grams, added up one by one."""
     import collections
