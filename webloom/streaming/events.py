@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from webloom.streaming.metrics import LastPassed
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 HEALTH = "pool bigint, event_id bigint, session int, score double, usage int, retired boolean"
 
@@ -78,15 +80,17 @@ def replay_then_follow(log: DataFrame, stream: DataFrame, handle, checkpoint: st
     return write_batches(stream if last is None else stream.where(F.col(seq) > F.lit(last)), handle, checkpoint)
 
 
-def on_change(handle):
-    """A handler that passes a batch on only if its rows differ from those passed on last (a few rows, such as counters)."""
-    last: list = [None]
+def on_change(handle, folder: str | None = None):
+    """A handler that passes a batch on only if its rows differ from those passed on last (a few rows, such as counters). With a folder
+    (beside the stream's checkpoint) what was passed on last is known after a restart too."""
+    last = LastPassed(folder)
 
     def run(df: DataFrame, batch_id: int) -> None:
-        now = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
-        if now[0] and now != last[0]:
-            last[0] = now
+        n, total = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+        now = [n, str(total)]
+        if n and last.differs(now):
             handle(df, batch_id)
+            last.keep(now, batch_id)
 
     return run
 
