@@ -69,3 +69,13 @@ def test_credentials_and_servers(spark):
     df = spark.createDataFrame([("socks5_http://user:p:w@x@h.io:80",)], "u string")
     r = df.select(urls.server_of(F.col("u")).alias("s"), urls.credentials(F.col("u")).alias("c"), urls.inferred_scheme(F.col("u")).alias("k")).first()
     assert (r.s, r.c.user, r.c.password, r.c.server, r.k) == ("socks5://h.io:80", "user", "p:w@x", "h.io:80", "socks5")
+
+
+def test_typed_addresses_and_origins(spark):
+    typed = {"example.com": "https://example.com", " https://a.com/x ": "https://a.com/x", "http://b.org": "http://b.org", "//c.net/y": "https://c.net/y", "": "", "ftp://d.com": "https://ftp://d.com", "/e.com": "https://e.com", "localhost:8000": "https://localhost:8000"}
+    df = spark.createDataFrame(list(typed.items()), "raw string, want string")
+    assert df.where(~urls.input_url(F.col("raw")).eqNullSafe(F.col("want"))).collect() == []
+    home = "http://localhost:8000"
+    targets = {"http://host:8000/a/b?c": "http://host:8000", "https://Host.example.com/": "https://host.example.com", "http://h:80/x": "http://h", "nonsense": home, "": home, "https://h:443": "https://h", home + "/": home}
+    df = spark.createDataFrame(list(targets.items()), "raw string, want string")
+    assert df.where(~urls.origin(F.col("raw")).eqNullSafe(F.col("want"))).collect() == []

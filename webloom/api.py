@@ -12,6 +12,7 @@ from webloom.operators.crawl import Cancel, Crawl, crawl
 from webloom.operators.scope import Scope
 from webloom.operators.scrape import scrape
 from webloom.settings import Settings
+from webloom.streaming.events import replay_then_follow
 
 
 def scrape_pages(requests: DataFrame, pages: DataFrame, rule: Rule | None = None, raw_html: bool = False) -> DataFrame:
@@ -59,6 +60,11 @@ def crawl_events(result: Crawl) -> DataFrame:
     return head.unionByName(row).unionByName(stats.select(last.alias("ord"), F.lit("done").alias("type"), "payload"))
 
 
+def subscribe(log: DataFrame, stream: DataFrame, handle, checkpoint: str):
+    """A job's events for a subscriber who may come late: those stored (seq, type) once, then each new batch; None once the log has ended."""
+    return replay_then_follow(log, stream, handle, checkpoint)
+
+
 def list_resources(inventory: DataFrame, kind: str) -> DataFrame:
     """Usable resources of a type's category and access tier."""
     rows = pool.available(inventory).where(F.col("category") == classify.category(F.lit(kind)))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webloom.checkpointing import cut
+from webloom.checkpointing import counted, cut, laid_out
 from webloom.functions import classify, html, urls
 from webloom.functions.html import FIELDS, Rule
 from webloom.operators import frontier
@@ -94,57 +95,75 @@ def crawl(
 ) -> Crawl:
     """Breadth first from the seed. A link is first compared with what was seen, then with the scope; the seed is not tested.
 
-    A wave is one join of the frontier with the answers and one with their links, both on URLs; what was seen is a growing
-    table of fingerprints. A URL without page is a failed row and doesn't count for max_pages. A retry belongs to its wave and
-    shows as retries and wait_s. Without scraping (discovery) responses are not kept."""
+    All tables are laid out by the fingerprint of the URL, and stay so: answers and links from the start, what was seen and the
+    frontier wave by wave. A wave joins them where they are; only the links that it finds are shuffled, to be compared with what
+    was seen (and with a cap the wave itself, to take turns). Counters are observed while a wave is written. A URL without page is
+    a failed row and doesn't count for max_pages. A retry belongs to its wave and shows as retries and wait_s. Without scraping
+    (discovery) responses are not kept."""
     spark = pages.sparkSession
-    store = cut(answers(pages, rule, scraping, quick, settings))
-    meta = store.drop("links").withColumn("stored", F.lit(True))
-    links = store.where("error IS NULL").select(F.col("url").alias("source"), F.posexplode("links").alias("pos", "link"))
-    links = cut(links.select("source", F.col("pos").cast("bigint").alias("pos"), urls.canonical(F.col("link")).alias("url")).where("url IS NOT NULL"))
+    answered = cut(answers(pages, rule, scraping, quick, settings))
+    fp = urls.fingerprint(F.col("url")).alias("fp")
+    store = laid_out(answered.select(fp, F.lit(True).alias("stored"), *[c for c in answered.columns if c not in ("url", "links")]), "fp")
+    links = answered.where("error IS NULL").select(fp, "links").select("fp", F.posexplode("links").alias("pos", "link"))
+    links = laid_out(links.select("fp", F.col("pos").cast("bigint").alias("pos"), urls.canonical(F.col("link")).alias("link")).where("link IS NOT NULL"), "fp")
     seed = spark.range(1).select(urls.canonical(F.lit(scope.seed)).alias("url"), F.lit(None).cast("string").alias("parent_url"), F.array(F.lit(0).cast("bigint")).alias("key"))
-    wave = cut(seed)
-    seen = cut(wave.select(urls.fingerprint(F.col("url")).alias("fp")))
+    wave = laid_out(cut(seed).select(fp, "*"), "fp")
+    seen = [wave.select("fp")]
     ledger, discarded, visited, queued, status = None, None, 0, 0, "done"
     stop = min((x for x in (max_pages, cancel and cancel.after_pages) if x is not None), default=None)
+    n_all, n_good = F.count(F.lit(1)), F.count_if(F.col("error").isNull())
     for depth in range(scope.max_depth + 1):
-        rows = wave.join(meta, "url", "left")
-        error = F.when(F.col("stored").isNull(), MISSING).otherwise(F.col("error"))
-        rows = rows.select(
-            "url", "parent_url", F.lit(depth).alias("depth"), "key", "status_code", "final_url", classify.status_ok(F.col("status_code")).alias("ok"), error.alias("error"),
-            F.coalesce("retries", F.lit(0)).alias("retries"), F.coalesce("wait_s", F.lit(0.0)).alias("wait_s"), "response",
-        )
+        rows, n = counted(fetched(wave, store, depth), rows=n_all, good=n_good)
         ended = False
-        if stop is not None:
-            rows = cut(rows)
-            taken, n_good, ended = _up_to(rows, stop - visited)
+        if stop is not None and n["good"] >= stop - visited:
+            taken, m = counted(_up_to(rows, stop - visited), rows=n_all, good=n_good) if stop > visited else (rows.limit(0), {"rows": 0, "good": 0})
+            ended = m["rows"] < n["rows"]
             if ended and cancel and stop == cancel.after_pages:
-                taken, status = _drained(rows, taken, cancel), "cancelled"
-            n_rows, rows = rows.count(), taken
-        rows = cut(rows)
-        if stop is not None:
-            visited, queued = visited + n_good, n_rows - rows.count()
-        ledger = rows if ledger is None else ledger.unionByName(rows)
-        found = rows.where("error IS NULL").select(F.col("url").alias("source"), F.col("key").alias("parent_key")).join(links, "source")
-        found = found.select("url", F.col("source").alias("parent_url"), F.concat("parent_key", F.array("pos")).alias("key"))
-        first = found.groupBy(urls.fingerprint(F.col("url")).alias("fp")).agg(F.min(F.struct("key", "url", "parent_url")).alias("b"), F.count(F.lit(1)).alias("n"))
-        first = first.join(seen.withColumn("old", F.lit(True)), "fp", "left").select("fp", "b.*", "n", F.coalesce("old", F.lit(False)).alias("old"))
-        first = cut(first.withColumn("reason", F.when(~F.col("old"), reason(scope, F.col("url"), F.lit(depth + 1)))))
+                reached = m["good"]
+                (taken, m), status = counted(_drained(rows, taken, cancel), rows=n_all), "cancelled"
+                m["good"] = reached
+            rows, queued, n = taken, n["rows"] - m["rows"], m
+        visited += n["good"]
+        out = rows.drop("fp")
+        ledger = out if ledger is None else ledger.unionByName(out)
+        found = linked(rows, links, seen).withColumn("reason", F.when(~F.col("old"), reason(scope, F.col("url"), F.lit(depth + 1))))
+        first, n = counted(found, next=F.count_if(~F.col("old") & F.col("reason").isNull()))
         repeats = first.agg(F.coalesce(F.sum(F.col("n") - F.when(F.col("old"), 0).otherwise(1)), F.lit(0)).alias("n")).select(F.lit("seen").alias("reason"), "n")
         out = repeats.unionByName(first.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))).withColumn("depth", F.lit(depth))
         discarded = out if discarded is None else discarded.unionByName(out)
-        seen = seen.unionByName(first.where("NOT old").select("fp"))  # a union of tables already cut; folded into one now and then
-        seen = cut(seen) if depth % FOLD_WAVES == FOLD_WAVES - 1 else seen
-        wave = first.where("NOT old AND reason IS NULL").select("url", "parent_url", "key")
-        n_next = wave.count()
-        if not n_next or ended or (stop is not None and visited >= stop):
-            if n_next and cancel and stop == cancel.after_pages:
+        seen.append(first.where("NOT old").select("fp"))
+        if len(seen) > FOLD_WAVES:
+            seen = [laid_out(reduce(DataFrame.unionByName, seen), "fp")]
+        wave = first.where("NOT old AND reason IS NULL").select("fp", "url", "parent_url", "key")
+        if not n["next"] or ended or (stop is not None and visited >= stop):
+            if n["next"] and cancel and stop == cancel.after_pages:
                 status = "cancelled"
-            queued += n_next
+            queued += n["next"]
             break
     return Crawl(ledger, discarded, queued, status)
 
 
+def fetched(wave: DataFrame, store: DataFrame, depth: int) -> DataFrame:
+    """The wave's URLs with what fetching them gives; both are laid out by fp."""
+    error = F.when(F.col("stored").isNull(), MISSING).otherwise(F.col("error"))
+    return wave.join(store, "fp", "left").select(
+        "fp", "url", "parent_url", F.lit(depth).alias("depth"), "key", "status_code", "final_url", classify.status_ok(F.col("status_code")).alias("ok"), error.alias("error"),
+        F.coalesce("retries", F.lit(0)).alias("retries"), F.coalesce("wait_s", F.lit(0.0)).alias("wait_s"), "response",
+    )
+
+
+def linked(rows: DataFrame, links: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """fp, key, url, parent_url, n, old: the URLs that the pages of rows link to, once each, and whether they were seen; seen and links are
+    laid out by fp, and so is the result."""
+    found = rows.where("error IS NULL").select("fp", F.col("url").alias("parent_url"), F.col("key").alias("parent_key")).join(links, "fp")
+    found = found.select(F.col("link").alias("url"), "parent_url", F.concat("parent_key", F.array("pos")).alias("key"))
+    first = found.groupBy(urls.fingerprint(F.col("url")).alias("fp")).agg(F.min(F.struct("key", "url", "parent_url")).alias("b"), F.count(F.lit(1)).alias("n"))
+    marks = [f"old{i}" for i in range(len(seen))]
+    for mark, part in zip(marks, seen, strict=True):
+        first = first.join(part.withColumn(mark, F.lit(True)), "fp", "left")
+    return first.select("fp", "b.key", "b.url", "b.parent_url", "n", F.coalesce(*marks, F.lit(False)).alias("old"))
+
+
 def _ranked(rows: DataFrame, left: int) -> DataFrame:
     """Rows with turn and first of the round-robin order, without those that their host's first left successes come before.
 
@@ -157,18 +176,11 @@ def _ranked(rows: DataFrame, left: int) -> DataFrame:
     return frontier.round_robin(rows.join(last, "host", "left").where("last IS NULL OR key <= last").drop("last"), "host", "key")
 
 
-def _up_to(rows: DataFrame, left: int) -> tuple[DataFrame, int, bool]:
-    """Rows in round-robin order up to the one that makes the left-th success, the number of successes, and whether it was
-    reached with rows left over; failures don't use up the cap."""
-    n_good, n_rows = rows.agg(F.count_if(F.col("error").isNull()), F.count(F.lit(1))).first()
-    if left <= 0:
-        return rows.limit(0), 0, n_rows > 0
-    if n_good < left:
-        return rows, n_good, False
+def _up_to(rows: DataFrame, left: int) -> DataFrame:
+    """Rows in round-robin order up to the one that makes the left-th success (there are so many); failures don't use up the cap."""
     ordered = _ranked(rows, left)
     end = ordered.where("error IS NULL").select("turn", "first").orderBy("turn", "first").limit(left).agg(F.max(F.struct("turn", "first")).alias("e"))
-    taken = ordered.join(F.broadcast(end)).where(F.struct("turn", "first") <= F.col("e")).select(*rows.columns)  # end is one row
-    return taken, left, taken.count() < n_rows
+    return ordered.join(F.broadcast(end)).where(F.struct("turn", "first") <= F.col("e")).select(*rows.columns)  # end is one row
 
 
 def _drained(rows: DataFrame, taken: DataFrame, cancel: Cancel) -> DataFrame:

@@ -47,19 +47,23 @@ def attempts_result(df: DataFrame, key: str, max_attempts: int) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by("ok", "attempt").alias("ok"), F.max("attempt").alias("last_attempt"), F.coalesce(failed, F.lit(0)).alias("retries"))
 
 
+def recovery_steps(failures: DataFrame, inventory: DataFrame) -> DataFrame:
+    """job, type, step, id: the resource in use at the start (step 0) and after each of a job's failures (job, seq, type, change_works).
+
+    A rotating type picks again with nothing excluded, so it stays with the first. Others exclude the current resource and take the
+    next in order, but a dedicated mobile one with a working change link keeps it. So the place in the category's order is the
+    number of resources given up, a running sum; id is NULL when none is left."""
+    usable = inventory.where(classify.usable(F.col("url"), F.col("status"), F.col("expired")))
+    order = usable.select("category", "id", (F.row_number().over(Window.partitionBy("category").orderBy("seq", "id")) - 1).alias("place"))
+    log = Window.partitionBy("job", "type").orderBy("seq", "change_works")
+    kept = F.col("type").isin(*ROTATING) | (F.col("type").isin("mobile", "lte") & F.coalesce("change_works", F.lit(False)))
+    steps = failures.withColumn("step", F.row_number().over(log)).withColumn("place", F.sum(F.when(kept, 0).otherwise(1)).over(log.rowsBetween(Window.unboundedPreceding, 0)))
+    steps = steps.select("job", "type", "step", "place").unionByName(failures.select("job", "type", F.lit(0).alias("step"), F.lit(0).alias("place")).distinct())
+    steps = steps.withColumn("category", classify.category(F.col("type"))).join(order.select("category").distinct(), "category", "left_semi")
+    return steps.join(order, ["category", "place"], "left").select("job", "type", "step", "id")
+
+
 def recover(failures: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Fold each job's failures (job, seq, type, change_works) over its category's resources in order.
-
-    A rotating type picks again with nothing excluded. Others exclude the current resource; a dedicated mobile one with a
-    working change link keeps it; else the next one not excluded is picked, NULL when none is left."""
-    ids = inventory.where(classify.usable(F.col("url"), F.col("status"), F.col("expired"))).groupBy("category").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("ids"))
-    ids = ids.select("category", F.transform("ids", lambda x: x["id"]).alias("ids"))
-    logs = failures.groupBy("job", "type").agg(F.array_sort(F.collect_list(F.struct("seq", "change_works"))).alias("log"))
-    rows = logs.withColumn("category", classify.category(F.col("type"))).join(ids, "category")
-    rotating = "type IN (" + ", ".join(f"'{t}'" for t in ROTATING) + ")"
-    keep = "type IN ('mobile', 'lte') AND x.change_works"
-    excluded = f"CASE WHEN {rotating} OR a.cur IS NULL THEN a.gone ELSE array_union(a.gone, array(a.cur)) END"
-    following = f"get(filter(ids, i -> NOT array_contains({excluded}, i)), 0)"
-    step = f"named_struct('cur', CASE WHEN {keep} THEN a.cur ELSE {following} END, 'gone', {excluded}, 'path', array_append(a.path, CASE WHEN {keep} THEN a.cur ELSE {following} END))"
-    fold = f"aggregate(log, named_struct('cur', get(ids, 0), 'gone', cast(array() as array<string>), 'path', array(get(ids, 0))), (a, x) -> {step}, a -> a.path)"
-    return rows.select("job", "type", F.expr(fold).alias("path"))
+    """job, type, path: the resources of recovery_steps as a list, for jobs with few failures."""
+    path = F.array_sort(F.collect_list(F.struct("step", "id")))
+    return recovery_steps(failures, inventory).groupBy("job", "type").agg(F.transform(path, lambda x: x["id"]).alias("path"))

@@ -32,7 +32,9 @@ def text_lines(pages: DataFrame, max_depth: int | None = None) -> DataFrame:
     tag = classify.display_state(F.col("error"), F.col("status_code"))
     label = F.concat(F.col("url"), F.lit("  [d="), F.col("depth").cast("string"), F.lit(", "), tag, F.lit(", "), F.col("took_ms").cast("string"), F.lit("ms]"))
     nodes = pages.select("url", "parent_url", "ord", label.alias("label"))
-    top = roots(nodes).withColumn("last", F.lead("ord").over(Window.orderBy("ord")).isNull())
+    top = roots(nodes)
+    end = F.broadcast(top.agg(F.max("ord").alias("end")))  # one row
+    top = top.join(end).withColumn("last", F.col("ord") == F.col("end"))
     level = top.select("url", "label", F.array("ord").alias("path"), F.lit("").alias("prefix"), F.when(F.col("last"), "    ").otherwise("│   ").alias("below"))
     level = cut(level)
     own = Window.partitionBy("parent_url")

@@ -105,8 +105,7 @@ def crawl_cancel(spark, sf):
 
 def _site_pages(spark, sf):
     rows = crawl(site.catalogue(spark, sf), Scope(R, max_depth=2), None).ledger
-    ranked = rows.withColumn("ord", F.row_number().over(Window.orderBy("depth", "key")).cast("bigint"))
-    return ranked.select("url", "parent_url", "ord", "depth", "status_code", "error", F.lit(0).alias("took_ms"))
+    return rows.select("url", "parent_url", F.struct("depth", "key").alias("ord"), "depth", "status_code", "error", F.lit(0).alias("took_ms"))
 
 
 @query(

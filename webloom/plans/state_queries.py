@@ -219,9 +219,17 @@ def job_lookup(spark, sf):
     return api.get_job(table(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("status")), 7)
 
 
-@query("country_list", f"SELECT unnest(string_split('{CODES}', ' ')) AS country")
+@query(
+    "country_list",
+    f"""WITH l AS (SELECT string_split('{CODES}', ' ') AS codes), c AS (SELECT ' ' || lower(codes[c_custkey * 7 % 200 + 1]) AS code FROM customer, l)
+    SELECT country, count(code) AS customers FROM (SELECT unnest(codes) AS country FROM l) LEFT JOIN c ON upper(trim(code)) = country GROUP BY country""",
+)
 def country_list(spark, sf):
-    return api.list_countries(spark)
+    """Every country of the dimension with its customers; customers have codes as people write them."""
+    code = F.element_at(F.split(F.lit(CODES), " "), (F.col("c_custkey") * 7 % 200 + 1).cast("int"))
+    rows = table(spark, sf, "customer").select(F.upper(F.trim(F.concat(F.lit(" "), F.lower(code)))).alias("country"))
+    counts = rows.groupBy("country").agg(F.count(F.lit(1)).alias("customers"))
+    return api.list_countries(spark).join(counts, "country", "left").select("country", F.coalesce("customers", F.lit(0)).alias("customers"))
 
 
 @query("fetch_taxonomy", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN true WHEN event_id % 5 = 1 THEN status >= 500 OR status IN (408, 429) WHEN event_id % 5 = 2 THEN true ELSE false END AS retryable

@@ -28,8 +28,6 @@ AWKWARD = (
     "https://a.com", "http://a.com:8080/x?z=&y", "https://a.com/p;v=1?q=a+b%20c&q=*~", "https://a.com/?a=2&a=1&&b", "  https://a.com/trim  ",
     "https://a.com/%7Euser?x=%C3%A9", "https://A.com?k=v",
 )
-TYPED = ("example.com", " https://a.com/x ", "http://b.org", "//c.net/y", "", "ftp://d.com", "/e.com", "localhost:8000")
-TARGETS = ("http://host:8000/a/b?c", "https://Host.example.com/", "http://h:80/x", "nonsense", "", "https://h:443", "http://localhost:8000/")
 REG = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 SCHEME_RE, AUTH_RE = REG, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 PATH_RE, QUERY_RE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", r"^[^?#]*\?([^#]*)"
@@ -92,21 +90,32 @@ def registrable_domain_counts(spark, sf):
     return table(spark, sf, "pages").groupBy(urls.registrable(urls.host(F.col("url"))).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
 
 
+TYPED_AS = "CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN '  ' || url || ' ' WHEN 2 THEN host WHEN 3 THEN '//' || host || '/a b' WHEN 4 THEN 'HTTPS://' || host WHEN 5 THEN 'ftp://' || host || '/x' WHEN 6 THEN '' WHEN 7 THEN host || ':8080/?q=1' ELSE NULL END"
+HOSTED = r"SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages"
+
+
 @query(
     "url_input_normalize",
-    f"SELECT raw, CASE WHEN trim(raw) = '' THEN '' WHEN regexp_matches(trim(raw), '^(?i:https?):/') THEN trim(raw) ELSE 'https://' || ltrim(trim(raw), '/') END AS url FROM ({values(TYPED, 'raw')})",
+    f"SELECT page_id, raw, CASE WHEN raw IS NULL OR trim(raw) = '' THEN '' WHEN regexp_matches(trim(raw), '^(?i:https?):/') THEN trim(raw) ELSE 'https://' || ltrim(trim(raw), '/') END AS url FROM (SELECT page_id, {TYPED_AS} AS raw FROM ({HOSTED}))",
 )
 def url_input_normalize(spark, sf):
-    return spark.createDataFrame([(u,) for u in TYPED], "raw string").select("raw", urls.input_url(F.col("raw")).alias("url"))
+    """The ways in which a page's address may be typed."""
+    pages = table(spark, sf, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"))
+    return pages.select("page_id", F.expr(TYPED_AS).alias("raw")).select("page_id", "raw", urls.input_url(F.col("raw")).alias("url"))
+
+
+TARGET = "CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN 'https://' || upper(host) || ':443/a?b' WHEN 2 THEN 'http://' || host || ':80' WHEN 3 THEN 'http://' || host || ':443#x' WHEN 4 THEN 'https://' || host || ':8443/' WHEN 5 THEN host WHEN 6 THEN '' ELSE NULL END"
 
 
 @query(
     "origin_normalize",
-    rf"""SELECT raw, CASE WHEN regexp_matches(raw, '^https?://[^/?#]+') THEN regexp_replace(regexp_replace(lower(regexp_extract(raw, '^(https?://[^/?#]+)', 1)), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
-    ELSE 'http://localhost:8000' END AS origin FROM ({values(TARGETS, 'raw')})""",
+    rf"""SELECT page_id, raw, CASE WHEN regexp_matches(raw, '^https?://[^/?#]+') THEN regexp_replace(regexp_replace(lower(regexp_extract(raw, '^(https?://[^/?#]+)', 1)), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
+    ELSE 'http://localhost:8000' END AS origin FROM (SELECT page_id, {TARGET} AS raw FROM ({HOSTED}))""",
 )
 def origin_normalize(spark, sf):
-    return spark.createDataFrame([(u,) for u in TARGETS], "raw string").select("raw", urls.origin(F.col("raw")).alias("origin"))
+    """Origins of targets on the pages' hosts, with default and other ports, and of what is none."""
+    pages = table(spark, sf, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"))
+    return pages.select("page_id", F.expr(TARGET).alias("raw")).select("page_id", "raw", urls.origin(F.col("raw")).alias("origin"))
 
 
 @query("strip_query", "SELECT url, split_part(url, '?', 1) AS bare FROM pages")
