@@ -122,6 +122,26 @@ def test_line_dedup_counts_documents(spark, monkeypatch):
         assert result(again, df) == want and result(index.insert(df.limit(0)), df) == want
 
 
+@pytest.mark.parametrize("block", [32 << 20, 1])
+def test_line_dedup_of_many_rows_without_id(spark, monkeypatch, block):
+    """100,000 rows without doc_id and as many with one and the same, each with common lines: each row meets its own keys only."""
+    monkeypatch.setattr(line_dedup, "FILTER_BLOCK_BYTES", block)
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 8 if block == 1 else 1 << 15)
+    common = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("a line that many documents hold "), ((k + F.col("id")) % 40).cast("string")))
+    n = 100_000
+    ids = F.when(F.col("id") % 2 == 0, F.lit(None)).when(F.col("id") < 20, F.col("id")).otherwise(F.lit(-5))
+    docs = spark.range(2 * n).select(ids.cast("bigint").alias("doc_id"), F.concat_ws("\n", common, F.concat(F.lit("own"), F.col("id").cast("string"))).alias("text"), F.col("id").alias("row"))
+    index = line_dedup.LineIndex.build(docs)
+    holders = [[i for i in range(1, 20, 2) if (j - i) % 40 < 20] for j in range(40)]  # and -5 holds all
+    lost = {i: sum(len(holders[(k + i) % 40]) >= 2 for k in range(20)) for i in range(40)}
+    out = index.dedup(docs, ("row",)).select("doc_id", F.col("rest.row").alias("row"), "n_lines", "n_dropped")
+    got = out.groupBy("doc_id", (F.col("row") % 40).alias("i")).agg(F.count(F.lit(1)).alias("n"), F.min("n_dropped").alias("least"), F.max("n_dropped").alias("most"), F.max("n_lines").alias("lines")).collect()
+    assert sum(r.n for r in got) == 2 * n and {r.lines for r in got} == {21}
+    assert all(r.least == r.most == lost[r.i] for r in got if r.doc_id is None or r.doc_id == -5)
+    keeps = {r.doc_id: r.least for r in got if r.doc_id is not None and r.doc_id > 0}
+    assert keeps == {i: sum(len(h := holders[(k + i) % 40]) >= 2 and max(h) != i for k in range(20)) for i in range(1, 20, 2)}
+
+
 def test_line_filters_grow(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 64)
     text = lambda a, b: "\n".join(f"a line that many documents hold {k}" for k in range(a, b))

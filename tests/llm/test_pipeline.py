@@ -3,6 +3,8 @@
 import collections
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tests.llm.test_operators import brute_hits, brute_links, rows_of
 from webloom.llm import line_dedup, quality
 
@@ -42,3 +44,25 @@ def test_run_against_plain_version(spark, sf):
     for d, r in got.items():
         taken[source[d]] += r.taken
     assert all(abs(taken[source[d]] - r.target) <= 1 for d, r in got.items())
+
+
+def test_stages_on_awkward_rows(spark, sf):
+    """One table with nulls in every column, empty and very long texts, repeated ids and rows, ties, many rows without id, and columns
+    whose names clash with the operators' own or have a dot."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kind = docs.schema
+    nothing = spark.createDataFrame([(None,) * len(kind)] * 3, kind)
+    bare = docs.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name in ("doc_id", "source", "lang") else F.col(f.name) for f in kind])
+    text = lambda t: docs.limit(2).withColumn("text", F.lit(t))
+    long = " ".join(f"w{i % 5000}" for i in range(60_000)) + "\n" + "a line that stands in this text many times\n" * 500
+    odd = docs.unionByName(docs).unionByName(nothing).unionByName(bare).unionByName(text("")).unionByName(text(" \n\t")).unionByName(text(long))
+    clash = ("a.b", "row", "rest", "key_id", "ks", "score", "c0", "node", "k", "size", "position")
+    odd = odd.select("*", *[F.lit(i).alias(c) for i, c in enumerate(clash)]).repartition(5)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes, name
+        got = out.collect()
+        assert 0 < len(got) <= odd.count() and {(r["a.b"], r["row"], r["c0"]) for r in got} == {(0, 1, 6)}, name
+        odd = corpus_pipeline.stored(out, f"awkward-{name}")
+    plan = corpus_pipeline.STAGES[-1][1](spark, odd, sf)
+    assert plan.count() == odd.count()

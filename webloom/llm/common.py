@@ -51,6 +51,12 @@ def map_slices(df: DataFrame, text_col: str, make: Callable[[], Callable[[dict],
     return df.mapInArrow(run, kind)
 
 
+def map_columns(df: DataFrame, run: Callable) -> DataFrame:
+    """mapInArrow to the same columns, whatever their names (with dots, or twice); run sees them as c0, c1, ..."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
     return shared_folder(spark)

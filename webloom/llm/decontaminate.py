@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import map_slices, slices, stored
+from webloom.llm.common import map_columns, map_slices, slices, stored
 
 N = 13
 SAMPLE = 16
@@ -293,10 +293,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
 
 
 def _without_hits(docs: DataFrame, phrases) -> DataFrame:
+    at = docs.columns.index("text")
+
     def run(batches):
         block = phrases.value
         for batch in batches:
-            at = batch.schema.names.index("text")
             for part in slices(batch, at):
                 counts, marks, _ = search_shard(part.column(at).to_pylist(), block)
                 keep = np.ones(len(counts), bool)
@@ -304,7 +305,7 @@ def _without_hits(docs: DataFrame, phrases) -> DataFrame:
                     keep[k] = 20 * int(hit.sum()) < counts[k]
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_columns(docs, run)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

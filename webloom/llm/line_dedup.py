@@ -8,10 +8,11 @@ largest doc_id of touched keys from the remaining postings, and deletes the keys
 filters. So deleting what was inserted restores the former results. A filter has room for GROWTH times KEYS_PER_SHARD keys;
 when the shards hold more on average, the filters are built anew from the counts with more shards.
 
-Dedup: postings pass through the filters (sent to the tasks in blocks of at most FILTER_BLOCK_BYTES), the few that pass
-are joined with the exact counts, and give the keys that each document loses. Documents that lose nothing are written where
-they are, and only the others are shuffled to meet their lost keys: with one block of filters a document stays if no line
-passes, with several blocks if its id is not among the losing ones (up to BROADCAST_IDS of them; beyond that all are shuffled).
+Dedup: a document's keys pass through the filters (sent to the tasks in blocks of at most FILTER_BLOCK_BYTES), the few that pass
+are joined with the exact counts, and give the keys that each row loses. Rows are told apart by a number, never by doc_id, so
+rows without one, or with the same one, meet only their own keys. With one block of filters, rows of which no line passes are
+written where they are, and only the others are stored and shuffled to meet their lost keys. With several blocks all rows are
+stored with their keys, each block reads the keys only, and all rows are shuffled once.
 
 A hot line is one row a map task after partial aggregation; in the join with the counts adaptive execution splits it.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
 from webloom.llm.common import map_slices, stored
 
@@ -41,7 +42,6 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 KEYS_PER_SHARD = 1 << 15
 FILTER_BLOCK_BYTES = 32 << 20
 SLOTS, KICKS, GROWTH = 4, 200, 1.5
-BROADCAST_IDS = 2_000_000
 
 
 def line_keys(text: str | None) -> list[bytes | None]:
@@ -264,60 +264,62 @@ class LineIndex:
             out.append(spark.sparkContext.broadcast(Filters(rows, self.n_shards)))
         return out
 
-    def _passing(self, block) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = block.value
-            for b in batches:
-                if b.num_rows:
-                    yield b.filter(pa.array(filters.contains(b.column("k").to_pylist())))
-
-        return self.postings.mapInArrow(run, self.postings.schema)
-
     def dedup(self, docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         """doc_id, text (kept lines), n_lines, n_dropped, and rest: the columns to carry along, as a struct (else null)."""
-        rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
-        docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), rest.alias("rest"))
+        rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
+        docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"), rest.alias("rest"))
         blocks = self._blocks()
-        passing = [self._passing(b) for b in blocks] or [self.postings.limit(0)]
-        found = passing[0]
-        for p in passing[1:]:
-            found = found.unionByName(p)
-        heavy = self.counts.where(F.col("n_docs") >= MIN_DOCS).select("k", "last_doc")
-        lost = found.join(heavy, "k").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy("doc_id").agg(F.collect_list("k").alias("ks"))
-        lost = lost.withColumnRenamed("doc_id", "lost_id")
-        nothing = F.array().cast("array<binary>")
-        touched, out = docs, None
+        untouched = None
         if len(blocks) <= 1:
-            touched, out = _split(docs, blocks, True), _kept(_split(docs, blocks, False).withColumn("ks", nothing))
+            untouched = _kept(_split(docs, blocks, False).drop("row").withColumn("ks", F.array().cast("array<binary>")))
+            touched = stored(_split(docs, blocks, True), "line-touched")
+            found = touched.select("row", "doc_id", F.explode("ks").alias("k"))
         else:
-            lost = stored(lost, "line-lost")
-            if lost.count() <= BROADCAST_IDS:
-                ids = F.broadcast(lost.select("lost_id"))
-                here = F.col("doc_id").eqNullSafe(F.col("lost_id"))
-                touched, out = docs.join(ids, here, "left_semi"), _kept(docs.join(ids, here, "left_anti").withColumn("ks", nothing))
-        joined = touched.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", "text", "rest", F.coalesce("ks", F.array().cast("array<binary>")).alias("ks"))
+            touched = stored(_split(docs, None, True), "line-touched")
+            keys = touched.select("row", "doc_id", F.explode("ks").alias("k"))
+            found = _passing(keys, blocks[0])
+            for b in blocks[1:]:
+                found = found.unionByName(_passing(keys, b))
+        heavy = self.counts.where(F.col("n_docs") >= MIN_DOCS).select("k", "last_doc")
+        lost = found.join(heavy, "k").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy("row").agg(F.collect_list("k").alias("ks"))  # a row's own lines
+        joined = touched.drop("ks").join(lost, "row", "left").select("doc_id", "text", "rest", F.coalesce("ks", F.array().cast("array<binary>")).alias("ks"))
         joined = _kept(joined)
-        return joined if out is None else out.unionByName(joined)
+        return joined if untouched is None else untouched.unionByName(joined)
+
+
+def _passing(keys: DataFrame, block) -> DataFrame:
+    """The rows of keys whose k passes a filter of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = block.value
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(filters.contains(b.column("k").to_pylist())))
+
+    return keys.mapInArrow(run, keys.schema)
 
 
-def _split(docs: DataFrame, blocks: list, touched: bool) -> DataFrame:
-    """The documents of which some line passes a filter, or the others."""
+def _split(docs: DataFrame, blocks: list | None, touched: bool) -> DataFrame:
+    """The documents of which some line passes a filter, with the keys (each once) that pass, or the others without keys; without blocks
+    all documents with all their keys."""
 
     def make():
         filters = blocks[0].value if blocks else None
 
         def f(cols):
-            keys = [[k for k in line_keys(t) if k] for t in cols["text"]]
-            owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            hit = np.zeros(len(keys), bool)
-            if filters is not None and len(owner):
-                hit[owner[filters.contains([k for ks in keys for k in ks])]] = True
-            keep = np.flatnonzero(hit == touched).tolist()
-            return {c: [values[i] for i in keep] for c, values in cols.items()}
+            keys = [list({k for k in line_keys(t) if k}) for t in cols["text"]]
+            if blocks is not None:
+                owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                flat, passing = [k for ks in keys for k in ks], [[] for _ in keys]
+                for at in np.flatnonzero(filters.contains(flat)).tolist() if filters is not None and flat else ():
+                    passing[owner[at]].append(flat[at])
+                keys = passing
+            keep = [i for i, ks in enumerate(keys) if blocks is None or bool(ks) == touched]
+            return {c: [values[i] for i in keep] for c, values in cols.items()} | {"ks": [keys[i] for i in keep]}
 
         return f
 
-    return map_slices(docs, "text", make, docs.schema)
+    return map_slices(docs, "text", make, StructType([*docs.schema.fields, StructField("ks", ArrayType(BinaryType()))]))
 
 
 def _kept(rows: DataFrame) -> DataFrame:

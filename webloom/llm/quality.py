@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import map_slices, slices
+from webloom.llm.common import map_columns, map_slices, slices
 
 TRAIN_ROWS = 6000
 FOLDS, HELD_OUT = 4, 2
@@ -214,14 +214,15 @@ def filter_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs
 
+    at = docs.columns.index("text")
+
     def run(batches):
         for batch in batches:
-            at = batch.schema.names.index("text")
             for part in slices(batch, at):
                 x = np.array([features(t) for t in part.column(at).to_pylist()]).reshape(-1, N_FEATURES)
                 yield part.filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_columns(docs, run)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
