@@ -7,13 +7,15 @@ text with the base spans of their kind blanked out: mail addresses with spelled-
 numbers with or without country code, and long tokens (kind secret, which has no base pattern). Spans of different kinds
 may overlap.
 
-Every match, of a base pattern or a generator, is described by format and context features of few values each, so the
-distinct feature patterns are at most MAX_PATTERNS whatever the corpus, and gets a weak label from a check of its own that is
-none of the features: a known top-level domain; parts to 255 or a whole colon form; Luhn for every length; a phone word, a
-country code or brackets against too many digits or a word that speaks against it; a word for secrets before a token. A match
-that no check speaks about is not labelled. Labelled patterns are counted over all documents, gradient-boosted trees are
-fitted to the counts and compiled to a SQL expression, and per kind the threshold is the lowest score at which the lower
-confidence bound of precision reaches PRECISION. Generated spans above it are added.
+Every match, of a base pattern or a generator, is described by format, check and context features of few values each, so the
+distinct feature patterns are at most MAX_PATTERNS whatever the corpus. The check is what the match itself shows: a known
+top-level domain; parts to 255 or a whole colon form; Luhn for every length; a number of digits that a phone has, with a country
+code or brackets; a known issuer's prefix or a variety of characters that looks random. A match gets a weak label where its check or
+the words before it speak: a phone word for a number, a word for secrets or an issuer's prefix for a token, and words (version, invoice)
+against it; one that neither speaks about is not labelled. Labelled patterns are counted over all documents and added to a prior of
+PRIOR_MATCHES matches for each case that the checks decide, gradient-boosted trees are fitted to the counts and compiled to a SQL
+expression, and per kind the threshold is the lowest score at which the lower confidence bound of precision reaches PRECISION: the
+prior alone gives one on a small table, and a table's own counts move it. Generated spans above it are added.
 
 Positions need no Python: the pattern's matches are put between markers and the text is split there; the pieces before and
 after a match are its context, and running sums of the pieces' lengths (in blocks of BLOCK, then over the blocks) give code
@@ -67,8 +69,22 @@ DOMAINS = (
 ).replace(" ", "|")
 
 #: Feature names and numbers of values.
-FEATURES = (("kind", 5), ("form", 4), ("shape", 4), ("seps", 4), ("left", 4), ("right", 4), ("context", 3), ("spread", 2))
+FEATURES = (("kind", 5), ("form", 4), ("shape", 4), ("seps", 4), ("left", 4), ("right", 4), ("context", 3), ("spread", 2), ("check", 3))
 MAX_PATTERNS = math.prod(n for _, n in FEATURES)
+#: What is known before a table is read, as so many labelled matches each: (kind, context, check, hits in a hundred). So a small table
+#: has thresholds too, and a document gets the same spans in any table unless the table's own counts speak clearly against it.
+PRIOR_MATCHES = 100
+PRIOR = (
+    ("email", 0, 1, 100), ("email", 0, 0, 5), ("ip", 0, 1, 100), ("ip", 0, 0, 0), ("ip", 2, 1, 5), ("card", 0, 1, 100), ("card", 1, 1, 100), ("card", 0, 0, 0), ("card", 1, 0, 0), ("card", 2, 1, 5),
+    ("phone", 0, 2, 100), ("phone", 1, 2, 100), ("phone", 1, 1, 100), ("phone", 0, 1, 50), ("phone", 0, 0, 0), ("phone", 2, 1, 0), ("phone", 2, 2, 0),
+    ("secret", 0, 2, 100), ("secret", 0, 1, 50), ("secret", 0, 0, 0),
+)
+#: How tokens of well-known issuers begin.
+PREFIXES = (
+    "(sk|pk|rk)[_-]|gh[opsur]_|github_pat_|glpat-|xox[abeoprs]-|(AKIA|ASIA)[0-9A-Z]{16}$|AIza|ya29[._-]|eyJ[A-Za-z0-9]|npm_|pypi-|hf_|shp(at|ca|pa|ss)_|dop_v1_|lin_api_|SG[._-]|AC[0-9a-f]{32}$|EAA[A-Za-z0-9]"
+)
+#: A token of so many different characters looks random.
+VARIED = 12
 
 
 def _hidden(s: str) -> str:
@@ -92,12 +108,20 @@ _SPEAKS_AGAINST = f"{_NEAR} rlike {_hidden(AGAINST)}"
 LABEL = {
     "email": f"int(lower(x.m) rlike '[.\x02 )}}\\\\]]({DOMAINS})$')",
     "ip": f"int(({QUAD} OR x.m rlike '^([0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}$' OR (x.m rlike '::' AND x.m rlike '[A-Fa-f0-9]{{2}}')) AND NOT {_SPEAKS_AGAINST})",
-    "card": f"int({CARD})",
+    "card": f"int({CARD} AND NOT {_SPEAKS_AGAINST})",
     "phone": (
         f"CASE WHEN {_SPEAKS_AGAINST} OR length({DIGITS}) NOT BETWEEN 9 AND 15 THEN 0"
         f" WHEN x.m rlike '^[+]|[(]' OR {_NEAR} rlike {_hidden(CONTEXT['phone'])} THEN 1 END"
     ),
-    "secret": f"int({_NEAR} rlike {_hidden(SECRET_WORDS)})",
+    "secret": f"int({_NEAR} rlike {_hidden(SECRET_WORDS)} OR x.m rlike {_hidden(f'^({PREFIXES})')})",
+}
+#: What the match itself shows: 0 speaks against it.
+CHECK = {
+    "email": f"int(lower(x.m) rlike '[.\x02 )}}\\\\]]({DOMAINS})$')",
+    "ip": f"int(({QUAD} OR x.m rlike '^([0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}$' OR (x.m rlike '::' AND x.m rlike '[A-Fa-f0-9]{{2}}')))",
+    "card": f"int({CARD})",
+    "phone": f"CASE WHEN length({DIGITS}) NOT BETWEEN 9 AND 15 THEN 0 WHEN x.m rlike '^[+]|[(]' THEN 2 ELSE 1 END",
+    "secret": f"CASE WHEN x.m rlike {_hidden(f'^({PREFIXES})')} THEN 2 ELSE int(size(array_distinct(split(x.m, ''))) >= {VARIED}) END",
 }
 _N_DIGITS = f"length({DIGITS})"
 FORM = {
@@ -124,7 +148,7 @@ def _described(kind: str) -> str:
         f"named_struct('y', {LABEL[kind]}, 'f', named_struct('kind', {ALL_KINDS.index(kind)}, 'form', {FORM[kind]}, 'shape', {SHAPE[kind]},"
         f" 'seps', least(size(array_distinct(split(regexp_replace(x.m, '[0-9A-Za-z]', ''), ''))), 4) - 1, 'left', {side(before)}, 'right', {side('x.after')},"
         f" 'context', CASE WHEN {_SPEAKS_AGAINST} THEN 2 WHEN {_NEAR} rlike {_hidden(CONTEXT[kind])} THEN 1 ELSE 0 END,"
-        f" 'spread', int(size(array_distinct(split({shown}, ''))) > 3)))"
+        f" 'spread', int(size(array_distinct(split({shown}, ''))) > 3), 'check', {CHECK[kind]}))"
     )
 
 
@@ -262,7 +286,12 @@ def fit(found: DataFrame) -> Boosted:
     """Count the labelled patterns of all matches (at most MAX_PATTERNS rows) and fit the trees."""
     x = found.select(F.explode(F.expr("concat(seen, transform(found, x -> x.d))")).alias("x")).where("x.y IS NOT NULL")
     counts = x.groupBy("x.f").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.y").cast("bigint")).alias("hits"))
-    return Boosted(sorted((tuple(r["f"]), r["n"], r["hits"]) for r in counts.collect()))
+    known = {tuple(r["f"]): (r["n"], r["hits"]) for r in counts.collect()}
+    for kind, context, check, hits in PRIOR:
+        pattern = (ALL_KINDS.index(kind), 0, 0, 0, 0, 0, context, 1, check)
+        n, h = known.get(pattern, (0, 0))
+        known[pattern] = (n + PRIOR_MATCHES, h + hits * PRIOR_MATCHES // 100)
+    return Boosted(sorted((p, n, h) for p, (n, h) in known.items()))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
