@@ -3,12 +3,14 @@
 Candidate blocks are the words at most REACH words from a license word, however the lines are wrapped; REACH is more than
 any template's occurrence is long, so a block holds every occurrence whole. A run of over WINDOW + REACH words is cut into
 blocks that overlap by REACH words, and an occurrence belongs to the block in whose first WINDOW words it starts. A block
-is compressed by zstandard alone and with each template as raw dictionary; the relative reductions rank the templates. All of
-them, down the ranking, are compared by exact wording. A confirmed occurrence shares SEED consecutive words with its template (see
-there), so each such place is aligned: words of the template that are missing and block words inside the aligned part that
-the template doesn't have are counted; a template is confirmed if both are at most DIFF of its length and no missing or
-extra word is a number, a version or a word that changes the terms. Of confirmed templates the one with fewest differences
-wins (then the longest, then the first by name), and the words that it covers are taken out before the next.
+is compressed by zstandard alone and with each template as raw dictionary; the relative reductions rank the templates. They are
+compared by exact wording down the ranking, and the first that is confirmed decides: only templates whose reduction is within TIE
+of its own are compared too, and of these the one with fewest differences wins (then the longest, then the first by name). The words
+that it covers are taken out before the next. A confirmed occurrence shares SEED consecutive words with its template (see there), so
+each such place is aligned: words of the template that are missing and block words inside the aligned part that the template
+doesn't have are counted; a template is confirmed if both are at most DIFF of its length and no missing or extra word is a
+number, a version or a word that changes the terms. Titles count only where they stand alone in a line. SPDX tags have a grammar
+of their own and are read by it first, as whole expressions (AND, OR, WITH, +, brackets).
 
 Edge cases: null and empty texts have no blocks; a block without confirmed template counts in n_blocks only; rows are
 independent, so repeated rows get equal results; an empty table gives an empty result; other columns are not read.
@@ -17,8 +19,9 @@ independent, so repeated rows get equal results; an empty table gives an empty r
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import zstandard
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from webloom.llm.common import map_slices
 
 WINDOW, DIFF = 600, 0.1
+#: Reductions this close don't rank templates against each other.
+TIE = 0.06
 #: With d = DIFF * n missing and d extra words, the other n - d words of a template of n words stand in at most 2 * d + 1 runs;
 #: the longest has at least three words.
 SEED = 3
@@ -87,15 +92,32 @@ CC_KINDS = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
 CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
 CC_WORDS = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
 SUBJECTS = ("This work is licensed", "Licensed", "Released", "Available", "Distributed", "Released under the terms of the", "This project is licensed", "This software is licensed")
-SPDX = "SPDX-License-Identifier: "
 DUAL = ("MIT", "Apache-2.0", "BSD-3-Clause", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
+#: How full texts begin, and short names.
+VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+OPENINGS = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {VERBATIM}"),
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {VERBATIM}"),
+    ("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {VERBATIM}"),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {VERBATIM}"),
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {VERBATIM}"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+)
+SHORT = {
+    "MIT": ("MIT",), "ISC": ("ISC",), "Apache-2.0": ("Apache 2.0", "Apache License 2.0", "Apache-2.0"), "MPL-2.0": ("MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0"),
+    "GPL-2.0": ("GPLv2", "GPL v2", "GPL-2.0", "GNU GPLv2"), "GPL-3.0": ("GPLv3", "GPL v3", "GPL-3.0", "GNU GPLv3"), "LGPL-2.1": ("LGPLv2.1", "LGPL-2.1"), "LGPL-3.0": ("LGPLv3", "LGPL-3.0"),
+    "AGPL-3.0": ("AGPLv3", "AGPL-3.0"), "BSD-2-Clause": ("BSD 2-Clause", "BSD-2-Clause"), "BSD-3-Clause": ("BSD 3-Clause", "BSD-3-Clause"), "CC0-1.0": ("CC0", "CC0 1.0", "CC0-1.0", "CC0 1.0 Universal"),
+    "EPL-2.0": ("EPL-2.0", "EPL 2.0", "Eclipse Public License 2.0", "Eclipse Public License, Version 2.0"), "Zlib": ("zlib",),
+}
 
 
 def templates() -> list[tuple[str, str]]:
-    """(license, wording): grants with and without their warranty parts, and the short notices built from names by rule."""
+    """(license, wording): grants with and without their warranty parts, how full texts begin, and the short notices built from names by
+    rule. A wording between line ends is a title."""
     out = [
         ("MIT", GRANT_MIT), ("MIT", f"{GRANT_MIT} {WARRANTY_MIT}"), ("ISC", GRANT_ISC), ("BSD-2-Clause", BSD_2), ("BSD-2-Clause", f"{BSD_2} {WARRANTY_BSD}"),
-        ("BSD-3-Clause", BSD_3), ("BSD-3-Clause", f"{BSD_3} {WARRANTY_BSD}"), ("Apache-2.0", APACHE), ("MPL-2.0", MPL), ("Unlicense", UNLICENSE), ("BSL-1.0", BOOST),
+        ("BSD-3-Clause", BSD_3), ("BSD-3-Clause", f"{BSD_3} {WARRANTY_BSD}"), ("Apache-2.0", APACHE), ("MPL-2.0", MPL), ("Unlicense", UNLICENSE), ("BSL-1.0", BOOST), *OPENINGS,
     ]
     out += [(name, GNU.format(adjective, version)) for name, adjective, version in GNU_NAMES]
     short = [("MIT", "MIT License"), ("ISC", "ISC License"), ("Apache-2.0", "Apache License, Version 2.0"), ("MPL-2.0", "Mozilla Public License, version 2.0")]
@@ -103,15 +125,47 @@ def templates() -> list[tuple[str, str]]:
     short += [(f"BSD-{n}-Clause", f"BSD {n}-Clause License") for n in (2, 3)]
     plain = [(f"CC-{k}-{v}", f"CC {k} {v}") for k in CC_KINDS for v in CC_VERSIONS]
     spelled = [(f"CC-{k}-{v}", f"Creative Commons {'-'.join(CC_WORDS[x] for x in k.split('-'))} {v} International License") for k in CC_KINDS for v in CC_VERSIONS]
+    brief = [(name, title) for name, titles in SHORT.items() for title in titles]
     for subject in SUBJECTS:
         after = "" if subject.endswith("terms of the") else " under the"
         out += [(name, f"{subject}{after} {title}.") for name, title in short]
+        out += [(name, f"{subject}{after} {title} license.") for name, title in brief]
         if after:
-            out += [(name, f"{subject} under {title}.") for name, title in plain]
+            out += [(name, f"{subject} under {title}.") for name, title in [*plain, *brief]]
+            out += [(name, f"{subject}{after} {title}.") for name, title in brief]
     out += [(name, f"{subject} under a {title}.") for subject in ("This work is licensed", "Licensed") for name, title in spelled]
-    names = list(dict.fromkeys(name for name, _ in out))
-    out += [(name, SPDX + name) for name in names] + [(name, f"{SPDX}{name}-{tail}") for name in names if "GPL" in name for tail in ("only", "or-later")]
-    return out + [(f"{a} AND {b}", f"Dual licensed under {a} and {b}.") for a in DUAL for b in DUAL if a != b]
+    out += [(name, f"License: {title}{tail}") for name, title in brief for tail in ("", " License")]
+    out += [(name, f"\n{title}\n") for name, title in short] + [(name, f"\n{title} License\n") for name, title in brief if "License" not in title]
+    named = dict(short)
+    out += [(f"{a} OR {b}", f"{subject} under either of {named[a]} or {named[b]}") for subject in ("Licensed", "This project is licensed") for a in DUAL for b in DUAL if a != b]
+    out += [(f"{a} AND {b}", f"Dual licensed under {a} and {b}.") for a in DUAL for b in DUAL if a != b]
+    return list(dict.fromkeys(out))
+
+
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*", re.I)
+SPDX_TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\+?)")
+
+
+def spdx_expression(text: str, at: int) -> tuple[str, int] | None:
+    """The longest whole expression at a place, written in the usual way, and its end."""
+    tokens, depth, operand, found = [], 0, True, None
+    while m := SPDX_TOKEN.match(text, at):
+        t = m[1]
+        if operand and t == "(":
+            depth += 1
+        elif operand and t not in (")", "AND", "OR", "WITH") and re.search("[A-Za-z]", t):
+            operand = False
+        elif not operand and t == ")" and depth:
+            depth -= 1
+        elif not operand and t in ("AND", "OR", "WITH"):
+            operand = True
+        else:
+            break
+        tokens.append(t)
+        at = m.end()
+        if not operand and not depth:
+            found = " ".join(tokens).replace("( ", "(").replace(" )", ")"), at
+    return found
 
 
 HINTS = ("licen", "released under", "distributed under", "available under", "copyright", "permission", "redistribut", "public domain", "public license", "creative commons", "warrant", "spdx")
@@ -120,7 +174,7 @@ HINT = re.compile("|".join(r"\W+".join(h.split()) for h in HINTS), re.I)
 BROKEN = r"-[ \t]*\r?\n[ \t*#/;%>|]*"
 WORD = re.compile(rf"[\w.+/-]*\w(?:{BROKEN}[\w.+/-]*\w)*")
 #: A difference in one of these is never a slip: numbers, versions, and words that change the terms.
-TELLING = re.compile(r"\d|^(?:not?|non\w*|without|except|by(?:-\w+)*|lesser|affero|mit|isc|bsd|apache|mozilla|boost|gnu)$")
+TELLING = re.compile(r"\d|^(?:not?|non\w*|without|except|by(?:-\w+)*|lesser|affero|mit|isc|bsd|apache|mozilla|boost|gnu|eclipse|zlib)$")
 
 
 def words_of(text: str) -> list[str]:
@@ -160,6 +214,7 @@ def candidate_blocks(text: str | None) -> tuple[list[tuple[int, int]], list[tupl
 class Scanner:
     def __init__(self):
         self.names = templates()
+        self.titles = {k for k, (_, t) in enumerate(self.names) if t[0] == "\n"}
         self.words = [words_of(t) for _, t in self.names]
         self.counts = [Counter(w) for w in self.words]
         self.seeds: dict[tuple[str, ...], list[tuple[int, int]]] = {}
@@ -173,7 +228,7 @@ class Scanner:
         self.with_dict = [zstandard.ZstdCompressor(dict_data=d, **kw) for d in raw]
 
     def ranked(self, block: str, which) -> list[tuple[float, int]]:
-        """(relative reduction, template) of the templates that share a seed with the block, best first; others can't be confirmed."""
+        """(relative reduction, template) of templates, best first; those that lack a seed or too many words can't be confirmed."""
         data = block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
         gains = [(1 - len(c.compress(data)) / alone, k) for k, c in ((k, self.with_dict[k]) for k in which)]
@@ -220,24 +275,44 @@ class Scanner:
             return None
         return len(missing), len(extra), a, b
 
-    def scan(self, text: str | None) -> tuple[int, list[dict]]:
+    def winner(self, block: str, words: list[str], fits: Callable, tie: float = TIE) -> tuple | None:
+        """(differences, -length, license, reduction, comparison, template) of the template that the ranking and the wording decide on."""
+        offsets, present = self.offsets(words), set(words)
+        possible = [k for k in sorted(offsets) if sum(w not in present for w in self.words[k]) <= int(DIFF * len(self.words[k]))]
+        sure: list[tuple] = []
+        for gain, k in self.ranked(block, possible):
+            if sure and gain < sure[0][3] - tie:
+                break
+            sure += [(c[0] + c[1], -len(self.words[k]), self.names[k][0], gain, c, k) for c in self.compare(words, k, offsets[k]) if fits(k, c)]
+        return min(sure) if sure else None
+
+    def scan(self, text: str | None, tie: float = TIE) -> tuple[int, list[dict]]:
         places, blocks = candidate_blocks(text)
         lower, taken, found = [whole(text[a:b]) for a, b in places], [False] * len(places), []
+        starts = [a for a, _ in places]
+        for m in SPDX.finditer(text) if blocks else ():
+            if got := spdx_expression(text, m.end()):
+                known = [k for k, (name, _) in enumerate(self.names) if name == re.match(r"\(*([^ ()+]*)", got[0])[1]]
+                gains = self.ranked(text[m.start() : got[1]], known[:1])
+                found.append({"license": got[0], "start": m.start(), "end": got[1], "reduction": round(gains[0][0], 6) if gains else 0.0, "missing": 0, "extra": 0})
+                for i in range(bisect_left(starts, m.start()), bisect_left(starts, got[1])):
+                    taken[i] = True
+
+        def alone(s: int, e: int) -> bool:
+            before, after = text[text.rfind("\n", 0, s) + 1 : s], text[e : (text + "\n").index("\n", e)]
+            return not re.search(r"\w", before) and not re.search(r"\w", after)
+
         for first, core, last in blocks:
             while live := [i for i in range(first, last) if not taken[i]]:
                 block, at = [], places[first][0]
                 for i in range(first, last):
                     block += [" "] * (places[i][1] - at) if taken[i] else [text[at : places[i][1]]]
                     at = places[i][1]
-                words = [lower[i] for i in live]
-                offsets = self.offsets(words)
-                sure = [
-                    (c[0] + c[1], -len(self.words[k]), self.names[k][0], gain, c)
-                    for gain, k in self.ranked("".join(block), sorted(offsets)) for c in self.compare(words, k, offsets[k]) if live[c[2]] < core
-                ]
-                if not sure:
+                fits = lambda k, c: live[c[2]] < core and (k not in self.titles or alone(places[live[c[2]]][0], places[live[c[3] - 1]][1]))  # noqa: B023, E731
+                best = self.winner("".join(block), [lower[i] for i in live], fits, tie)
+                if best is None:
                     break
-                _, _, name, gain, (missing, extra, a, b) = min(sure)
+                _, _, name, gain, (missing, extra, a, b), _ = best
                 s, e = places[live[a]][0], places[live[b - 1]][1]
                 found.append({"license": name, "start": s, "end": e, "reduction": round(gain, 6), "missing": missing, "extra": extra})
                 for i in live[a:b]:
