@@ -31,36 +31,34 @@ def token_slots(df: DataFrame, key: str, order: list[str], arrival: str, rps: fl
 
 def throttle(df: DataFrame, key: str, order: list[str], ts: str, kind: str, cooldown: float = 60.0) -> DataFrame:
     """kind 'slow' (429 or 503) halves the factor to at least 0.1 and opens a window; 'ok' after the window raises it by half."""
-    values = [c for c in (ts, kind) if c not in order]
 
-    def step(state, x):
+    def step(state, t, what):
         factor, until = state
-        if x[kind] == "slow":
-            return max(0.1, factor * 0.5), x[ts] + cooldown
-        if x[kind] == "ok" and x[ts] is not None and x[ts] >= until and factor < 1:
+        if what == "slow":
+            return max(0.1, factor * 0.5), t + cooldown
+        if what == "ok" and factor < 1 and t is not None and t >= until:
             return min(1.0, factor * 1.5), until
         return state
 
-    return _scan(df, key, order, values, (1.0, -1e18), step, "factor double, until double")
+    return _scan(df, key, order, [ts, kind], (1.0, -1e18), step, "factor double, until double")
 
 
 def session_health(df: DataFrame, key: str, order: list[str], status: str, max_error: float = 3.0, max_usage: int = 50, blocked=(401, 403, 429)) -> DataFrame:
     """session (number), score, usage and retired after each request; a request after a retirement opens a new session."""
-    def step(state, x):
+
+    def step(state, code):
         session, score, usage, retired = state
         if retired:
             session, score, usage = session + 1, 0.0, 0
-        code = x[status]
         score = max(0.0, score - 0.5) if code is not None and 200 <= code < 400 else score + 1.0
         return session, score, usage + 1, code in blocked or score >= max_error or usage + 1 >= max_usage
 
-    values = [c for c in (status,) if c not in order]
-    return _scan(df, key, order, values, (1, 0.0, 0, False), step, "session int, score double, usage int, retired boolean")
+    return _scan(df, key, order, [status], (1, 0.0, 0, False), step, "session int, score double, usage int, retired boolean")
 
 
 def _scan(df: DataFrame, key: str, order: list[str], values: list[str], start: tuple, step: Callable, state: str) -> DataFrame:
-    """key, order, values and the state after each event."""
-    rows = df.select(key, *order, *values)
+    """key, order, values and the state after each event: step(state, *values)."""
+    rows = df.select(key, *order, *[c for c in values if c not in order])
     added = _parse_datatype_string(state)
     kinds = [f.type for f in to_arrow_schema(added)]
     schema = StructType(rows.schema.fields + added.fields)
@@ -69,10 +67,10 @@ def _scan(df: DataFrame, key: str, order: list[str], values: list[str], start: t
         current, now = object(), start
         for b in batches:
             out = []
-            for x in b.to_pylist():
-                if x[key] != current:
-                    current, now = x[key], start
-                now = step(now, x)
+            for k, *x in zip(b.column(key).to_pylist(), *[b.column(c).to_pylist() for c in values], strict=True):
+                if k != current:
+                    current, now = k, start
+                now = step(now, *x)
                 out.append(now)
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=schema.names)
