@@ -4,8 +4,9 @@ A test phrase is a window of 13 consecutive words of a benchmark item (a shorter
 Python task holds at a time. Its documents become one stream of word numbers; a word that no phrase has cannot be inside
 an occurrence, so a run of such words becomes one separator, and runs shorter than the shortest phrase are left out. Over
 the stream stand a suffix array (prefix doubling), its Burrows-Wheeler transform in a wavelet matrix, and suffix positions
-sampled at run starts and every SAMPLE-th place. All phrases are searched at once from their last word backwards; each
-occurrence is located by steps to a sampled position, and its words are marked. Marked words merge into removal spans.
+sampled at run starts and every SAMPLE-th place. All phrases whose words all stand in the shard are searched at once from
+their last word backwards; each occurrence is located by steps to a sampled position, and its words are marked. Marked words
+merge into removal spans.
 
 No shuffle: documents stay in their partition, and the phrases (bounded: BLOCK_BYTES of benchmark text a pass, more
 passes beyond it) go to the tasks.
@@ -146,6 +147,13 @@ class Phrases:
         self.owners, self.offsets = pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
         self.shortest = int(self.lengths.min()) if len(first) else 0
 
+    def within(self, shard: np.ndarray) -> np.ndarray:
+        """The phrases of which all words stand in a shard's stream; no other one can occur there, and most don't."""
+        present = np.zeros(len(self.vocabulary) + 1, bool)
+        present[shard] = True
+        absent = np.concatenate(([0], np.cumsum(~present[self.stream])))
+        return np.flatnonzero(absent[self.ends] == absent[self.ends - self.lengths])
+
     def owners_of(self, phrase: int) -> list[int]:
         return self.owners[self.offsets[phrase] : self.offsets[phrase + 1]].tolist()
 
@@ -170,14 +178,18 @@ def search_shard(texts: list, phrases: Phrases) -> tuple[list[int], dict[int, np
     items: dict[int, set[int]] = {}
     if not streams:
         return counts, marks, items
-    index = FMIndex(np.concatenate(streams), len(phrases.vocabulary))
+    whole = np.concatenate(streams)
+    possible = phrases.within(whole)
+    if not len(possible):
+        return counts, marks, items
+    index = FMIndex(whole, len(phrases.vocabulary))
     starts = np.cumsum([0] + [len(s) + 1 for s in streams[::2]])
-    lo, hi = index.search(phrases.stream, phrases.ends, phrases.lengths)
+    lo, hi = index.search(phrases.stream, phrases.ends[possible], phrases.lengths[possible])
     found = np.flatnonzero(hi > lo)
     if not len(found):
         return counts, marks, items
     times = (hi - lo)[found]
-    which = np.repeat(found, times)
+    which = np.repeat(possible[found], times)
     rows = np.repeat(lo[found] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
     at = index.locate(rows)
     run = np.searchsorted(starts, at, side="right") - 1
