@@ -189,7 +189,9 @@ def test_late_subscriber_and_fan_out(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert len(got) == len({s for _, s in got}) == 1000 and sum(old for old, _ in got) == log.count()
-    assert streams.replay_then_follow(log.limit(1).withColumn("type", F.lit("done")), stream, note, str(tmp_path / "b")) is None
+    from webloom import api
+
+    assert api.subscribe(log.limit(1).withColumn("type", F.lit("done")), stream, note, str(tmp_path / "b")) is None
     seen, dropped = [], []
 
     def full(df, i):
