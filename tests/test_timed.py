@@ -169,6 +169,22 @@ def test_slots_split_a_hot_key(spark, blocks):
     assert scan.slots(df.limit(0), "key", ["at", "seq"], "at", "gap", blocks).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 5, 16])
+def test_session_health_splits_a_hot_key(spark, blocks):
+    """The same as the scan that reads a key's log in one task, with blocks that a key fills, ends in or lies inside."""
+    r = random.Random(blocks)
+    rows = [("hot" if r.random() < 0.8 else r.choice(["a", "b", "z", None]), i, r.choice([200, 200, 200, 302, 500, 404, 403, None])) for i in range(6000)]
+    rows += [(f"k{i}", i, 500) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, seq bigint, status int").repartition(5)
+    got = scan.session_health(df, "key", ["seq"], "status", blocks=blocks)
+    want = ordered.session_health(df, "key", ["seq"], "status")
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    odd = scan.session_health(df, "key", ["seq"], "status", 2.5, 7, (200, 404), blocks)
+    assert sorted(map(tuple, odd.collect()), key=str) == sorted(map(tuple, ordered.session_health(df, "key", ["seq"], "status", 2.5, 7, (200, 404)).collect()), key=str)
+    assert scan.session_health(df.limit(0), "key", ["seq"], "status", blocks=blocks).count() == 0
+
+
 def test_effective_interval(spark):
     rows = [(1.0, 0.0, 5.0, 0.5), (0.5, 10.0, 5.0, 0.5), (0.5, 10.0, 10.0, 0.0), (0.1, 10.0, 5.0, 1.0), (None, None, 5.0, 0.5)]
     df = spark.createDataFrame(rows, "factor double, until double, t double, j double")

@@ -9,7 +9,7 @@ from webloom.checkpointing import stream_folder
 from webloom.functions import variant
 from webloom.operators import jobs, ordered, scan, sketches
 from webloom.plans.page_queries import STATUS
-from webloom.plans.state_queries import KIND
+from webloom.plans.state_queries import HEALTH_SQL, KIND
 from webloom.session import table
 from webloom.sources import pagestore
 from webloom.streaming import events as streams
@@ -196,6 +196,13 @@ def rate_limit_slots_adaptive(spark, sf):
     return scan.slots(rows.select("pool", "event_id", "at", "gap"), "pool", ["at", "event_id"], "at", "gap").select("pool", "event_id", "gap", "slot")
 
 
+@query("session_health_blocks", HEALTH_SQL)
+def session_health_blocks(spark, sf):
+    """Session health with each pool's log split over blocks."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 64).alias("pool"), "event_id", F.expr(f"coalesce({STATUS}, 500)").alias("status"))
+    return scan.session_health(e, "pool", ["event_id"], "status").drop("status")
+
+
 @query(
     "distinct_sketches",
     "SELECT event_type, count(DISTINCT user_id * 1000 + (props::JSON ->> '$.k')::BIGINT) AS n, true AS close FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' GROUP BY 1",
