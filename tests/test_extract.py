@@ -1,10 +1,13 @@
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import normal
 from webloom.functions import dom, html
 from webloom.functions.html import Field, Rule, fields_of
+from webloom.plans import page_queries
 
 SHOP = """<!doctype html><title>Tea &amp; Co</title><section id=list><h2>Green</h2>
 <ul class="goods wide"><li data-sku="g1"><b>Sencha</b> <i>4.50</i><li data-sku="g2"><b>Gyokuro</b> <i>19.00</i></ul>
@@ -42,6 +45,24 @@ def test_attributes_and_html():
     assert pick("nav", "html") == ['<nav><a href="/tea/2" rel="next">more</a><a rel="prev">less</a></nav>']
 
 
+def test_references():
+    """A name that no semicolon ends is text, as lxml with libxml2 2.12 and the queries' SQL have it; numbers need none."""
+    page = "<title>Salt &amp; pepper&amp</title><p>a &lt b &notit; c &amp;lt; &#39;&#65 &hellip;</p><a&b href='?x=1&copy=2&amp;y'>t</a&b><script>a && b</script>"
+    assert pick("title", page=page) == ["Salt & pepper&amp"]
+    assert pick("p", page=page) == ["a &lt b &notit; c &lt; 'A …"]
+    assert pick("[href]", "href", page=page) == ["?x=1&copy=2&y"] and pick("script", page=page) == ["a && b"]
+
+
+def test_cut_reference_agrees_with_sql(spark, tmp_path):
+    """Titles of larger tables are cut inside a reference."""
+    titles = ["Oolong &amp; milk &amp", "5 &lt; 6 &lt", "&quot;Pu&quot; er &quot", "Mate &am", "Rooibos &"]
+    pages = [(i, f'<html lang="en"><title>{t}</title><article><h1>{t}</h1><p>x</article></html>') for i, t in enumerate(titles, 1)]
+    spark.createDataFrame(pages, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("extract_css_title", "extract_xpath_h1"):
+        want = duckdb.connect().sql(page_queries.ORACLE[name].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).df()
+        assert normal(page_queries.QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(want)
+
+
 @pytest.mark.parametrize("bad", ["", "ul >", "li[", "::before", ":nth-child", "li:first-child(2)", "a b)"])
 def test_bad_selectors(bad):
     rule = Rule((("one", Field(bad)), ("many", Field(bad, all=True)), ("none", Field("video")), ("must", Field("video", required=True))))
