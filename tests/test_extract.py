@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.oracle import normal
 from webloom.functions import dom, html
 from webloom.functions.html import Field, Rule, fields_of
-from webloom.plans import page_queries
+from webloom.plans import registry
 
 SHOP = """<!doctype html><title>Tea &amp; Co</title><section id=list><h2>Green</h2>
 <ul class="goods wide"><li data-sku="g1"><b>Sencha</b> <i>4.50</i><li data-sku="g2"><b>Gyokuro</b> <i>19.00</i></ul>
@@ -53,14 +53,23 @@ def test_references():
     assert pick("[href]", "href", page=page) == ["?x=1&copy=2&y"] and pick("script", page=page) == ["a && b"]
 
 
+def test_html_as_written():
+    """Text and comments stay as the page has them; joined pieces can't become another reference or tag."""
+    inner = "a &quot;b&quot; \" &copy; c&a &amp;lt; d&amp <!-- &am --> e > f &am<!---->p; g <<!--x-->i>&#39;"
+    assert pick("h1", "html", page=f"<h1>{inner}</h1>") == [f"<h1>{inner}</h1>"]
+    again = pick("h1", page=pick("h1", "html", page=f"<h1>{inner}</h1>")[0])
+    assert again == pick("h1", page=f"<h1>{inner}</h1>") == ["a \"b\" \" © c&a &lt; d&amp e > f &amp; g <i>'"]
+    assert pick("//h1/text()", all=True, type="xpath", page="<h1>a<!--x-->b</h1>") == ["a", "b"]
+
+
 def test_cut_reference_agrees_with_sql(spark, tmp_path):
     """Titles of larger tables are cut inside a reference."""
     titles = ["Oolong &amp; milk &amp", "5 &lt; 6 &lt", "&quot;Pu&quot; er &quot", "Mate &am", "Rooibos &"]
     pages = [(i, f'<html lang="en"><title>{t}</title><article><h1>{t}</h1><p>x</article></html>') for i, t in enumerate(titles, 1)]
     spark.createDataFrame(pages, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    for name in ("extract_css_title", "extract_xpath_h1"):
-        want = duckdb.connect().sql(page_queries.ORACLE[name].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).df()
-        assert normal(page_queries.QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(want)
+    for name in ("extract_css_title", "extract_xpath_h1", "extract_outer_html"):
+        want = duckdb.connect().sql(registry.ORACLE_SQL[name].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).df()
+        assert normal(registry.QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(want)
 
 
 @pytest.mark.parametrize("bad", ["", "ul >", "li[", "::before", ":nth-child", "li:first-child(2)", "a b)"])
