@@ -53,6 +53,13 @@ def test_references():
     assert pick("[href]", "href", page=page) == ["?x=1&copy=2&y"] and pick("script", page=page) == ["a && b"]
 
 
+def test_xpath_references():
+    page = "<html lang='de&amp'><h1>Tee &amp; Zucker&amp</h1><a href='?lt=1&lt=2&gt;'>x &quot</a>"
+    one = lambda path: pick(path, type="xpath", page=page)
+    assert one("//h1") == ["Tee & Zucker&amp"] and one("//a/text()") == ["x &quot"]
+    assert one("//html/@lang") == ["de&amp"] and one("//a/@href") == ["?lt=1&lt=2>"] and one("//a[@href='?lt=1&lt=2>']") == ["x &quot"]
+
+
 def test_html_as_written():
     """Text and comments stay as the page has them; joined pieces can't become another reference or tag."""
     inner = "a &quot;b&quot; \" &copy; c&a &amp;lt; d&amp <!-- &am --> e > f &am<!---->p; g <<!--x-->i>&#39;"
