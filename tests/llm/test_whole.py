@@ -68,6 +68,28 @@ def test_host_boilerplate_does_not_depend_on_host_size(spark, monkeypatch):
         assert {r.page_id: r.text for r in html_text.extract(df).collect()} == want
 
 
+def test_unique_runs_decide_between_containers(spark, monkeypatch):
+    """Of several articles on a page, those that stand on three pages of the host are left out beside a longer unique one."""
+    words = lambda *x, n=12: " ".join("".join(f"{v}q" for v in (*x, i)) for i in range(n))
+    article = lambda t: f"<article><h2>{t}</h2></article>"
+    promo, rare, copied, quote = "come and see our new shop", "only two pages have this one", words("c", 1), "so said the wise old man"
+    pages = {
+        **{k: ([words(k, 1)], [promo]) for k in range(4)}, 4: ([words(4, 1), rare], [promo]), 5: ([words(5, 1), rare], []),
+        **{k: ([copied, f"t{k}q"], []) for k in (6, 7, 8)},  # the longest stays though it is repeated
+        **{k: ([words("d", 1), "copies of a page as a whole"], []) for k in (9, 10, 11)},
+    }
+    html = {k: "<nav>menu of the site here</nav><div>unmarked but outside</div>" + "".join(map(article, kept + out)) for k, (kept, out) in pages.items()}
+    want = {k: "\n\n".join(kept) for k, (kept, _) in pages.items()}
+    for k in (20, 21, 22):  # inside containers repeats stay
+        html[k], want[k] = f"<article><p>{words(k, 1)}<p>{quote}</article>" + article(promo), f"{words(k, 1)}\n\n{quote}"
+        html[k + 10], want[k + 10] = article(promo), promo  # a page's only one
+    rows = [(k, f"http://{h}.com/", p) for h in ("a", "b") for k, p in html.items()]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for size in (512, 2):
+        monkeypatch.setattr(html_text, "SHARD_PAGES", size)
+        assert {(r.page_id, r.url[7]): r.text for r in html_text.extract(df).collect()} == {(k, h): t for h in ("a", "b") for k, t in want.items()}
+
+
 def test_html_marks_are_whole_names():
     text = lambda page: html_text.main_text(html_text.blocks_of(page))[0]
     for wrap in ("content-sidebar-wrap", "no-sidebar", "has-nav", "comments-open", "sidebar", "sidebar-right", "ad-free", "with_sidebar"):
