@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import agree
 from webloom.functions import classify
 from webloom.operators import frontier, jobs, ordered, pool, sitemap
 from webloom.functions.html import Field, Rule
@@ -81,6 +82,16 @@ def test_crawl_retries_cancel_and_discovery(spark):
         assert c.ledger.where("error = 'cancelled'").count() == 3 * hard
 
 
+def test_crawls_of_the_same_pages_share_their_answers(spark, sf, monkeypatch):
+    from webloom.operators import crawl as operator
+    from webloom.plans.crawl_queries import ORACLE, QUERIES
+
+    calls, answers = [], operator.answers
+    monkeypatch.setattr(operator, "answers", lambda *a, **k: calls.append(1) or answers(*a, **k))
+    agree(spark, sf, QUERIES["crawl_cancel"], ORACLE["crawl_cancel"])
+    assert len(calls) == 1
+
+
 def test_session_and_throttle(spark):
     codes = [200, 500, 200, 500, 500, 500, 200, 429, 200]
     df = spark.createDataFrame([("p", i, c) for i, c in enumerate(codes)], "pool string, seq int, status int")

@@ -19,6 +19,9 @@ MAX_CHARS = 10 * 1024 * 1024
 #: Schemes of links that lead to no page.
 SKIPPED = ("javascript:", "mailto:", "tel:", "sms:", "data:", "file:", "ftp:")
 _TOKENS = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)|<(a|base)(?=[\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
+#: A rooted path that joining leaves as it is (no dots, empty steps or parameters), without what joining drops; and the root of a base.
+_ROOTED = re.compile(r"(/|(?:/[A-Za-z0-9_~-]+)+)\??(?:#[A-Za-z0-9_~-]*)?")
+_ROOT = re.compile(r"https?://[a-z0-9.-]+(?=/|\Z)")
 _HREF = re.compile(r"(?:^|[\s\"'/])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -39,7 +42,11 @@ def links_of(page: str | None, base_url: str | None) -> list[str]:
         start = urljoin(base_url or "", base) if base else base_url or ""
     except ValueError:
         return []
+    root = _ROOT.match(start)
     for h in hrefs:
+        if root and (plain := _ROOTED.fullmatch(h)):
+            out[root[0] + plain[1]] = None
+            continue
         if not h or h.lower().startswith(SKIPPED):
             continue
         try:

@@ -89,23 +89,39 @@ def answers(pages: DataFrame, rule: Rule | None = None, scraping: bool = False,
     )
 
 
+@dataclass(frozen=True)
+class Answered:
+    """Answers and their links, laid out by the fingerprint of the URL: several crawls of the same pages can share them."""
+
+    store: DataFrame
+    links: DataFrame
+
+
+def answered(pages: DataFrame, rule: Rule | None = None, scraping: bool = False, quick: bool = False, settings: Settings | None = None) -> Answered:
+    all_ = cut(answers(pages, rule, scraping, quick, settings))
+    fp = urls.fingerprint(F.col("url")).alias("fp")
+    store = laid_out(all_.select(fp, F.lit(True).alias("stored"), *[c for c in all_.columns if c not in ("url", "links")]), "fp")
+    links = all_.where("error IS NULL").select(fp, "links").select("fp", F.posexplode("links").alias("pos", "link"))
+    links = laid_out(links.select("fp", F.col("pos").cast("bigint").alias("pos"), urls.canonical(F.col("link")).alias("link")).where("link IS NOT NULL"), "fp")
+    return Answered(store, links)
+
+
 def crawl(
-    pages: DataFrame, scope: Scope, max_pages: int | None = 500, quick: bool = False, rule: Rule | None = None, scraping: bool = False,
+    pages: DataFrame | Answered, scope: Scope, max_pages: int | None = 500, quick: bool = False, rule: Rule | None = None, scraping: bool = False,
     cancel: Cancel | None = None, settings: Settings | None = None,
 ) -> Crawl:
     """Breadth first from the seed. A link is first compared with what was seen, then with the scope; the seed is not tested.
+    Pages are stored pages, or what answered() made of them (with the rule, scraping, quick and settings given there).
 
     All tables are laid out by the fingerprint of the URL, and stay so: answers and links from the start, what was seen and the
     frontier wave by wave. A wave joins them where they are; only the links that it finds are shuffled, to be compared with what
     was seen (and with a cap the wave itself, to take turns). Counters are observed while a wave is written. A URL without page is
     a failed row and doesn't count for max_pages. A retry belongs to its wave and shows as retries and wait_s. Without scraping
     (discovery) responses are not kept."""
-    spark = pages.sparkSession
-    answered = cut(answers(pages, rule, scraping, quick, settings))
+    if isinstance(pages, DataFrame):
+        pages = answered(pages, rule, scraping, quick, settings)
+    store, links, spark = pages.store, pages.links, pages.store.sparkSession
     fp = urls.fingerprint(F.col("url")).alias("fp")
-    store = laid_out(answered.select(fp, F.lit(True).alias("stored"), *[c for c in answered.columns if c not in ("url", "links")]), "fp")
-    links = answered.where("error IS NULL").select(fp, "links").select("fp", F.posexplode("links").alias("pos", "link"))
-    links = laid_out(links.select("fp", F.col("pos").cast("bigint").alias("pos"), urls.canonical(F.col("link")).alias("link")).where("link IS NOT NULL"), "fp")
     seed = spark.range(1).select(urls.canonical(F.lit(scope.seed)).alias("url"), F.lit(None).cast("string").alias("parent_url"), F.array(F.lit(0).cast("bigint")).alias("key"))
     wave = laid_out(cut(seed).select(fp, "*"), "fp")
     seen = [wave.select("fp")]

@@ -9,7 +9,7 @@ from webloom.checkpointing import stream_folder
 from webloom.functions import classify, html
 from webloom.functions.html import Field, Rule
 from webloom.operators import jobs, sitemap
-from webloom.operators.crawl import Cancel, crawl
+from webloom.operators.crawl import Cancel, answered, crawl
 from webloom.operators.scope import Scope
 from webloom.plans.page_queries import STATUS
 from webloom.plans.state_queries import HEALTH_SQL
@@ -95,9 +95,9 @@ def crawl_retries(spark, sf):
     SELECT kind, url, CASE WHEN kind = 'hard' AND n > 20 THEN 'cancelled' END AS error FROM o, (VALUES ('soft'), ('hard')) k(kind) WHERE n <= 23""",
 )
 def crawl_cancel(spark, sf):
-    out = None
+    out, pages = None, answered(site.catalogue(spark, sf))
     for kind in ("soft", "hard"):
-        c = crawl(site.catalogue(spark, sf), Scope(R, max_depth=3), None, cancel=Cancel(20, kind == "hard", 3))
+        c = crawl(pages, Scope(R, max_depth=3), None, cancel=Cancel(20, kind == "hard", 3))
         rows = c.ledger.select(F.lit(kind).alias("kind"), "url", "error")
         out = rows if out is None else out.unionByName(rows)
     return out
